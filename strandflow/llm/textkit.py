@@ -107,13 +107,23 @@ class Words:
             return mix(range_hashes(BYTE_TABLE[self.data], self.starts, self.ends) ^ _U(0x51ED270B7A3F6C2D))
 
 
+class RangeHash:
+    """Polynomials of ranges of values, whatever their place."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.total = np.zeros(n + 1, _U)
+        with np.errstate(over="ignore"):
+            np.cumsum(values * powers(_BASE, n), dtype=_U, out=self.total[1:])
+        self.back = powers(_INV, n + 1)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.total[ends] - self.total[starts]) * self.back[starts]
+
+
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The polynomial of each range of values, whatever its place."""
-    n = len(values)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, _U)
-        np.cumsum(values * powers(_BASE, n), dtype=_U, out=total[1:])
-        return (total[ends] - total[starts]) * powers(_INV, n + 1)[starts]
+    return RangeHash(values).of(starts, ends)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
