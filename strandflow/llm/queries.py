@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, ctw, decontamination, langid, media, quality, substrings
+from . import bpe, chat, ctw, decontamination, langid, lines, media, quality, substrings
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -48,6 +48,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(table(spark, sf_dir, "documents"))
 
@@ -60,10 +64,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_line_dedup": op9_line_dedup,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_line_dedup": r"""
+        WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+        spots AS (
+          SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs) WHERE length(ls[i]) >= 24
+        ), firsts AS (
+          SELECT line, min((doc_id, i)) AS first, length(line) AS n,
+                 length(line) - length(replace(line, 'e', '')) AS ne, length(line) - length(replace(line, 'n', '')) AS nn
+          FROM spots GROUP BY line
+        ), plain AS (  -- edit distance is taken over bytes here, so each letter gets one
+          SELECT *, translate(line, 'éèêçàùâîôûëïñóíáúüöäßÉÈÊÇÑÓÍÁÚÜÖÄ', chr(1)||chr(2)||chr(3)||chr(4)||chr(5)||chr(6)||chr(7)||chr(8)||chr(11)||chr(12)||chr(14)||chr(15)||chr(16)||chr(17)||chr(18)||chr(19)||chr(20)||chr(21)||chr(22)||chr(23)||chr(24)||chr(25)||chr(26)||chr(27)||chr(28)||chr(29)||chr(30)||chr(31)||chr(127)||'@^~`') AS p FROM firsts
+        ), near AS (
+          SELECT a.line, min(b.first) AS beside
+          FROM plain a JOIN plain b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND abs(a.ne - b.ne) <= 2 AND abs(a.nn - b.nn) <= 2 AND a.line <> b.line
+          WHERE levenshtein(a.p, b.p) <= 2 GROUP BY a.line
+        ), gone AS (
+          SELECT s.doc_id, s.i FROM spots s JOIN firsts f USING (line) LEFT JOIN near USING (line)
+          WHERE (s.doc_id, s.i) > least(f.first, coalesce(near.beside, f.first))
+        ), flagged AS (
+          SELECT d.doc_id, u.i, d.ls[u.i] AS line, g.i IS NOT NULL AS out
+          FROM docs d, LATERAL (SELECT unnest(range(1, len(d.ls) + 1)) AS i) u LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.i = u.i
+        )
+        SELECT doc_id, count(*) AS n_lines, CAST(coalesce(sum(CASE WHEN out THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_removed,
+               CAST(length(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT out), '')) AS BIGINT) AS kept_chars,
+               md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT out), '')) AS kept_md5
+        FROM flagged GROUP BY doc_id
+    """,
     "op8_chat_formatting": r"""
         WITH rows AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
