@@ -22,12 +22,13 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .shared import base_columns
-from .textkit import slices
+from .textkit import segments, slices
 
 CACHE = 250_000
 #: White space that str.split() knows and the vocabulary's pattern does not.
@@ -180,6 +181,29 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataF
     return base_columns(encoded, id_col, "ids").mapInArrow(run, f"`{id_col}` long, decoded string")
 
 
+def encode_rows(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int), ids_sha256, decoded_sha256: encode, then decode the ids, in one pass over the texts."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = BpeCodec.load(vocabulary)
+        sha = hashlib.sha256
+        for batch in batches:
+            for part in slices(batch):
+                packed, enc, dec = [], [], []
+                for text in part.column("text").to_pylist():
+                    ids = codec.encode(text or "")
+                    packed.append(ids)
+                    enc.append(sha(ids).hexdigest())
+                    dec.append(sha(codec.decode(ids).encode()).hexdigest())
+                sizes = np.array([len(x) // 4 for x in packed], np.int64)
+                flat = pa.array(np.frombuffer(b"".join(packed), np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(segments(sizes).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), lists, pa.array(enc), pa.array(dec)], schema=schema)
+
+    return base_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
 def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode the ids, in one pass over the texts."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

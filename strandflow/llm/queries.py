@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, ctw, decontamination, langid, lines, media, quality, substrings
+from . import bpe, chat, ctw, decontamination, langid, lines, media, near_duplicates, quality, substrings
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.link_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "lang", "n_tokens", "log_ppl", "spread", "ppl_high", "spread_high", "keep")
@@ -57,6 +61,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_media_columns": op4_media_columns,
@@ -69,6 +74,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS ws FROM documents
+        ), shingles AS (
+          SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS s
+          FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM words WHERE len(ws) > 0)
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        met AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+          SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE both * 10 >= 8 * (x.n + y.n - both)
+        ), reach AS (
+          SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+        same AS (
+          SELECT doc_id, count(*) OVER (PARTITION BY sig) AS k FROM (SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS sig FROM shingles GROUP BY doc_id)
+        )
+        SELECT c.doc_id, c.class_id, coalesce(n_links, 0) AS n_links, coalesce(k, 1) AS n_copies
+        FROM classes c LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a) USING (doc_id) LEFT JOIN same USING (doc_id)
+    """,
     "op9_line_dedup": r"""
         WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
         spots AS (
