@@ -10,7 +10,8 @@ The corpus is gathered in bounded pieces. Documents are dealt into chunks of
 about ``CHUNK_BYTES``; a chunk sends each of its distinct words and byte grams
 once, with its training count. Counts are summed by key, the trees of all
 contexts that share the nearest byte are weighted in one task, and each chunk
-gets back the values of its own keys only. The driver sees 255 root nodes and
+gets back the values of its own keys only; no task sums or answers for more
+than ``GROUP`` chunks' rows of a shard, or that many groups' sums. The driver sees 255 root nodes and
 four totals.
 
 Defined results: null text is empty, one end token and one end symbol (byte
@@ -36,6 +37,8 @@ from .textkit import _LOWER, Words, segments, slices, utf8
 
 DEPTH = 5
 CHUNK_BYTES = 32 << 20
+#: Chunks whose rows one task sums or answers for a shard.
+GROUP = 64
 END_WORD = np.uint64(0x00E17D0C0FFEE001)
 WORD, GRAM = 0, 1
 HALF = math.log(0.5)
@@ -243,13 +246,16 @@ def _chunk_keys(depth: int, shards: int):
 MODEL = "kind int, shard int, keys binary, values binary, top binary"
 
 
-def _weigh(depth: int):
-    """Chunk rows sorted by kind and shard: sums a shard's counts as they stream by, and gives its model."""
+def _weigh(depth: int, final: bool, count: type):
+    """Rows sorted by kind and shard: sums a shard's counts as they stream by, and gives its model or, if not ``final``, the sums."""
 
     schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()), ("top", pa.binary())])
 
     def model(kind: int, shard: int, parts: list) -> pa.RecordBatch:
         keys, n = merged(parts)
+        if not final:
+            row = (pack(keys), zlib.compress(n.tobytes(), 1), None)
+            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], schema=schema)
         if kind == WORD:
             values, top = n.tobytes(), b""
         else:
@@ -267,7 +273,7 @@ def _weigh(depth: int):
                     yield model(*last, parts)
                     parts, held = [], 0
                 last = here
-                parts.append((unpack(keys.as_py()), np.frombuffer(zlib.decompress(n.as_py()), np.uint32)))
+                parts.append((unpack(keys.as_py()), np.frombuffer(zlib.decompress(n.as_py()), count)))
                 held += len(parts[-1][0])
                 if held > 2 * len(parts[0][0]) + (1 << 20):
                     parts = [merged(parts)]
@@ -361,13 +367,19 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, held:
     keyed = plain.select("doc_id", "text", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == held, F.lit(False)).alias("held_out"), chunk.alias("chunk"))
     dealt = keyed.repartition(max(n, chunks), "chunk")
     sent = materialize(dealt.sortWithinPartitions("chunk").mapInArrow(_chunk_keys(depth, chunks), DICTIONARY), "ctw-keys")
-    model = materialize(sent.repartition(n, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(_weigh(depth), MODEL), "ctw-model")
+    groups = math.ceil(chunks / GROUP)
+    group = F.pmod(F.col("chunk"), F.lit(groups))
+    summed = sent.select("kind", "shard", group.alias("group"), "keys", "counts").repartition(n, "kind", "shard", "group").sortWithinPartitions("kind", "shard", "group")
+    if groups > 1:  # sums of GROUP chunks first
+        summed = summed.mapInArrow(_weigh(depth, False, np.uint32), MODEL).select("kind", "shard", "keys", F.col("values").alias("counts"))
+        summed = summed.repartition(n, "kind", "shard").sortWithinPartitions("kind", "shard")
+    model = materialize(summed.mapInArrow(_weigh(depth, True, np.int64 if groups > 1 else np.uint32), MODEL), "ctw-model")
     tops = model.mapInArrow(_root_rows, "z long, n0 double, n1 double, w double").groupBy("z").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "w"))).collect()  # 256 rows at most
     types, tokens = next(((r.n0, r.n1) for r in tops if r.z == 0), (0, 0))
     root = Root((r.z, r.n0, r.n1, r.w) for r in tops if r.z)
-    asked = sent.select("kind", "shard", "chunk", "keys", F.lit(None).cast("binary").alias("values"))
-    told = model.select("kind", "shard", F.lit(-1).alias("chunk"), "keys", "values")
-    both = asked.unionByName(told).repartition(n, "kind", "shard").sortWithinPartitions("kind", "shard", "chunk")
+    asked = sent.select("kind", "shard", group.alias("group"), "chunk", "keys", F.lit(None).cast("binary").alias("values"))
+    told = model.select("kind", "shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(-1).alias("chunk"), "keys", "values")
+    both = asked.unionByName(told).repartition(n, "kind", "shard", "group").sortWithinPartitions("kind", "shard", "group", "chunk")
     found = both.mapInArrow(_answers(root), "kind int, chunk int, keys binary, values binary")
     scored = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_scores(depth), SCORES)
     return scored.select(
