@@ -34,38 +34,41 @@ from .shared import partitions
 
 EDITS, MIN_CHARS = 2, 24
 #: Letters that are counted before a pair is verified.
-COUNTED = "etan"
+COUNTED = "etaoinsr"
 KEY = "__doc_key"
 
 
-def segment_bounds(n: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """First character (from 1) and length of segment i of a line of n characters."""
-    start = F.floor(n * i / (edits + 1)).cast("int")
-    return start + 1, F.floor(n * (i + 1) / (edits + 1)).cast("int") - start
-
-
-def signatures(line: Column, n: Column, edits: int) -> tuple[list[Column], list[Column]]:
-    """Keys under which a line is found, and those that find shorter or equal ones within ``edits``."""
-    own, asked = [], []
-    for i in range(edits + 1):
-        first, size = segment_bounds(n, i, edits)
-        own.append(F.xxhash64(n, F.lit(i), line.substr(first, size)))
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(less, segment, shift): where a line may hold a segment of one that is ``less`` characters shorter."""
+    out = []
     for less in range(edits + 1):
         for i in range(edits + 1):
-            first, size = segment_bounds(n - less, i, edits)
-            low = max(-i, less - (edits - i))
-            high = min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                asked.append(F.xxhash64(n - less, F.lit(i), line.substr(first + shift, size)))
-    return own, asked
+            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
+            out += [(less, i, shift) for shift in range(low, high + 1)]
+    return out
+
+
+def segment_rows(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """h, counts and key (hash of length, segment number and characters) for each line and place.
+
+    ``wide`` has four bytes for each character, so a segment is cut without
+    a walk over the characters before it.
+    """
+    each = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(p, ("less", "i", "shift"), strict=True))) for p in places)))
+    rows = lines.select("h", "counts", "n", "wide", each.alias("at"))
+    size = F.col("n") - F.col("at.less")
+    first = F.floor(size * F.col("at.i") / (edits + 1)).cast("int")
+    last = F.floor(size * (F.col("at.i") + 1) / (edits + 1)).cast("int")
+    cut = F.substring("wide", (first + F.col("at.shift")) * 4 + 1, (last - first) * 4)
+    return rows.select(F.xxhash64(size, F.col("at.i"), cut).alias("key"), "h", "counts")
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of COUNTED, modulo 256, packed in an int."""
+    """Counts of COUNTED, modulo 256, packed in a long."""
     n = F.length(line)
-    out = F.lit(0)
+    out = F.lit(0).cast("long")
     for k, c in enumerate(COUNTED):
-        out = out.bitwiseOR(F.shiftleft((n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(255)), 8 * k))
+        out = out.bitwiseOR(F.shiftleft((n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(255)).cast("long"), 8 * k))
     return out
 
 
@@ -73,7 +76,7 @@ def counts_apart(a: Column, b: Column) -> Column:
     """A lower bound of the sum of the counts' differences."""
     total = F.lit(0)
     for k in range(len(COUNTED)):
-        d = F.abs(F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255)))
+        d = F.abs(F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255).cast("long")) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255).cast("long")))
         total = total + F.least(d, 256 - d)
     return total
 
@@ -94,17 +97,15 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """h and line of the first spots in ``wanted``, from the dealt documents."""
-        of_doc = wanted.groupBy(F.col(f"first.{KEY}").alias(KEY)).agg(F.collect_set("first.line_no").alias("own"))
+        of_doc = wanted.groupBy(F.col(f"first.{KEY}").alias(KEY)).agg(F.collect_set("first.line_no").alias("__own"))
         found = dealt.join(of_doc.hint("shuffle_hash"), KEY).where(whole)
-        found = found.select("own", F.posexplode(lines).alias("line_no", "line")).where(F.array_contains("own", F.col("line_no")))
+        found = found.select("__own", F.posexplode(lines).alias("line_no", "line")).where(F.array_contains("__own", F.col("line_no")))
         return found.select(F.xxhash64("line").alias("h"), "line")
 
-    every = texts_of(firsts)
-    n = F.length("line")
-    own, asked = signatures(F.col("line"), n, edits)
-    marked = every.select("h", letter_counts(F.col("line")).alias("counts"), F.posexplode(F.array(*own, *asked)).alias("slot", "key"))
-    index = marked.where(F.col("slot") < len(own)).select("key", F.col("h").alias("a"), F.col("counts").alias("ca"))
-    probe = marked.where(F.col("slot") >= len(own)).select("key", F.col("h").alias("b"), F.col("counts").alias("cb"))
+    every = texts_of(firsts).select("h", letter_counts(F.col("line")).alias("counts"), F.length("line").alias("n"), F.encode("line", "UTF-32").alias("wide"))
+    own = [(0, i, 0) for i in range(edits + 1)]
+    index = segment_rows(every, own, edits).select("key", F.col("h").alias("a"), F.col("counts").alias("ca"))
+    probe = segment_rows(every, probes(edits), edits).select("key", F.col("h").alias("b"), F.col("counts").alias("cb"))
     met = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -117,11 +118,11 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     earliest = firsts.join(beside, "h", "left").select("h", F.least("first", F.coalesce("beside", "first")).alias("earliest"))
 
     gone = spots.join(earliest, "h").where(F.col("spot") > F.col("earliest"))
-    gone = gone.groupBy(F.col(f"spot.{KEY}").alias(KEY)).agg(F.collect_set("spot.line_no").alias("gone"))
+    gone = gone.groupBy(F.col(f"spot.{KEY}").alias(KEY)).agg(F.collect_set("spot.line_no").alias("__gone"))
     full = dealt.join(gone.hint("shuffle_hash"), KEY, "left")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    return full.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in names], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("__n_removed"))
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
+    return full.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in names], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("__n_removed"))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
