@@ -37,7 +37,7 @@ from .shared import materialize, partitions, stream_groups
 from .textkit import Words, gram_hashes, gram_places, mix, segments, slices
 
 SHINGLE, SIMILARITY, COORDINATES = 5, 0.8, 64
-RECALL, MAX_DEPTH, BRUTE = 0.995, 4, 128
+RECALL, MAX_DEPTH, BRUTE = 0.995, 3, 256
 #: A pair at the threshold agrees in fewer tokens than this with a chance of about 1 in 100,000.
 TOKEN_SLACK = 4.3
 
@@ -210,8 +210,12 @@ def _link(similarity: float):
             a, b = np.nonzero(near)
             if not len(a):
                 continue
-            leaves = [frozenset(x) for x in unit.column("paths").to_pylist()]
-            first = np.array([min(leaves[x] & leaves[y]) == path for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            # the pair counts here unless the two share a lesser leaf
+            lesser = np.array([(r, x) for r, leaves in enumerate(unit.column("paths").to_pylist()) for x in leaves if x < path], np.int64).reshape(-1, 2)
+            _, column = np.unique(lesser[:, 1], return_inverse=True)
+            has = np.zeros((m, column.max(initial=0) + 1), np.float32)
+            has[lesser[:, 0], column] = 1
+            first = (has @ has.T)[a, b] == 0
             linked = np.zeros(m, np.int64)
             np.add.at(linked, a[first], copies[b[first]])
             np.add.at(linked, b[first], copies[a[first]])
