@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, partitions, stream_groups
+from .shared import materialize, partitions, stream_groups, without
 from .textkit import Words, gram_hashes, gram_places, mix, segments, slices
 
 SHINGLE, SIMILARITY, COORDINATES = 5, 0.8, 64
@@ -308,11 +308,14 @@ def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: floa
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document of least doc_id of each class, with all its columns."""
     names = docs.columns
-    links = link_documents(docs)
+    links = materialize(link_documents(docs), "classes")
     # class_id is unique to a class but for documents without words, which all stay, and null doc_ids
     kept = links.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("doc_key"))).agg(F.min(F.struct("doc_id", "doc_key")).alias("first"))
-    kept = kept.select(F.col("first.doc_key").alias("__doc_key"))
-    blank = links.where("n_copies = 1 AND n_links = 0").select(F.col("doc_key").alias("__doc_key"))
-    kept = kept.unionByName(blank).distinct()
-    own = docs.withColumn("__doc_key", F.xxhash64("doc_id", "text"))
-    return own.join(kept.hint("shuffle_hash"), "__doc_key", "left_semi").dropDuplicates(["__doc_key"]).select(*[F.col(f"`{c}`") for c in names])
+    kept = kept.select("first.doc_key")
+    blank = links.where("n_copies = 1 AND n_links = 0").select("doc_key")
+    keys = links.groupBy(F.col("doc_key").alias("__doc_key")).agg(F.count("*").alias("rows"))
+    gone = materialize(keys.join(kept.unionByName(blank).withColumnRenamed("doc_key", "__doc_key"), "__doc_key", "left_anti").select("__doc_key"), "gone")
+    repeated = materialize(keys.where("rows > 1").select("__doc_key"), "repeated")
+    own = without(docs.withColumn("__doc_key", F.xxhash64("doc_id", "text")), gone, "__doc_key")
+    once = without(own, repeated, "__doc_key").unionByName(without(own, repeated, "__doc_key", negate=True).dropDuplicates(["__doc_key"]))
+    return once.select(*[F.col(f"`{c}`") for c in names])

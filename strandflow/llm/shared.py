@@ -72,3 +72,17 @@ def stream_groups(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[pa.
 
 def rows_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+#: Keys of 8 bytes that may be broadcast.
+MOST_KEYS = 2_000_000
+
+
+def without(df: DataFrame, keys: DataFrame, key: str, negate: bool = False) -> DataFrame:
+    """Rows whose long ``key`` is not (or is) among ``keys``, a written table of distinct keys.
+
+    Up to MOST_KEYS keys are broadcast, so df's rows stay where they are; more
+    are joined by a shuffle.
+    """
+    few = keys.count() <= MOST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, key, "left_semi" if negate else "left_anti")
