@@ -237,7 +237,7 @@ def test_forward_backward_equals_the_sum_over_paths():
 def test_language(spark, empty):
     import random
 
-    from conftest import prose
+    from made_text import prose
 
     rng = random.Random(3)
     rows = [(i, prose(rng, rng.randrange(20, 90), lang), lang) for i, lang in enumerate(["en", "de"] * 150)]
@@ -255,7 +255,7 @@ def test_language(spark, empty):
 def test_code_switching_shows():
     import random
 
-    from conftest import prose
+    from made_text import prose
 
     rng = random.Random(4)
     model = langid.CrfTagger(["de", "en"]).fit([(prose(rng, 80, lang), lang) for lang in ["de", "en"] * 60])
