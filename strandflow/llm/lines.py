@@ -34,7 +34,7 @@ from .shared import partitions
 
 EDITS, MIN_CHARS = 2, 24
 #: Letters that are counted before a pair is verified.
-COUNTED = "etaoinsrhdlucmwg"
+COUNTED = "etaoinsrhdlu"
 KEY = "__doc_key"
 
 
@@ -64,20 +64,24 @@ def segment_rows(lines: DataFrame, places: list[tuple[int, int, int]], edits: in
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of COUNTED, modulo 4, two bits each in an int."""
+    """In an int: counts of COUNTED modulo 4, two bits each, and above them that of all other characters modulo 256."""
     n = F.length(line)
-    out = F.lit(0)
-    for k, c in enumerate(COUNTED):
-        out = out.bitwiseOR(F.shiftleft((n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(3)), 2 * k))
-    return out
+    counts = [n - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED]
+    out, rest = F.lit(0), n
+    for k, c in enumerate(counts):
+        out, rest = out.bitwiseOR(F.shiftleft(c.bitwiseAND(F.lit(3)), 2 * k)), rest - c
+    return out.bitwiseOR(F.shiftleft(rest.bitwiseAND(F.lit(255)), 2 * len(COUNTED)))
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    """A lower bound of the sum of the counts' differences: 1 where they are odd, 2 where they are 2 modulo 4."""
+    """A lower bound of the sum of the counts' differences: a letter's is 1 where it is odd, 2 where it is 2 modulo 4."""
+    bits = 2 * len(COUNTED)
     x = a.bitwiseXOR(b)
-    odd = x.bitwiseAND(F.lit(0x55555555))
-    two = F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(0x55555555)).bitwiseAND(F.bitwise_not(odd))
-    return F.bit_count(odd) + 2 * F.bit_count(two)
+    letters = (1 << bits) - 1
+    odd = x.bitwiseAND(F.lit(0x55555555 & letters))
+    two = F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(0x55555555 & letters)).bitwiseAND(F.bitwise_not(odd))
+    rest = F.abs(F.shiftrightunsigned(a, bits) - F.shiftrightunsigned(b, bits))
+    return F.bit_count(odd) + 2 * F.bit_count(two) + F.least(rest, 256 - rest)
 
 
 def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
