@@ -37,7 +37,7 @@ from .shared import materialize, partitions, stream_groups, without
 from .textkit import Words, gram_hashes, gram_places, mix, segments, slices
 
 SHINGLE, SIMILARITY, COORDINATES = 5, 0.8, 64
-RECALL, MAX_DEPTH, BRUTE = 0.995, 3, 256
+RECALL, MAX_DEPTH, BRUTE = 0.995, 3, 512
 #: A pair at the threshold agrees in fewer tokens than this with a chance of about 1 in 100,000.
 TOKEN_SLACK = 4.3
 
