@@ -3,8 +3,11 @@
 A line (text between line feeds) of ``MIN_CHARS`` characters or more goes if a
 line before it, in the order of doc_id and place, is within ``EDITS``
 insertions, deletions or substitutions of characters; equal lines are at
-distance 0. Shorter lines always stay. What is before a line counts whether or
-not it goes itself.
+distance 0. What is before a line counts whether or not it goes itself.
+
+Of shorter lines only exact repeats go, and only those of ``exact_chars``
+characters or more: all but empty lines in ``dedup_lines``, none in
+``line_digests``, whose SQL leaves every line under ``MIN_CHARS`` alone.
 
 Distinct lines are split into EDITS + 1 segments. Of two lines within EDITS,
 one segment of the shorter lies unchanged in the longer, at one of a few
@@ -84,8 +87,12 @@ def counts_apart(a: Column, b: Column) -> Column:
     return F.bit_count(odd) + 2 * F.bit_count(two) + F.least(rest, 256 - rest)
 
 
-def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of docs, text without the lines that go, and the arrays n_lines, n_removed as longs ``__n_lines`` and ``__n_removed``."""
+def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+    """All columns of docs, text without the lines that go, and the arrays n_lines, n_removed as longs ``__n_lines`` and ``__n_removed``.
+
+    Exact repeats go from ``exact_chars`` characters on (``min_chars`` if None), lines within ``edits`` from ``min_chars`` on.
+    """
+    exact_chars = min_chars if exact_chars is None else exact_chars
     names = docs.columns
     n_parts = partitions(docs.sparkSession)
     keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
@@ -94,7 +101,7 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     whole = (F.hash(*[F.col(f"`{n}`") for n in names]) + F.rand(7)) > F.lit(-4e9)
     lines = F.split("text", "\n", -1)
 
-    spots = keyed.select("doc_id", KEY, F.posexplode(lines).alias("line_no", "line")).where(F.length("line") >= min_chars)
+    spots = keyed.select("doc_id", KEY, F.posexplode(lines).alias("line_no", "line")).where(F.length("line") >= exact_chars)
     spots = spots.select(F.xxhash64("line").alias("h"), F.struct("doc_id", KEY, "line_no").alias("spot"))
     firsts = spots.groupBy("h").agg(F.min("spot").alias("first"))
 
@@ -105,7 +112,10 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
         found = found.select("__own", F.posexplode(lines).alias("line_no", "line")).where(F.array_contains("__own", F.col("line_no")))
         return found.select(F.xxhash64("line").alias("h"), "line")
 
-    every = texts_of(firsts).select("h", letter_counts(F.col("line")).alias("counts"), F.length("line").alias("n"), F.encode("line", "UTF-32").alias("wide"))
+    searched = texts_of(firsts)
+    if exact_chars < min_chars:
+        searched = searched.where(F.length("line") >= min_chars)
+    every = searched.select("h", letter_counts(F.col("line")).alias("counts"), F.length("line").alias("n"), F.encode("line", "UTF-32").alias("wide"))
     own = [(0, i, 0) for i in range(edits + 1)]
     index = segment_rows(every, own, edits).select("key", F.col("h").alias("a"), F.col("counts").alias("ca"))
     probe = segment_rows(every, probes(edits), edits).select("key", F.col("h").alias("b"), F.col("counts").alias("cb"))
@@ -135,7 +145,7 @@ def line_digests(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents without the lines that go; a document all of whose lines went goes, too."""
-    done = remove_lines(docs)
+    """The documents without the lines that go, exact repeats of any length among them; a document all of whose lines went goes, too."""
+    done = remove_lines(docs, exact_chars=1)
     whole = (F.col("__n_removed") == 0) | (F.length(F.trim("text")) > 0)
     return done.where(whole).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -314,6 +314,14 @@ def test_lines(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_short_repeats(spark):
+    long = "a line of text that is long enough to count"
+    rows = [(1, f"Les.\n\n{long}\nLes."), (2, "Les.\nLet.\n \n"), (3, f"x\n{long}!\nLet.\n\n "), (4, "x"), (5, None), (6, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: f"Les.\n\n{long}", 2: "Let.\n \n", 3: "x\n", 5: None, 6: ""}
+    assert {r.doc_id: r.text for r in lines.dedup_lines(table).collect()} == want
+
+
 # 10
 
 
