@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,24 +208,38 @@ def overlap_facts(calls: DataFrame) -> DataFrame:
     return calls.withColumn("dl", F.length("ref") - F.array_min(sizes)).withColumn("snp", F.array_contains(sizes, F.length("ref")))
 
 
+def _fold_islands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """contig and ord of the calls that stay, from calls sorted by contig, island and place."""
+    a = None
+    for batch in batches:
+        types = [batch.column(c).type for c in ("contig", "ord")]
+        kept = []
+        for b in zip(*(batch.column(c).to_pylist() for c in ("contig", "ord", "island", "pos", "last", "qual", "deletes", "hit")), strict=True):
+            if a is not None:
+                contig, _, island, _, last, qual, deletes, _ = a
+                # a null says neither that two calls are apart nor that the first is better
+                apart = deletes is False or b[7] is False or (None not in (b[3], last) and b[3] > last)
+                if (contig, island) != (b[0], b[2]) or apart:
+                    kept.append(a)
+                elif None not in (qual, b[5]) and qual > b[5]:
+                    continue
+            a = b
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate(types)], names=["contig", "ord"])
+    if a is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([a[i]], t) for i, t in enumerate(types)], names=["contig", "ord"])
+
+
 def remove_overlaps(calls: DataFrame) -> DataFrame:
     """Calls without those that overlap a better one: of a deletion and a later SNP or deletion inside it the higher qual stays, on a tie the later.
 
     Islands that no deletion reaches across are independent; within one the
-    rows are folded in order.
+    rows are folded in order, by a task that holds only the last kept call.
     """
     w = Window.partitionBy("contig").orderBy("pos", "ord")
     rows = overlap_facts(calls)
     reach = F.max(F.when(F.col("dl") > 0, F.col("pos") + F.col("dl"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("island", F.sum(F.when(reach.isNull() | (F.col("pos") > reach), 1).otherwise(0)).over(w))
-    each = F.struct("pos", "ord", "qual", "dl", "snp")
-    islands = rows.groupBy("contig", "island").agg(F.array_sort(F.collect_list(each)).alias("rows"))
-
-    def step(kept: Column, b: Column) -> Column:
-        a = F.element_at(kept, -1)
-        clash = (a["dl"] > 0) & (b["snp"] | (b["dl"] > 0)) & (b["pos"] <= a["pos"] + a["dl"])
-        return F.when(~clash, F.concat(kept, F.array(b))).when(a["qual"] > b["qual"], kept).otherwise(F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(b)))
-
-    folded = islands.withColumn("kept", F.aggregate(F.slice("rows", 2, 1_000_000), F.slice("rows", 1, 1), step))
-    kept = folded.select("contig", F.explode(F.transform("kept", lambda x: x["ord"])).alias("ord"))
+    rows = rows.select("contig", "ord", "island", "pos", (F.col("pos") + F.col("dl")).alias("last"), "qual", (F.col("dl") > 0).alias("deletes"), (F.col("snp") | (F.col("dl") > 0)).alias("hit"))
+    dealt = rows.repartition("contig", "island").sortWithinPartitions("contig", "island", "pos", "ord", "qual")
+    kept = dealt.mapInArrow(_fold_islands, calls.select("contig", "ord").schema)
     return calls.join(kept, ["contig", "ord"], "left_semi")

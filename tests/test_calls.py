@@ -101,6 +101,12 @@ def test_overlaps_equal_the_fold(spark):
     assert sorted(r.ord for r in calls.remove_overlaps(df).collect()) == overlap_loop(rows)
 
 
+def test_overlaps_of_a_long_island(spark):
+    n = 1_000_002
+    df = spark.range(n).select(F.lit("c").alias("contig"), F.col("id").alias("ord"), F.lit(7).cast("long").alias("pos"), F.lit("AC").alias("ref"), F.lit("A").alias("alt"), F.lit(1).alias("qual"))
+    assert [r.ord for r in calls.remove_overlaps(df).collect()] == [n - 1]
+
+
 def test_ensemble_of_equal_runs_is_the_input(spark):
     rows = [(k, "c", i, f"s{k}", [0.125 * i, 0.5]) for k in range(3) for i in range(4)]
     df = spark.createDataFrame(rows, "ord long, contig string, pos long, seq string, p array<double>")
