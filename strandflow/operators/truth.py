@@ -24,7 +24,7 @@ def split_stars(variants: DataFrame, reference: DataFrame) -> DataFrame:
     alts = F.split("alt", ",")
     second = F.get(alts, F.lit(1))
     lone = star & (F.size(alts) < 2)
-    ordered = F.when(lone, F.array(F.raise_error(F.lit("a lone * alternate"))).cast("array<string>")).when(second == "*", F.concat(F.array(F.lit("*"), F.substring("alt", 1, 1)), F.slice(alts, 3, 100))).otherwise(alts)
+    ordered = F.when(lone, F.array(F.raise_error(F.lit("a lone * alternate"))).cast("array<string>")).when(second == "*", F.concat(F.array(F.lit("*"), F.substring("alt", 1, 1)), F.slice(alts, 3, F.size(alts)))).otherwise(alts)
     rows = variants.withColumn("alts", F.when(star, ordered).otherwise(F.array("alt")))
     rows = rows.select("*", star.alias("starred"), F.posexplode("alts").alias("part", "one")).drop("alts")
     is_star = F.col("starred") & (F.col("one") == "*")
@@ -67,7 +67,7 @@ def merge_adjacent(rows: DataFrame) -> DataFrame:
     each = F.struct("ord", "part", F.struct("ref", "alt", "gt1", "gt2").alias("v"))
     sets = runs.groupBy("contig", "run", "pos").agg(F.array_sort(F.collect_list(each)).alias("rows"))
     values = F.transform("rows", lambda x: x["v"])
-    folded = F.aggregate(F.slice(values, 2, 10_000), values[0], lambda a, b: merge_pair(a, b))
+    folded = F.aggregate(F.slice(values, 2, F.size(values)), values[0], lambda a, b: merge_pair(a, b))
     # inline() evaluates the fold once for its four fields
     return sets.select("contig", "pos", F.inline(F.array(folded)))
 

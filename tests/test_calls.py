@@ -26,6 +26,15 @@ def test_truth_stars_and_merges(spark):
         truth.parse_genotypes(spark.createDataFrame([("1",)], "gt string")).collect()
 
 
+def test_truth_of_long_runs(spark):
+    vcf = spark.range(10_002).select(F.col("id").alias("ord"), F.lit("c").alias("contig"), F.lit(10).cast("long").alias("pos"), F.lit("A").alias("ref"), F.when(F.col("id") < 10_001, "G").otherwise("T").alias("alt"), F.lit("0/1").alias("gt"))
+    stars = spark.createDataFrame([(20_000, "c", 40, "A", ",".join(["TT", "*", *("G" * (i + 3) for i in range(101))]), "1/2")], vcf.schema)
+    reference = spark.createDataFrame([("c", i, "C") for i in range(60)], "contig string, pos0 long, base string")
+    assert [tuple(r) for r in truth.truth_variants(vcf, reference).collect()] == [("c", 10, "A", "G,T", 1, 2)]
+    parts = truth.split_stars(truth.parse_genotypes(stars), reference).orderBy("part").collect()
+    assert [r.alt for r in parts[1:]] == ["T", *("G" * (i + 3) for i in range(101))]
+
+
 def test_duplicate_keys(spark):
     rows = spark.createDataFrame([("c", 1, i) for i in range(60)] + [("c", 2, 5)], "contig string, pos long, ord long")
     assert truth.number_duplicates(rows, True).count() == 54 and truth.number_duplicates(rows, False).count() == 2
