@@ -33,6 +33,25 @@ from .textkit import segments, slices
 CACHE = 250_000
 #: White space that str.split() knows and the vocabulary's pattern does not.
 _ODD = re.compile("[\x1c-\x1f]")
+# Ranges of letters and numbers that the ``regex`` package knows and the tokenizers library does not.
+UNKNOWN = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959),
+    (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+# First and last capital of a range and the small letter of the first, which the library knows and Python's tables may not.
+CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+_SMALL = {c: low + c - a for a, b, low in CAPITALS for c in range(a, b + 1)}
+_NEWER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNKNOWN) + "".join(map(chr, _SMALL)) + "]")
+_UNKNOWN = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNKNOWN) + "]")
+#: Unassigned for good, so in no class of any version of the tables.
+_UNASSIGNED = "\u0378"
 _loaded: dict[str, "BpeCodec"] = {}
 
 
@@ -116,7 +135,13 @@ class BpeCodec:
         """Ids, as little-endian unsigned 32-bit integers, of a text without white space (or of any normalised text)."""
         low = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
         out = array("I")
-        for piece in self.pattern.findall(low):
+        if _NEWER.search(low):  # as the library's tables have them
+            low = low.translate(_SMALL)
+            spans = (m.span() for m in self.pattern.finditer(_UNKNOWN.sub(_UNASSIGNED, low)))
+            pieces = [low[a:b] for a, b in spans]
+        else:
+            pieces = self.pattern.findall(low)
+        for piece in pieces:
             out.extend(self.merge(piece.encode("utf-8", "surrogatepass")))
         return out.tobytes()
 

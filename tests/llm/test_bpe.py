@@ -1,9 +1,10 @@
 import random
 
+import public_tokenizers
 import pytest
 from strandflow.llm.bpe import BpeCodec, token_digests
 
-PATH = "/opt/tokenizers/word_bpe_49k.json"
+PATH = public_tokenizers.path("word_bpe_49k.json")
 CASES = ["", " ", "Hello,  World! it's 2024", "naïve café", "ΑΣ ΣΑΣ. Σ", "İstanbul", "a" * 5000, "<|endoftext|> x<|startoftext|>y", "<|ENDOFTEXT|>", "a\x1cb \x1f c", "x y z　", "日本語 テスト", "🙂🙂 👍🏽", "don't WE'LL 're 12345", "\t\n\r\x0b\x0c", "#$%^&*!!", "Å", "é ́x"]
 
 
