@@ -12,11 +12,14 @@ the repetitions, whose number reaches ``RECALL`` for pairs that agree in half
 of the coordinates. Joined pairs are verified by exact bit-parallel edit
 distance against every stretch around the window.
 
-Items travel to the tasks in blocks of ``BLOCK`` at most; a larger benchmark
-takes one pass of the documents for each block.
+Items travel to the tasks in blocks of about ``BLOCK`` items and
+``BLOCK_BYTES`` of text; a larger benchmark takes one pass of the documents for
+each block. Windows around seeds are made and searched ``AROUND`` at a time, so
+seeds of frequent words cost time, not memory.
 
 Defined results: null or blank texts and items hold nothing; equal items all
-match; texts are whole; repeated rows give repeated rows; empty tables give no
+match, and an item without an id is one like any other, its item_id null;
+texts are whole; repeated rows give repeated rows; empty tables give no
 rows; extra columns are ignored by leaks() and kept by decontaminate().
 """
 
@@ -35,8 +38,9 @@ from pyspark.sql import functions as F
 from .shared import base_columns
 from .textkit import Words, gram_hashes, slices
 
-SIMILARITY, RECALL, SAMPLED, BLOCK = 0.8, 0.999, 2, 20_000
-SEED_WORDS = 4
+SIMILARITY, RECALL, SAMPLED = 0.8, 0.999, 2
+BLOCK, BLOCK_BYTES = 20_000, 32 << 20
+SEED_WORDS, AROUND = 4, 400_000
 
 
 def repetitions(recall: float = RECALL, sampled: int = SAMPLED, agree: float = 0.5) -> int:
@@ -137,29 +141,39 @@ class ItemIndex:
                 key ^= key >> np.uint64(29)
         return key
 
-    def windows(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First word and length of the item-sized windows around seeds, distinct and inside one document."""
-        found = []
+    def windows(self, words: Words, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """First word and size of the item-sized windows that begin around seeds, inside the seed's document; about AROUND at a time, those distinct."""
         doc = words.doc_of_word()
+        sizes, shifts = np.array([len(w) for w in self.words], np.int64), np.array(self.most, np.int64)
+        seeds = max(1, AROUND // (2 * int(shifts.max(initial=0)) + 1))
         for k, (keys, items, offsets, bits) in self.seeds.items():
             grams = gram_hashes(hashes, k)
             hit = np.flatnonzero(bits[(grams >> np.uint64(42)).astype(np.int64)])
             hit = hit[doc[hit] == doc[hit + k - 1]]
             lo, hi = np.searchsorted(keys, grams[hit], "left"), np.searchsorted(keys, grams[hit], "right")
-            count = hi - lo
-            place = np.repeat(hit, count)
-            row = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            n = np.array([len(w) for w in self.words], np.int64)[items[row]]
-            shift = np.array(self.most, np.int64)[items[row]]
-            around = np.repeat(np.arange(len(row)), 2 * shift + 1)
-            step = np.arange(len(around)) - np.repeat(np.cumsum(2 * shift + 1) - 2 * shift - 1, 2 * shift + 1)
-            own = doc[place][around]
-            start = np.clip((place - offsets[row])[around] - shift[around] + step, words.doc_words[own], None)
-            length = np.minimum(n[around], words.doc_words[own + 1] - start)
-            keep = length > 0
-            found.append(np.stack([start[keep], n[around][keep], length[keep]]))
-        every = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
-        return every[0], every[1]
+            met = hi > lo
+            hit, lo, hi = hit[met], lo[met], hi[met]
+            # windows that each place gives: the sum of 2 * shift + 1 over its seeds
+            upto = np.concatenate([[0], np.cumsum(2 * shifts[items] + 1)])
+            cost = np.cumsum(upto[hi] - upto[lo])
+            a = 0
+            while a < len(hit):
+                b = max(a + 1, int(np.searchsorted(cost, (cost[a - 1] if a else 0) + AROUND, "right")))
+                # one place of more seeds than that goes by a part of its seeds
+                for first in range(int(lo[a]), int(hi[a]), seeds) if b == a + 1 else [None]:
+                    low, high = (lo[a:b], hi[a:b]) if first is None else (np.array([first]), np.minimum(hi[a:b], first + seeds))
+                    count = high - low
+                    place = np.repeat(hit[a:b], count)
+                    row = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    n, shift = sizes[items[row]], shifts[items[row]]
+                    around = np.repeat(np.arange(len(row)), 2 * shift + 1)
+                    step = np.arange(len(around)) - np.repeat(np.cumsum(2 * shift + 1) - 2 * shift - 1, 2 * shift + 1)
+                    own = doc[place][around]
+                    start = np.clip((place - offsets[row])[around] - shift[around] + step, words.doc_words[own], None)
+                    keep = start < words.doc_words[own + 1]
+                    every = np.unique(np.stack([start[keep], n[around][keep]]), axis=1)
+                    yield every[0], every[1]
+                a = b
 
     def matches(self, column: pa.Array) -> list[tuple[int, int, int, int]]:
         """(document, item, edits, first word) of the best stretch for each document and item, in order."""
@@ -167,36 +181,35 @@ class ItemIndex:
         if not len(words.starts) or not self.table:
             return []
         hashes, doc = words.hashes(), words.doc_of_word()
-        starts, n = self.windows(words, hashes)
-        if not len(starts):
-            return []
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        tried: set[tuple[int, int]] = set()
-        for a in range(0, len(starts), 2000):
-            s, size = starts[a : a + 2000], n[a : a + 2000]
-            keys = self.buckets(hashes, s, size)
-            for run, w in zip(*np.nonzero(np.isin(keys, self.known)), strict=True):
-                start, d = int(s[w]), int(doc[s[w]])
-                for item in self.table[int(keys[run, w])]:
-                    if (start, item) in tried:
-                        continue
-                    tried.add((start, item))
-                    most, m = self.most[item], len(self.words[item])
-                    lo, hi = max(int(words.doc_words[d]), start - most), min(int(words.doc_words[d + 1]), start + m + 2 * most)
-                    seen = search(self.words[item].tolist(), hashes[lo:hi].tolist(), most)
-                    if seen:
-                        first = max(lo, lo + seen[1] - m) - int(words.doc_words[d])
-                        best[d, item] = min(best.get((d, item), (m, 0)), (seen[0], first))
+        for starts, n in self.windows(words, hashes):
+            tried: set[tuple[int, int]] = set()
+            for a in range(0, len(starts), 2000):
+                s, size = starts[a : a + 2000], n[a : a + 2000]
+                keys = self.buckets(hashes, s, size)
+                for run, w in zip(*np.nonzero(np.isin(keys, self.known)), strict=True):
+                    start, d = int(s[w]), int(doc[s[w]])
+                    for item in self.table[int(keys[run, w])]:
+                        if (start, item) in tried:
+                            continue
+                        tried.add((start, item))
+                        most, m = self.most[item], len(self.words[item])
+                        lo, hi = max(int(words.doc_words[d]), start - most), min(int(words.doc_words[d + 1]), start + m + 2 * most)
+                        seen = search(self.words[item].tolist(), hashes[lo:hi].tolist(), most)
+                        if seen:
+                            first = max(lo, lo + seen[1] - m) - int(words.doc_words[d])
+                            best[d, item] = min(best.get((d, item), (m, 0)), (seen[0], first))
         return sorted((d, item, edits, first) for (d, item), (edits, first) in best.items())
 
 
 def item_blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[ItemIndex]:
-    """Indexes of at most about ``block`` items each."""
+    """Indexes of about ``block`` items and BLOCK_BYTES of their text each, dealt by hash."""
     items = base_columns(benchmark, "item_id", "text").where("text IS NOT NULL")
-    blocks = max(1, math.ceil(items.count() / block))
+    total = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    blocks = max(1, math.ceil(total.n / block), math.ceil((total.size or 0) / BLOCK_BYTES))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield ItemIndex(sorted((r.item_id, r.text) for r in part.collect()))
+        yield ItemIndex(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
