@@ -7,9 +7,11 @@ words are learned with them. Forward-backward gives each word's label
 distribution, so stretches of another language inside a text show; a text's
 language is the label of the largest mean over its words with letters.
 
-Training takes a bounded sample (``PER_LANG`` documents of each language, by
-hash of doc_id): one half gives the lexicons, and the other is cut into pieces
-that are joined across languages, so that the transitions see code-switching.
+Training takes a bounded sample: of the ``MOST_LANGS`` languages with most
+labelled documents, ``PER_LANG`` distinct texts and ``LANG_BYTES`` each, by
+hash, so that every run takes the same ones. One half gives the lexicons, and
+the other is cut into pieces that are joined across languages, so that the
+transitions see code-switching.
 
 Texts are cut into segments of ``SEGMENT`` words whose transfer matrices are
 multiplied in parallel, which keeps the cost of long texts linear and their
@@ -30,10 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import base_columns
+from .shared import base_columns, bounded_sample
 from .textkit import BYTE_TABLE, RangeHash, Words, mix, segments, slices
 
-PER_LANG, BUCKETS, SEGMENT = 300, 1 << 18, 32
+PER_LANG, LANG_BYTES, MOST_LANGS = 300, 4 << 20, 200
+BUCKETS, SEGMENT = 1 << 18, 32
 STEPS, BATCH, LENGTH, RATE, DECAY = 200, 160, 48, 0.1, 1e-6
 _SALTS = np.random.RandomState(9).randint(0, 1 << 62, 16).astype(np.uint64)
 
@@ -255,15 +258,15 @@ def _start(transfer: np.ndarray, rows: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> CrfTagger | None:
-    """Fits on per_lang documents of each language; docs: doc_id, text, lang of the documents to learn from."""
+    """Fits on the bounded sample; docs: doc_id, text, lang of the documents to learn from."""
     rows = base_columns(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    labels = sorted(r.lang for r in rows.select("lang").distinct().collect())  # as many as there are languages
-    texts: list[tuple[str, str]] = []
-    for label in labels:
-        own = rows.where(F.col("lang") == label).select("doc_id", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "doc_id").limit(per_lang)
-        found = rows.where(F.col("lang") == label).join(F.broadcast(own.select("doc_id").distinct()), "doc_id", "left_semi")  # per_lang ids at most
-        texts += sorted(((r.text, label) for r in found.select("text").limit(2 * per_lang).collect()))
-    return CrfTagger(labels).fit(texts) if texts else None
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    labels = sorted(r.lang for r in counts.collect())  # MOST_LANGS rows at most
+    if not labels:
+        return None
+    sample = bounded_sample(rows.where(F.col("lang").isin(labels)), "lang", per_lang, LANG_BYTES)
+    texts = sorted((r.text, r.g) for r in sample.collect())  # bounded in documents and bytes
+    return CrfTagger(labels).fit(sorted(texts, key=lambda x: x[1])) if texts else None
 
 
 def predict(docs: DataFrame, tagger: CrfTagger | None) -> DataFrame:

@@ -11,6 +11,7 @@ Defined results: null text is empty (one row of blanks); equal texts have
 equal values; texts of any length are whole; an empty table gives no rows;
 extra columns are ignored. A shard is written under a name of its attempt and
 renamed when it is complete, so a repeated task leaves whole shards only.
+release() of ``shared`` removes shards and index when they are no longer read.
 """
 
 from __future__ import annotations
@@ -95,11 +96,21 @@ def feature_of(payload: bytes, width: int, height: int) -> str:
     return f"{width}x{height} mean={total * 1000 // n} var={(n * squares - total * total) * 1000 // (n * n)} ahash={mark:016x}"
 
 
+def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system and path of an address as Hadoop writes it (file:/, s3a://, s3n://, hdfs://, gs://, abfss://)."""
+    scheme, colon, rest = uri.partition(":")
+    if colon and scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif scheme == "file" and not rest.startswith("//"):
+        uri = f"file://{rest}"
+    return pa.fs.FileSystem.from_uri(uri)
+
+
 class _Shards:
     """Writes images into tar shards of about SHARD_BYTES; equal images of a shard lie there once."""
 
     def __init__(self, uri: str):
-        self.fs, self.root = pa.fs.FileSystem.from_uri(uri)
+        self.fs, self.root = file_system(uri)
         self.task = TaskContext.get()
         self.k, self.out, self.seen = 0, None, {}
 
@@ -155,7 +166,7 @@ def _ranges(index: DataFrame, uri: str, columns: list[tuple[str, pa.DataType, st
     kept = [f.name for f in index.schema]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(uri)
+        fs, root = file_system(uri)
         name = file = place = found = None
         for batch in batches:
             rows = []
@@ -196,8 +207,8 @@ def store(docs: DataFrame) -> tuple[DataFrame, str]:
     """Writes shards and index to a new place in the shared folder; the index and the shards' address."""
     spark = docs.sparkSession
     uri = fresh_path(spark, "media")
-    uri = uri if "://" in uri else f"file://{uri}"
-    fs, root = pa.fs.FileSystem.from_uri(uri)
+    uri = uri if ":" in uri else f"file://{uri}"
+    fs, root = file_system(uri)
     fs.create_dir(root, recursive=True)
     return materialize(write_shards(docs, uri), "media-index"), uri
 

@@ -213,6 +213,43 @@ def test_leaks(spark, docs, corpus, empty):
     assert decontamination.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_recall_at_the_permitted_edits(spark):
+    rng = np.random.RandomState(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items, texts = [], []
+    for i in range(160):
+        n = [8, 12, 20, 30, 50][i % 5]
+        item = list(rng.choice(vocabulary, n))
+        copy = list(item)
+        for e in range(decontamination.allowed(n)):
+            at = rng.randint(1, len(copy) - 1)
+            copy[at : at + rng.randint(2)] = [f"new{e}"] * rng.randint(1, 2)
+        items.append((i, " ".join(item)))
+        texts.append((i, " ".join([*rng.choice(vocabulary, 40), *copy, *rng.choice(vocabulary, 40)])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(i, i) for i, (_, t) in enumerate(texts) if edit_distance(items[i][1].split(), t.split()) <= decontamination.allowed(len(items[i][1].split()))}
+    assert len(want) >= 150 and len(found & want) >= 0.99 * len(want)
+
+
+def test_frequent_seeds_and_null_items(spark, monkeypatch):
+    text = "of the " * 40
+    docs = spark.createDataFrame([(1, text), (2, "of the " * 3 + "end"), (3, None)], "doc_id long, text string")
+    items = [(None, "of the of the of"), (None, "the of the of the of the"), (2, "of the end"), (3, "of the of the of the of the of the x")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = Counter()
+    for d, t in ((1, text), (2, "of the " * 3 + "end")):
+        for i, item in items:
+            if (e := edit_distance(item.split(), t.split())) <= decontamination.allowed(len(item.split())):
+                want[d, i, e] += 1
+    for around in (400_000, 7):
+        monkeypatch.setattr(decontamination, "AROUND", around)
+        index = next(decontamination.item_blocks(benchmark))
+        got = Counter((d + 1, index.ids[i], e) for d, i, e, _ in index.matches(pa.array([text, "of the " * 3 + "end", None])))
+        assert got == want
+    assert Counter((r.doc_id, r.item_id, r.edits) for r in decontamination.leaks(docs, benchmark).collect()) == want
+
+
 # 7
 
 
