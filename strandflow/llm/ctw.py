@@ -8,11 +8,16 @@ of a byte follows from the resulting posterior weights along its context path.
 
 The corpus is gathered in bounded pieces. Documents are dealt into chunks of
 about ``CHUNK_BYTES``; a chunk sends each of its distinct words and byte grams
-once, with its training count. Counts are summed by key, the trees of all
-contexts that share the nearest byte are weighted in one task, and each chunk
-gets back the values of its own keys only; no task sums or answers for more
-than ``GROUP`` chunks' rows of a shard, or that many groups' sums. The driver sees 255 root nodes and
-four totals.
+once, with its training count. Words are sharded by hash, grams by the two
+bytes nearest to the coded one. Counts are summed by key in levels of
+``GROUP`` rows each, so a task sums GROUP rows of a shard at most; the trees
+below two context bytes are weighted shard by shard, and a sum by decision and
+nearest byte merges them into the two levels above (65,536 nodes at most, the
+only thing that the driver sees besides three totals). Each chunk gets back
+the values of its own keys only. A shard with many questions is answered by
+several tasks, each with a copy of its model; a copy answers ``ANSWERS`` keys,
+or four times as many as its model has, so copies stay under a quarter of the
+questions.
 
 Defined results: null text is empty, one end token and one end symbol (byte
 0); texts of any length are whole; repeated rows count as often as they occur;
@@ -37,8 +42,12 @@ from .textkit import _LOWER, Words, segments, slices, utf8
 
 DEPTH = 5
 CHUNK_BYTES = 32 << 20
-#: Chunks whose rows one task sums or answers for a shard.
+#: Rows of a shard that one task sums.
 GROUP = 64
+#: Keys that one copy of a shard's model answers, at least.
+ANSWERS = 4_000_000
+#: Most shards of words, and of grams (as many as two bytes have values).
+WORD_SHARDS, GRAM_SHARDS = 4096, 1 << 16
 END_WORD = np.uint64(0x00E17D0C0FFEE001)
 WORD, GRAM = 0, 1
 HALF = math.log(0.5)
@@ -64,7 +73,7 @@ def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 class Subtree:
-    """The weighted trees of one decision (bit ``k`` of a byte) for grams whose nearest context byte is the same.
+    """The weighted trees of one decision (bit ``k`` of a byte) below contexts of two bytes.
 
     keys: the context bytes, the nearest in the second byte from below, and
     the coded byte in the lowest; counts: training counts, zero allowed.
@@ -75,7 +84,7 @@ class Subtree:
         byte = (keys & np.uint64(255)).astype(np.int64)
         z = (1 << k) | (byte >> (8 - k))
         self.bit = (byte >> (7 - k)) & 1
-        levels = range(depth, 0, -1)
+        levels = range(depth, 1, -1)
         self.back: dict[int, np.ndarray] = {}
         self.counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         node = (keys & ~np.uint64(255)) | z.astype(np.uint64)
@@ -84,7 +93,7 @@ class Subtree:
             node, self.back[d] = np.unique(node & np.uint64((1 << (8 * d + 8)) - 1), return_inverse=True)
             n0, n1 = (np.bincount(self.back[d], n, len(node)) for n in (n0, n1))
             self.counts[d] = n0, n1
-        self.decision = (node & np.uint64(255)).astype(np.int64)
+        self.near = (node & np.uint64(0xFFFF)).astype(np.int64)  # nearest byte and decision
         self.stop: dict[int, np.ndarray] = {}
         below = None
         for d in levels:
@@ -96,20 +105,21 @@ class Subtree:
                 product = np.bincount(below, self.weighted, len(block))
                 self.weighted = np.logaddexp(HALF + block, HALF + product)
                 self.stop[d] = np.exp(HALF + block - self.weighted)
-            below = self.back[d - 1] if d > 1 else None
+            below = self.back[d - 1] if d > 2 else None
 
     def top(self) -> np.ndarray:
-        """Decision node, zeros, ones, weighted ln probability of the depth-1 nodes, as rows."""
-        return np.stack([self.decision, *self.counts[1], self.weighted])
+        """Nearest byte and decision, zeros, ones and the product of weighted probabilities (ln) below them, as rows."""
+        near, place = np.unique(self.near, return_inverse=True)
+        return np.stack([near, *(np.bincount(place, x, len(near)) for x in (*self.counts[2], self.weighted))])
 
-    def below_root(self) -> np.ndarray:
-        """Probability of each gram's bit, mixed over the depths from 1 on."""
+    def below_top(self) -> np.ndarray:
+        """Probability of each gram's bit, mixed over the depths from 2 on."""
         places = {}
         at = np.arange(len(self.bit))
-        for d in range(self.depth, 0, -1):
+        for d in range(self.depth, 1, -1):
             at = places[d] = self.back[d][at]
         q = np.zeros(len(self.bit))
-        for d in range(self.depth, 0, -1):
+        for d in range(self.depth, 1, -1):
             at = places[d]
             n0, n1 = self.counts[d][0][at], self.counts[d][1][at]
             stop = self.stop[d][at]
@@ -117,22 +127,31 @@ class Subtree:
         return q
 
 
-class Root:
-    """The empty context's node of each decision."""
+class Top:
+    """The nodes of one context byte and of none, for each decision."""
 
-    def __init__(self, rows: Iterable[tuple[int, float, float, float]]):
-        zeros, ones, below = np.zeros(256), np.zeros(256), np.zeros(256)
-        for z, n0, n1, w in rows:
-            zeros[z], ones[z], below[z] = n0, n1, w
+    def __init__(self, near: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
+        """near: nearest byte times 256 plus decision, each once."""
+        sums = np.zeros((3, 1 << 16))
+        sums[:, near] = zeros, ones, below
+        self.stop1, self.kt1, weighted = self._mixed(*sums)
+        over = [np.bincount(near & 255, x, 256) for x in (zeros, ones, weighted[near])]
+        self.stop0, self.kt0, _ = self._mixed(*over)
+
+    @staticmethod
+    def _mixed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         block = kt_block(zeros, ones)
-        self.stop = np.exp(HALF + block - np.logaddexp(HALF + block, HALF + below))
-        self.kt = np.stack([zeros + 0.5, ones + 0.5]) / (zeros + ones + 1)
+        weighted = np.logaddexp(HALF + block, HALF + below)
+        return np.exp(HALF + block - weighted), np.stack([zeros + 0.5, ones + 0.5]) / (zeros + ones + 1), weighted
 
     def log10(self, keys: np.ndarray, q: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's byte in its context."""
-        byte, k = (keys & np.uint64(255)).astype(np.int64), np.arange(8)
-        z, bit = (1 << k) | (byte[:, None] >> (8 - k)), (byte[:, None] >> (7 - k)) & 1
-        p = self.stop[z] * self.kt[bit, z] + (1 - self.stop[z]) * q
+        near, k = (keys & np.uint64(0xFFFF)).astype(np.int64)[:, None], np.arange(8)
+        byte = near & 255
+        z, bit = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
+        at = (near & ~255) | z
+        p = self.stop1[at] * self.kt1[bit, at] + (1 - self.stop1[at]) * q
+        p = self.stop0[z] * self.kt0[bit, z] + (1 - self.stop0[z]) * p
         return np.log10(p).sum(axis=1)
 
 
@@ -192,13 +211,21 @@ def _text_slices(table: pa.Table, most: int = 2 << 20) -> Iterator[pa.RecordBatc
         yield from slices(batch, "text", most)
 
 
-DICTIONARY = "kind int, shard int, chunk int, keys binary, counts binary"
+def shard_of(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
+    """Words by hash, grams by the two nearest context bytes."""
+    if kind == WORD:
+        return ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+    near = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
+    return (near * np.uint64(40503) & np.uint64(0xFFFF)).astype(np.int64) % shards
+
+
+DICTIONARY = "kind int, shard int, chunk int, n long, keys binary, counts binary"
 
 
-def _chunk_keys(depth: int, shards: int):
+def _chunk_keys(depth: int, shards: dict[int, int]):
     """Rows sorted by chunk: each chunk's distinct keys by kind and shard, with training counts."""
 
-    schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def sums(store: list, keys: np.ndarray, at: np.ndarray, train: np.ndarray) -> None:
         own, place = distinct(keys)
@@ -214,12 +241,12 @@ def _chunk_keys(depth: int, shards: int):
     def flush(chunk: int, words: list, grams: list) -> Iterator[pa.RecordBatch]:
         for kind, store in ((WORD, words), (GRAM, grams)):
             keys, n = merged(store)
-            shard = (keys >> np.uint64(40)) % np.uint64(shards) if kind == WORD else (keys >> np.uint64(8)) & np.uint64(255)
+            shard = shard_of(keys, kind, shards[kind])
             order = np.argsort(shard, kind="stable")
-            keys, n, shard = keys[order], n[order], shard[order].astype(np.int64)
+            keys, n, shard = keys[order], n[order], shard[order]
             cuts = np.flatnonzero(np.diff(shard)) + 1
-            parts = [(int(s[0]), pack(k), zlib.compress(c.astype(np.uint32).tobytes(), 1)) for s, k, c in zip(np.split(shard, cuts), np.split(keys, cuts), np.split(n, cuts), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(parts), pa.int32()), pa.array([p[0] for p in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int32()), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())], schema=schema)
+            rows = [(kind, int(s[0]), chunk, len(k), pack(k), zlib.compress(c.astype(np.int64).tobytes(), 1)) for s, k, c in zip(np.split(shard, cuts), np.split(keys, cuts), np.split(n, cuts), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, words, grams = None, [], []
@@ -243,37 +270,37 @@ def _chunk_keys(depth: int, shards: int):
     return run
 
 
-MODEL = "kind int, shard int, keys binary, values binary, top binary"
+MODEL = "kind int, shard int, group int, n long, keys binary, values binary, top binary"
 
 
-def _weigh(depth: int, final: bool, count: type):
-    """Rows sorted by kind and shard: sums a shard's counts as they stream by, and gives its model or, if not ``final``, the sums."""
+def _weigh(depth: int, final: bool):
+    """Rows sorted by kind, shard and group: sums the counts of each as they stream by, and gives the shard's model or, if not ``final``, the sums."""
 
-    schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()), ("top", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("group", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("top", pa.binary())])
 
-    def model(kind: int, shard: int, parts: list) -> pa.RecordBatch:
+    def model(kind: int, shard: int, group: int, parts: list) -> pa.RecordBatch:
         keys, n = merged(parts)
         if not final:
-            row = (pack(keys), zlib.compress(n.tobytes(), 1), None)
-            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], schema=schema)
-        if kind == WORD:
+            values, top = zlib.compress(n.tobytes(), 1), None
+        elif kind == WORD:
             values, top = n.tobytes(), b""
         else:
             trees = (Subtree(keys, n, depth, k) for k in range(8))
-            done = [(t.below_root().astype(np.float32), t.top()) for t in trees]
+            done = [(t.below_top().astype(np.float32), t.top()) for t in trees]
             values, top = np.stack([q for q, _ in done], axis=1).tobytes(), np.concatenate([t for _, t in done], axis=1).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in (pack(keys), values, top))], schema=schema)
+        row = (kind, shard, group, len(keys), pack(keys), values, top)
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, parts, held = None, [], 0
         for batch in batches:
-            for kind, shard, keys, n in zip(*(batch.column(c) for c in ("kind", "shard", "keys", "counts")), strict=True):
-                here = kind.as_py(), shard.as_py()
+            for kind, shard, group, keys, n in zip(*(batch.column(c) for c in ("kind", "shard", "group", "keys", "counts")), strict=True):
+                here = kind.as_py(), shard.as_py(), group.as_py()
                 if last is not None and here != last:
                     yield model(*last, parts)
                     parts, held = [], 0
                 last = here
-                parts.append((unpack(keys.as_py()), np.frombuffer(zlib.decompress(n.as_py()), count)))
+                parts.append((unpack(keys.as_py()), np.frombuffer(zlib.decompress(n.as_py()), np.int64)))
                 held += len(parts[-1][0])
                 if held > 2 * len(parts[0][0]) + (1 << 20):
                     parts = [merged(parts)]
@@ -284,38 +311,39 @@ def _weigh(depth: int, final: bool, count: type):
     return run
 
 
-def _root_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Depth-1 nodes of grams; for words, z = 0 carries distinct and all training tokens."""
+def _top_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by nearest byte and decision; for words, near = -1 carries distinct and all training tokens."""
     for batch in batches:
         for kind, values, top in zip(*(batch.column(k).to_pylist() for k in ("kind", "values", "top")), strict=True):
             if kind == WORD:
                 n = np.frombuffer(values, np.int64)
-                node, a, b, c = np.array([[0], [(n > 0).sum()], [n.sum()], [0]], float)
+                near, a, b, c = np.array([[-1], [(n > 0).sum()], [n.sum()], [0]], float)
             else:
-                node, a, b, c = np.frombuffer(top, float).reshape(4, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(a), pa.array(b), pa.array(c)], names=["z", "n0", "n1", "w"])
+                near, a, b, c = np.frombuffer(top, float).reshape(4, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int64)), pa.array(a), pa.array(b), pa.array(c)], names=["near", "n0", "n1", "w"])
 
 
-def _answers(root: Root):
+def _answers(top):
     """Model rows and chunk rows of a shard, the model first: each chunk's values in the order of its keys."""
 
     schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = values = None
+        own = top.value
         for batch in batches:
             for kind, chunk, k, v in zip(*(batch.column(c) for c in ("kind", "chunk", "keys", "values")), strict=True):
                 kind, chunk, k = kind.as_py(), chunk.as_py(), k.as_py()
                 if chunk < 0:
                     keys = unpack(k)
                     if kind == WORD:
-                        values = np.frombuffer(v.as_py(), np.int64).astype(np.float64)
+                        values = np.frombuffer(v.as_py(), np.int64)
                     else:
                         q = np.frombuffer(v.as_py(), np.float32).reshape(-1, 8)
-                        values = np.concatenate([root.log10(keys[i : i + 65536], q[i : i + 65536].astype(float)) for i in range(0, len(keys), 65536)])
+                        values = np.concatenate([own.log10(keys[i : i + 65536], q[i : i + 65536].astype(float)) for i in range(0, len(keys), 65536)])
                     continue
                 found = values[np.searchsorted(keys, unpack(k))]
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([chunk], pa.int32()), pa.array([k], pa.binary()), pa.array([zlib.compress(found.astype(np.uint32).tobytes(), 1) if kind == WORD else found.astype(np.float32).tobytes()], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([chunk], pa.int32()), pa.array([k], pa.binary()), pa.array([zlib.compress(found.tobytes(), 1) if kind == WORD else found.astype(np.float32).tobytes()], pa.binary())], schema=schema)
 
     return run
 
@@ -328,7 +356,7 @@ def _scores(depth: int):
 
     def lookup(rows: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
         kept = [(unpack(k.as_py()), v.as_py()) for i, k, v in zip(rows.column("kind").to_pylist(), rows.column("keys"), rows.column("values"), strict=True) if i == kind]
-        read = (lambda v: np.frombuffer(zlib.decompress(v), np.uint32)) if kind == WORD else (lambda v: np.frombuffer(v, np.float32))
+        read = (lambda v: np.frombuffer(zlib.decompress(v), np.int64)) if kind == WORD else (lambda v: np.frombuffer(v, np.float32))
         keys, values = np.concatenate([k for k, _ in kept]), np.concatenate([read(v) for _, v in kept])
         order = np.argsort(keys)
         return keys[order], values[order].astype(float)
@@ -356,34 +384,48 @@ def _scores(depth: int):
 
 def score_documents(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, held: int = 2, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (the code length)."""
-    if not 1 <= depth <= 7:
-        raise ValueError("1 to 7 context bytes")
+    if not 2 <= depth <= 7:
+        raise ValueError("2 to 7 context bytes")
     spark = docs.sparkSession
     plain = docs.select(F.col("`doc_id`").alias("doc_id"), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(total / chunk_bytes))
+    shards = {WORD: min(WORD_SHARDS, max(16, chunks)), GRAM: min(GRAM_SHARDS, max(256, 4 * chunks))}
     n = partitions(spark)
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
     keyed = plain.select("doc_id", "text", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == held, F.lit(False)).alias("held_out"), chunk.alias("chunk"))
     dealt = keyed.repartition(max(n, chunks), "chunk")
-    sent = materialize(dealt.sortWithinPartitions("chunk").mapInArrow(_chunk_keys(depth, chunks), DICTIONARY), "ctw-keys")
-    groups = math.ceil(chunks / GROUP)
-    group = F.pmod(F.col("chunk"), F.lit(groups))
-    summed = sent.select("kind", "shard", group.alias("group"), "keys", "counts").repartition(n, "kind", "shard", "group").sortWithinPartitions("kind", "shard", "group")
-    if groups > 1:  # sums of GROUP chunks first
-        summed = summed.mapInArrow(_weigh(depth, False, np.uint32), MODEL).select("kind", "shard", "keys", F.col("values").alias("counts"))
-        summed = summed.repartition(n, "kind", "shard").sortWithinPartitions("kind", "shard")
-    model = materialize(summed.mapInArrow(_weigh(depth, True, np.int64 if groups > 1 else np.uint32), MODEL), "ctw-model")
-    tops = model.mapInArrow(_root_rows, "z long, n0 double, n1 double, w double").groupBy("z").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "w"))).collect()  # 256 rows at most
-    types, tokens = next(((r.n0, r.n1) for r in tops if r.z == 0), (0, 0))
-    root = Root((r.z, r.n0, r.n1, r.w) for r in tops if r.z)
-    asked = sent.select("kind", "shard", group.alias("group"), "chunk", "keys", F.lit(None).cast("binary").alias("values"))
-    told = model.select("kind", "shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(-1).alias("chunk"), "keys", "values")
+    sent = materialize(dealt.sortWithinPartitions("chunk").mapInArrow(_chunk_keys(depth, shards), DICTIONARY), "ctw-keys")
+
+    # counts by key, GROUP rows of a shard at a time
+    level, groups = sent.select("kind", "shard", F.col("chunk").alias("at"), "keys", "counts"), chunks
+    while True:
+        groups = math.ceil(groups / GROUP)
+        rows = level.select("kind", "shard", F.pmod("at", F.lit(groups)).cast("int").alias("group"), "keys", "counts")
+        rows = rows.repartition(n, "kind", "shard", "group").sortWithinPartitions("kind", "shard", "group")
+        if groups == 1:
+            break
+        summed = materialize(rows.mapInArrow(_weigh(depth, False), MODEL).drop("top"), "ctw-sums")
+        level = summed.select("kind", "shard", F.col("group").alias("at"), "keys", F.col("values").alias("counts"))
+    model = materialize(rows.mapInArrow(_weigh(depth, True), MODEL), "ctw-model")
+
+    tops = model.mapInArrow(_top_rows, "near long, n0 double, n1 double, w double").groupBy("near").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "w"))).toPandas()  # 65,537 rows at most
+    of_words = tops[tops["near"] < 0]
+    types, tokens = int(of_words["n0"].sum()), int(of_words["n1"].sum())
+    tops = tops[tops["near"] >= 0]
+    top = spark.sparkContext.broadcast(Top(*(tops[c].to_numpy() for c in ("near", "n0", "n1", "w"))))
+
+    # the chunks' own keys; how many tasks answer for a shard follows from its questions and its model: a row for each shard
+    sizes = sent.groupBy("kind", "shard").agg(F.sum("n").alias("asked")).join(model.select("kind", "shard", F.col("n").alias("known")), ["kind", "shard"])
+    copies = F.greatest(F.lit(1), F.ceil(F.col("asked") / F.greatest(F.lit(ANSWERS), 4 * F.col("known"))))
+    sizes = F.broadcast(sizes.select("kind", "shard", copies.cast("int").alias("copies")))
+    asked = sent.join(sizes, ["kind", "shard"]).select("kind", "shard", F.pmod("chunk", "copies").alias("group"), "chunk", "keys", F.lit(None).cast("binary").alias("values"))
+    told = model.join(sizes, ["kind", "shard"]).select("kind", "shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("group"), F.lit(-1).alias("chunk"), "keys", "values")
     both = asked.unionByName(told).repartition(n, "kind", "shard", "group").sortWithinPartitions("kind", "shard", "group", "chunk")
-    found = both.mapInArrow(_answers(root), "kind int, chunk int, keys binary, values binary")
+    found = both.mapInArrow(_answers(top), "kind int, chunk int, keys binary, values binary")
     scored = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_scores(depth), SCORES)
     return scored.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("known_log") - F.col("n_tokens") * math.log10(max(tokens + types + 1, 1))).alias("base_score"),
         "score", (-F.col("score") / math.log10(2) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
     )

@@ -413,8 +413,23 @@ def test_ctw(docs, corpus, empty, monkeypatch):
     for r, use, s in zip(small, train, want, strict=True):
         tokens = [*words(lower(r[1])), "\0"]
         expected[r[0], not use, len(tokens), sum(c[t] > 0 for t in tokens), n, round(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens), 6), round(s, 2)] += 1
-    for group in (64, 1):
+    for group, answers in ((64, 4_000_000), (2, 1)):
         monkeypatch.setattr(ctw, "GROUP", group)
+        monkeypatch.setattr(ctw, "ANSWERS", answers)
         rows = ctw.score_documents(table, depth=3, chunk_bytes=6000).collect()
         assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 2)) for r in rows) == expected
     assert ctw.score_documents(empty).count() == 0
+
+
+def test_ctw_counts_are_wide():
+    many = np.array([5_000_000_000, 1])
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 0], pa.int32()), pa.array([0, 0, 0], pa.int32()), pa.array([0, 0, 0], pa.int32()), pa.array([ctw.pack(np.array([7, 9], np.uint64))] * 3), pa.array([zlib.compress(many.tobytes())] * 3)], names=["kind", "shard", "group", "keys", "counts"])
+    (model,) = ctw._weigh(3, True)([batch])
+    told = pa.RecordBatch.from_arrays([model.column("kind"), pa.array([-1], pa.int32()), model.column("keys"), model.column("values")], names=["kind", "chunk", "keys", "values"])
+    asked = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([4], pa.int32()), pa.array([ctw.pack(np.array([9, 7], np.uint64)[::-1])]), pa.array([None], pa.binary())], names=["kind", "chunk", "keys", "values"])
+
+    class Held:
+        value = None
+
+    (answer,) = ctw._answers(Held)([told, asked])
+    assert np.frombuffer(zlib.decompress(answer.column("values")[0].as_py()), np.int64).tolist() == [15_000_000_000, 3]
