@@ -6,21 +6,24 @@ insertions, deletions or substitutions of characters; equal lines are at
 distance 0. What is before a line counts whether or not it goes itself.
 
 Of shorter lines only exact repeats go, and only those of ``exact_chars``
-characters or more: all but empty lines in ``dedup_lines``, none in
-``line_digests``, whose SQL leaves every line under ``MIN_CHARS`` alone.
+characters or more: all but empty lines in ``dedup_lines`` and
+``line_digests``.
 
 Distinct lines are split into EDITS + 1 segments. Of two lines within EDITS,
 one segment of the shorter lies unchanged in the longer, at one of a few
 places that their lengths allow (multi-match-aware selection), so lines are
 joined on hashes of length, segment number and segment. Letter counts that
 differ by more than EDITS edits can explain drop a pair inside the join; the
-rest is verified by Spark's banded edit distance, which stops beyond EDITS.
-(A bit-parallel kernel cannot be written in built-in functions at this cost;
-the banded one gives the same distances.)
+rest is verified by a banded bit-parallel edit distance: the 2 * EDITS + 1 rows
+around the diagonal lie in the bits of an int, which one step for each
+character of the shorter line moves on.
 
 Texts move once: one exchange of the documents by key serves the segments, the
-verification and the result. Lines are known by 64-bit hashes, documents by
-that of doc_id and text.
+verification and the result. Lines are known by 64-bit hashes (among n
+distinct lines n * n / 2**65 pairs agree by chance, 3 of 10**10 lines),
+documents by that of doc_id and text. Lines that hold more than a part of
+all places (there are few of those) are dealt over all tasks when places are
+compared with the earliest one.
 
 Defined results: null text stays null and has no lines; repeated rows (equal
 doc_id and text) are one document; rows of one doc_id and different text are
@@ -33,12 +36,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import free_name, partitions
 
 EDITS, MIN_CHARS = 2, 24
 #: Letters that are counted before a pair is verified.
 COUNTED = "etaoinsrhdlu"
-KEY = "__doc_key"
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
@@ -87,13 +89,60 @@ def counts_apart(a: Column, b: Column) -> Column:
     return F.bit_count(odd) + 2 * F.bit_count(two) + F.least(rest, 256 - rest)
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def banded_distance(a: Column, b: Column, edits: int) -> Column:
+    """Edit distance of two texts whose lengths differ by ``edits`` at most; what is over ``edits`` comes out over it.
+
+    Bit r of a band stands for character j - edits + r of the longer text at
+    character j of the shorter one. vp and vn: whether the distance rises or
+    falls from the row before; d0: whether it stays along the diagonal. The
+    distance is summed up along the diagonal that ends in the last cell.
+    """
+    wide = lambda t: F.encode(t, "UTF-32")
+    swap = F.length(a) < F.length(b)
+    long, short = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    less = F.length(long) - F.length(short)
+    rows = 2 * edits + 1
+    every = (1 << rows) - 1
+    padded = F.concat(F.lit(b"\xff" * (4 * edits)), wide(long))
+    char = lambda text, i: F.substring(text, (i - 1) * 4 + 1, F.lit(4))
+
+    def equal(text: Column, other: Column, j: Column) -> Column:
+        return let(char(other, j), lambda c: sum((F.when(char(text, j + r) == c, 1 << r).otherwise(0) for r in range(rows)), F.lit(0)))
+
+    matches = let(padded, lambda x: let(wide(short), lambda y: F.transform(F.sequence(F.lit(1), F.greatest(F.length(short), F.lit(1))), lambda j: equal(x, y, j))))
+    inside = lambda x: x.bitwiseAND(F.lit(every))
+
+    def step(state: Column, match: Column) -> Column:
+        vp, vn = state["vp"], state["vn"]
+        d0 = inside((match.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(match).bitwiseOR(vn))
+        hp = lambda d: inside(vn.bitwiseOR(F.bitwise_not(d.bitwiseOR(vp))))
+        below = lambda d: F.shiftright(d, 1)
+        new = lambda d: F.struct(
+            inside(d.bitwiseAND(vp).bitwiseOR(F.bitwise_not(below(d).bitwiseOR(hp(d))))).alias("vp"),
+            below(d).bitwiseAND(hp(d)).alias("vn"),
+            # shiftright() takes a number only, so the diagonal's bit is looked up
+            (state["n"] + 1 - F.get(F.array(*(F.shiftright(d, edits + x).bitwiseAND(F.lit(1)) for x in range(edits + 1))), less)).alias("n"),
+        )
+        return let(d0, new)
+
+    start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).alias("vp"), F.lit(0).alias("vn"), less.alias("n"))
+    return F.when(F.length(short) == 0, less).otherwise(F.aggregate(matches, start, step, lambda x: x["n"]))
+
+
 def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """All columns of docs, text without the lines that go, and the arrays n_lines, n_removed as longs ``__n_lines`` and ``__n_removed``.
+    """All columns of docs, text without the lines that go, and two last columns: the numbers of lines and of those that went.
 
     Exact repeats go from ``exact_chars`` characters on (``min_chars`` if None), lines within ``edits`` from ``min_chars`` on.
     """
     exact_chars = min_chars if exact_chars is None else exact_chars
     names = docs.columns
+    # names that no column of docs has
+    KEY, OWN, GONE, N_LINES, N_REMOVED = (free_name(x, names) for x in ("__doc_key", "__own", "__gone", "__n_lines", "__n_removed"))
     n_parts = partitions(docs.sparkSession)
     keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
     dealt = keyed.repartition(n_parts, KEY)
@@ -103,13 +152,14 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 
     spots = keyed.select("doc_id", KEY, F.posexplode(lines).alias("line_no", "line")).where(F.length("line") >= exact_chars)
     spots = spots.select(F.xxhash64("line").alias("h"), F.struct("doc_id", KEY, "line_no").alias("spot"))
-    firsts = spots.groupBy("h").agg(F.min("spot").alias("first"))
+    # all uses read both columns, so that they share one exchange
+    firsts = spots.groupBy("h").agg(F.min("spot").alias("first"), F.count("*").alias("n")).where("first IS NOT NULL AND n > 0")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """h and line of the first spots in ``wanted``, from the dealt documents."""
-        of_doc = wanted.groupBy(F.col(f"first.{KEY}").alias(KEY)).agg(F.collect_set("first.line_no").alias("__own"))
+        of_doc = wanted.groupBy(F.col(f"first.{KEY}").alias(KEY)).agg(F.collect_set("first.line_no").alias(OWN))
         found = dealt.join(of_doc.hint("shuffle_hash"), KEY).where(whole)
-        found = found.select("__own", F.posexplode(lines).alias("line_no", "line")).where(F.array_contains("__own", F.col("line_no")))
+        found = found.select(OWN, F.posexplode(lines).alias("line_no", "line")).where(F.array_contains(OWN, F.col("line_no")))
         return found.select(F.xxhash64("line").alias("h"), "line")
 
     searched = texts_of(firsts)
@@ -125,27 +175,35 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     involved = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(firsts, "h")
     known = texts_of(involved)
     close = pairs.join(known.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(known.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-    close = close.where(F.levenshtein("la", "lb", edits) >= 0).select("a", "b")
+    close = close.where(banded_distance(F.col("la"), F.col("lb"), edits) <= edits).select("a", "b")
     both = close.select(F.col("a").alias("h"), F.col("b").alias("near")).unionByName(close.select(F.col("b").alias("h"), F.col("a").alias("near")))
     beside = both.join(firsts.withColumnRenamed("h", "near"), "near").groupBy("h").agg(F.min("first").alias("beside"))
-    earliest = firsts.join(beside, "h", "left").select("h", F.least("first", F.coalesce("beside", "first")).alias("earliest"))
-
-    gone = spots.join(earliest, "h").where(F.col("spot") > F.col("earliest"))
-    gone = gone.groupBy(F.col(f"spot.{KEY}").alias(KEY)).agg(F.collect_set("spot.line_no").alias("__gone"))
+    earliest = firsts.join(beside, "h", "left").where("n > 1 OR beside IS NOT NULL")
+    earliest = earliest.select("h", F.least("first", F.coalesce("beside", "first")).alias("earliest"))
+
+    # at most 4 * n_parts lines have more than that part of all places; each is dealt over n_parts tasks
+    total = firsts.agg(F.sum("n").alias("all"), F.max("first").alias("last"))
+    common = firsts.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("all") / (4 * n_parts)).select("h", F.lit(True).alias("common"))
+    salted = lambda rows, salt: rows.join(F.broadcast(common), "h", "left").withColumn("salt", F.when(F.col("common"), salt).otherwise(F.array(F.lit(0)))).withColumn("salt", F.explode("salt"))
+    many = salted(earliest, F.sequence(F.lit(0), F.lit(n_parts - 1)))
+    places = salted(spots, F.array(F.pmod(F.xxhash64("spot"), F.lit(n_parts)).cast("int")))
+    gone = places.join(many, ["h", "salt"]).where(F.col("spot") > F.col("earliest"))
+    gone = gone.groupBy(F.col(f"spot.{KEY}").alias(KEY)).agg(F.collect_set("spot.line_no").alias(GONE))
     full = dealt.join(gone.hint("shuffle_hash"), KEY, "left")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    return full.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in names], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("__n_removed"))
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(GONE, i)), "\n")
+    text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(kept)
+    return full.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in names], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(N_LINES), F.when(F.col(GONE).isNull(), 0).otherwise(F.size(GONE)).cast("long").alias(N_REMOVED))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_chars, kept_md5 of each document."""
-    done = remove_lines(docs.select("doc_id", "text"))
-    return done.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("__n_lines")).cast("long").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+    done = remove_lines(docs.select("doc_id", "text"), exact_chars=1)
+    n_lines, n_removed = done.columns[-2:]
+    return done.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col(n_lines)).cast("long").alias("n_lines"), F.col(n_removed).alias("n_removed"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents without the lines that go, exact repeats of any length among them; a document all of whose lines went goes, too."""
     done = remove_lines(docs, exact_chars=1)
-    whole = (F.col("__n_removed") == 0) | (F.length(F.trim("text")) > 0)
+    whole = (F.col(done.columns[-1]) == 0) | (F.length(F.trim("text")) > 0)
     return done.where(whole).select(*[F.col(f"`{c}`") for c in docs.columns])

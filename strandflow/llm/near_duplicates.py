@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, partitions, stream_groups, without
+from .shared import free_name, materialize, partitions, stream_groups, without
 from .textkit import Words, gram_hashes, gram_places, mix, segments, slices
 
 SHINGLE, SIMILARITY, COORDINATES = 5, 0.8, 64
@@ -313,9 +313,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = links.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("doc_key"))).agg(F.min(F.struct("doc_id", "doc_key")).alias("first"))
     kept = kept.select("first.doc_key")
     blank = links.where("n_copies = 1 AND n_links = 0").select("doc_key")
-    keys = links.groupBy(F.col("doc_key").alias("__doc_key")).agg(F.count("*").alias("rows"))
-    gone = materialize(keys.join(kept.unionByName(blank).withColumnRenamed("doc_key", "__doc_key"), "__doc_key", "left_anti").select("__doc_key"), "gone")
-    repeated = materialize(keys.where("rows > 1").select("__doc_key"), "repeated")
-    own = without(docs.withColumn("__doc_key", F.xxhash64("doc_id", "text")), gone, "__doc_key")
-    once = without(own, repeated, "__doc_key").unionByName(without(own, repeated, "__doc_key", negate=True).dropDuplicates(["__doc_key"]))
+    key = free_name("__doc_key", names)
+    keys = links.groupBy(F.col("doc_key").alias(key)).agg(F.count("*").alias("rows"))
+    gone = materialize(keys.join(kept.unionByName(blank).withColumnRenamed("doc_key", key), key, "left_anti").select(key), "gone")
+    repeated = materialize(keys.where("rows > 1").select(key), "repeated")
+    own = without(docs.withColumn(key, F.xxhash64("doc_id", "text")), gone, key)
+    once = without(own, repeated, key).unionByName(without(own, repeated, key, negate=True).dropDuplicates([key]))
     return once.select(*[F.col(f"`{c}`") for c in names])
