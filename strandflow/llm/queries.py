@@ -94,16 +94,31 @@ ORACLES: dict[str, str] = {
         SELECT c.doc_id, c.class_id, coalesce(n_links, 0) AS n_links, coalesce(k, 1) AS n_copies
         FROM classes c LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a) USING (doc_id) LEFT JOIN same USING (doc_id)
     """,
+    "op3_substring_dedup": r"""
+        WITH words AS (
+          SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), windows AS (
+          SELECT row, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS w FROM (SELECT row, ws, unnest(range(1, len(ws) - 33)) AS i FROM words WHERE len(ws) >= 35)
+        ), again AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT row, i + k AS place FROM windows JOIN again USING (w), (SELECT unnest(range(0, 35)) AS k) ks),
+        places AS (SELECT row, list(place) AS places FROM gone GROUP BY row),
+        left_ AS (
+          SELECT doc_id, len(ws) AS n, coalesce(len(places), 0) AS out,
+                 CASE WHEN places IS NULL THEN ws ELSE (SELECT list(w ORDER BY i) FROM (SELECT unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i) WHERE i NOT IN (SELECT unnest(places))) END AS kept
+          FROM words LEFT JOIN places USING (row)
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(out AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM left_
+    """,
     "op9_line_dedup": r"""
         WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
         spots AS (
-          SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs) WHERE length(ls[i]) >= 24
+          SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs) WHERE length(ls[i]) >= 1
         ), firsts AS (
           SELECT line, min((doc_id, i)) AS first, length(line) AS n,
                  length(line) - length(replace(line, 'e', '')) AS ne, length(line) - length(replace(line, 'n', '')) AS nn
           FROM spots GROUP BY line
         ), plain AS (  -- edit distance is taken over bytes here, so each letter gets one
-          SELECT *, translate(line, 'éèêçàùâîôûëïñóíáúüöäßÉÈÊÇÑÓÍÁÚÜÖÄ', chr(1)||chr(2)||chr(3)||chr(4)||chr(5)||chr(6)||chr(7)||chr(8)||chr(11)||chr(12)||chr(14)||chr(15)||chr(16)||chr(17)||chr(18)||chr(19)||chr(20)||chr(21)||chr(22)||chr(23)||chr(24)||chr(25)||chr(26)||chr(27)||chr(28)||chr(29)||chr(30)||chr(31)||chr(127)||'@^~`') AS p FROM firsts
+          SELECT *, translate(line, 'éèêçàùâîôûëïñóíáúüöäßÉÈÊÇÑÓÍÁÚÜÖÄ', chr(1)||chr(2)||chr(3)||chr(4)||chr(5)||chr(6)||chr(7)||chr(8)||chr(11)||chr(12)||chr(14)||chr(15)||chr(16)||chr(17)||chr(18)||chr(19)||chr(20)||chr(21)||chr(22)||chr(23)||chr(24)||chr(25)||chr(26)||chr(27)||chr(28)||chr(29)||chr(30)||chr(31)||chr(127)||'@^~`') AS p FROM firsts WHERE n >= 24
         ), near AS (
           SELECT a.line, min(b.first) AS beside
           FROM plain a JOIN plain b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND abs(a.ne - b.ne) <= 2 AND abs(a.nn - b.nn) <= 2 AND a.line <> b.line
