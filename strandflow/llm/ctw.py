@@ -216,7 +216,7 @@ def shard_of(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
     if kind == WORD:
         return ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
     near = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
-    return (near * np.uint64(40503) & np.uint64(0xFFFF)).astype(np.int64) % shards
+    return ((near * np.uint64(40503) & np.uint64(0xFFFF)) * np.uint64(shards) >> np.uint64(16)).astype(np.int64)
 
 
 DICTIONARY = "kind int, shard int, chunk int, n long, keys binary, counts binary"
