@@ -6,15 +6,23 @@ before any search. Nodes are embedded into ``COORDINATES`` min-hash tokens.
 Each run walks a tree: at a node of the tree every coordinate is drawn with
 probability 1 / (SIMILARITY * COORDINATES), sets that agree on a drawn token
 go down together, buckets of one set end, and buckets of up to ``BRUTE`` are
-compared by brute force. Paths end at ``MAX_DEPTH``; what is larger there is
-alike on average and is compared block by block. The number of runs gives a
-pair at the threshold the chance ``RECALL`` to share a leaf at that depth.
+compared by brute force. A larger bucket is split on, however deep that goes,
+unless its sets agree in the share SIMILARITY of their tokens on average:
+splitting hardly parts such sets, as most pairs of theirs are links, so the
+bucket is compared by brute force as well, in blocks. The number of runs gives
+a pair at the threshold the chance ``RECALL`` to share a leaf within ``DEPTH``
+steps; sets whose buckets went deeper take as many more runs as their depth
+asks for.
 
 Leaves of equal members are searched once. Min-hash tokens first drop sets
 without a partner in a leaf, then exact intersections of the sets decide. A
 pair that shares several leaves counts in the least of them, so no table of
 pairs is made: a task sends link counts by set and a spanning forest of its
-links, from which connected components follow.
+links, from which connected components follow. A leaf of m sets is cut into
+blocks for the memory of a task and, up to sqrt(2 * partitions) of them, for
+parallel work; a set's row travels once for each block. So a dense bucket's
+rows grow faster than its size only beyond ``BLOCK_SETS`` times that root; its
+comparisons, which the number of links needs, grow with its square.
 
 Defined results: class_id is the least doc_id of a component, n_links the
 number of other documents of similarity SIMILARITY or more, copies included;
@@ -37,7 +45,11 @@ from .shared import free_name, materialize, partitions, stream_groups, without
 from .textkit import Words, gram_hashes, gram_places, mix, segments, slices
 
 SHINGLE, SIMILARITY, COORDINATES = 5, 0.8, 64
-RECALL, MAX_DEPTH, BRUTE = 0.995, 3, 512
+RECALL, DEPTH, BRUTE = 0.995, 3, 512
+#: Sets and their shingles in a block at most, and rows compared at a time.
+BLOCK_SETS, BLOCK_SHINGLES, TILE = 4096, 2_000_000, 512
+#: Coordinates that tell whether a bucket is dense.
+PROBED = 16
 #: A pair at the threshold agrees in fewer tokens than this with a chance of about 1 in 100,000.
 TOKEN_SLACK = 4.3
 
@@ -46,7 +58,7 @@ _FACTORS = _rng.randint(0, 1 << 62, COORDINATES).astype(np.uint64) * np.uint64(2
 _TERMS = _rng.randint(0, 1 << 62, COORDINATES).astype(np.uint64)
 
 
-def runs_needed(recall: float = RECALL, depth: int = MAX_DEPTH) -> int:
+def runs_needed(recall: float = RECALL, depth: int = DEPTH) -> int:
     """Runs until a pair at the threshold shares a path of ``depth`` steps with this chance: each step goes on with a Poisson number of mean 1."""
     lost = 0.0
     for _ in range(depth):
@@ -94,15 +106,20 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingles(part.column("text"))
             full = [i for i, s in enumerate(sets) if len(s)]
             node, sig = np.zeros(len(sets), np.int64), [None] * len(sets)
+            size = np.array([len(s) for s in sets], np.int64)
             if full:
                 rows = tokens([sets[i] for i in full])
                 for i, row in zip(full, rows, strict=True):
                     node[i], sig[i] = set_key(sets[i]), row.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("doc_key"), pa.array(node), pa.array(sig, pa.binary())], names=["doc_id", "doc_key", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("doc_key"), pa.array(node), pa.array(size), pa.array(sig, pa.binary())], names=["doc_id", "doc_key", "node", "size", "sig"])
 
 
-def _descend(root_runs: int | None):
-    """(node, path, sig) rows to the next level: a row for each drawn coordinate; ``root_runs``: that many runs begin here."""
+def _tokens_of(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+
+
+def _descend(roots: range | None):
+    """(node, size, sig) rows, or those with a path, to the next level: a row for each drawn coordinate; ``roots``: numbers of the runs that begin here."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few = np.uint64(int((1 << 64) / (SIMILARITY * COORDINATES)))
@@ -110,67 +127,124 @@ def _descend(root_runs: int | None):
         for batch in batches:
             for lo in range(0, batch.num_rows, 8192):
                 part = batch.slice(lo, 8192)
-                node = part.column("node").to_numpy()
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                paths = [mix(np.array([r + 1], np.uint64)) for r in range(root_runs)] if root_runs else [part.column("path").to_numpy().view(np.uint64)]
+                node, size, sig = part.column("node").to_numpy(), part.column("size").to_numpy(), _tokens_of(part)
+                paths = [mix(np.array([r + 1], np.uint64)) for r in roots] if roots else [part.column("path").to_numpy().view(np.uint64)]
                 for path in paths:
                     drawn = mix(path[:, None] ^ steps) < few
                     if len(path) == 1 and len(node) != 1:
                         drawn, path = np.broadcast_to(drawn, (len(node), COORDINATES)), np.broadcast_to(path, len(node))
                     row, k = np.nonzero(drawn)
                     deeper = mix(path[row] ^ (steps[k] + sig[row, k]))
-                    yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(deeper.view(np.int64))], names=["node", "path"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(size[row]), pa.array(deeper.view(np.int64))], names=["node", "size", "path"])
 
     return run
 
 
+def _token_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, token, n: how often each of the first PROBED tokens is met in a part of a bucket."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 8192):
+            part = batch.slice(lo, 8192)
+            path = np.repeat(part.column("path").to_numpy(), PROBED)
+            token = (_tokens_of(part)[:, :PROBED].astype(np.int64) * PROBED + np.arange(PROBED)).ravel()
+            both, n = np.unique(np.stack([path, token]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(n)], names=["path", "token", "n"])
+
+
+def grow_trees(nodes: DataFrame, roots: range, brute: int, planned: int) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
+    """Leaves (path, members, total, print), their rows (path, node), the nodes still in large buckets after ``planned`` steps, and the depth reached."""
+    leaves = rows = deep = None
+    level = nodes.select("node", "size", "sig").mapInArrow(_descend(roots), "node long, size long, path long")
+    depth = 1
+    while True:
+        level = materialize(level, "level")
+        sizes = level.groupBy("path").agg(F.count("*").alias("members"), F.sum("size").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")).where("members > 1")
+        sizes = materialize(sizes, "buckets")
+        large = sizes.where(F.col("members") > brute).select("path", "members")
+        ended = sizes.where(F.col("members") <= brute)
+        split = None
+        if not large.isEmpty():
+            inside = level.join(large.select("path"), "path").join(nodes.select("node", "sig"), "node")
+            met = inside.select("path", "sig").mapInArrow(_token_counts, "path long, token long, n long").groupBy("path", "token").agg(F.sum("n").alias("n"))
+            square = met.groupBy("path").agg(F.sum(F.col("n") * F.col("n")).alias("agree"))
+            sparse = large.join(square, "path").where(F.col("agree") < SIMILARITY * PROBED * F.col("members") * F.col("members")).select("path")
+            sparse = materialize(sparse, "sparse")
+            ended = sizes.join(sparse, "path", "left_anti")
+            split = None if sparse.isEmpty() else inside.join(sparse, "path")
+        own = level.join(ended.select("path"), "path").select("path", "node")
+        leaves = ended if leaves is None else leaves.unionByName(ended)
+        rows = own if rows is None else rows.unionByName(own)
+        if split is None:
+            return leaves, rows, deep, depth
+        if depth == planned:
+            deep = materialize(split.select("node").distinct(), "deep")
+        level = split.select("node", "size", "path", "sig").mapInArrow(_descend(None), "node long, size long, path long")
+        depth += 1
+
+
 UNIT = ("path", "i", "j")
 
 
-def _block_units(leaves: DataFrame, brute: int) -> DataFrame:
-    """path, i, j, node: leaves over ``brute`` are cut into blocks, each pair of blocks a unit of its own."""
-    blocks = F.ceil(F.col("members") / brute).cast("int")
-    own = F.pmod(F.xxhash64("node", "path"), F.col("blocks")).cast("int")
-    rows = leaves.withColumn("blocks", blocks).withColumn("own", own)
+def _block_units(leaves: DataFrame, parallel: int) -> DataFrame:
+    """path, i, j, node: leaves are cut into blocks, each pair of blocks a unit of its own."""
+    ceil = lambda x, n: F.ceil(F.col(x) / n)
+    wished = F.least(ceil("members", TILE), F.lit(math.ceil(math.sqrt(2 * parallel))))
+    blocks = F.greatest(wished, ceil("members", BLOCK_SETS), ceil("total", BLOCK_SHINGLES)).cast("int")
+    rows = leaves.withColumn("blocks", F.least(blocks, F.col("members").cast("int")))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "path"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
 
 
+def _tiles(own: np.ndarray, i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers to compare, TILE at a time: all pairs of the unit if i = j, otherwise those of two blocks."""
+    cut = lambda rows: [rows[k : k + TILE] for k in range(0, len(rows), TILE)]
+    a, b = cut(np.flatnonzero(own == i)), cut(np.flatnonzero(own == j))
+    for x in range(len(a)):
+        for y in range(x if i == j else 0, len(b)):
+            yield a[x], b[y]
+
+
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units with tokens, sorted: the rows that agree with another of the unit in enough tokens."""
     least = COORDINATES * SIMILARITY - TOKEN_SLACK * math.sqrt(COORDINATES * SIMILARITY * (1 - SIMILARITY))
     for unit in stream_groups(batches, *UNIT):
-        sig = np.frombuffer(b"".join(unit.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        own, i, j = unit.column("own").to_numpy(), unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
-        same = np.zeros((len(sig), len(sig)), np.uint8)
-        for k in range(COORDINATES):
-            same += sig[:, k][:, None] == sig[:, k]
-        np.fill_diagonal(same, 0)
-        if i != j:
-            same[own[:, None] == own] = 0
-        keep = (same >= least).any(axis=1)
+        sig = _tokens_of(unit)
+        i, j = unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
+        keep = np.zeros(len(sig), bool)
+        for a, b in _tiles(unit.column("own").to_numpy(), i, j):
+            if keep[a].all() and keep[b].all():
+                continue
+            same = np.zeros((len(a), len(b)), np.uint8)
+            for k in range(COORDINATES):
+                same += sig[a, k][:, None] == sig[b, k]
+            near = (same >= least) & (a[:, None] != b)
+            keep[a] |= near.any(axis=1)
+            keep[b] |= near.any(axis=0)
         if keep.any():
             yield from unit.select(["path", "i", "j", "own", "node"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
 
-def intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all pairs, by products of incidence matrices ``width`` elements wide."""
-    flat = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times > 1
+def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the sets of ``a`` with those of ``b``, by products of incidence matrices ``width`` elements wide."""
+    flat = np.concatenate(a + b)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in a + b])
+    _, col = np.unique(flat, return_inverse=True)
+    first = row < len(a)
+    in_a, in_b = (np.bincount(col[x], minlength=len(col) and col.max() + 1) > 0 for x in (first, ~first))
+    shared = in_a & in_b
     number = np.cumsum(shared) - 1
     keep = shared[col]
     row, col = row[keep], number[col[keep]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((len(a), len(b)), np.float32)
     total = int(shared.sum())
     for lo in range(0, total, width):
-        a, b = np.searchsorted(col, [lo, lo + width])
-        x = np.zeros((len(sets), min(width, total - lo)), np.float32)
-        x[row[a:b], col[a:b] - lo] = 1
-        out += x @ x.T
+        p, q = np.searchsorted(col, [lo, lo + width])
+        x = np.zeros((len(a) + len(b), min(width, total - lo)), np.float32)
+        x[row[p:q], col[p:q] - lo] = 1
+        out += x[: len(a)] @ x[len(a) :].T
     return out
 
 
@@ -200,29 +274,30 @@ def _link(similarity: float):
             path, i, j = (unit.column(k)[0].as_py() for k in UNIT)
             own, node, copies = (unit.column(k).to_numpy() for k in ("own", "node", "copies"))
             sets = [np.frombuffer(s, np.uint64) for s in unit.column("shingles").to_pylist()]
-            both = intersections(sets)
             size = np.array([len(s) for s in sets], float)
-            # in whole numbers: both >= similarity * union
-            near = both * (1 + similarity) >= similarity * (size[:, None] + size) - 1e-6
-            near &= np.arange(m)[:, None] < np.arange(m)
-            if i != j:
-                near &= own[:, None] != own
-            a, b = np.nonzero(near)
-            if not len(a):
-                continue
-            # the pair counts here unless the two share a lesser leaf
+            # a pair counts here unless the two share a lesser leaf
             lesser = np.array([(r, x) for r, leaves in enumerate(unit.column("paths").to_pylist()) for x in leaves if x < path], np.int64).reshape(-1, 2)
             _, column = np.unique(lesser[:, 1], return_inverse=True)
-            has = np.zeros((m, column.max(initial=0) + 1), np.float32)
-            has[lesser[:, 0], column] = 1
-            first = (has @ has.T)[a, b] == 0
-            linked = np.zeros(m, np.int64)
-            np.add.at(linked, a[first], copies[b[first]])
-            np.add.at(linked, b[first], copies[a[first]])
-            root = _forest(a, b, m)
-            touched = np.zeros(m, bool)
-            touched[a] = touched[b] = True
-            yield pa.RecordBatch.from_arrays([pa.array(node[touched]), pa.array(node[root[touched]]), pa.array(linked[touched])], schema=schema)
+            linked, root, touched = np.zeros(m, np.int64), np.arange(m), np.zeros(m, bool)
+            for a, b in _tiles(own, i, j):
+                both = intersections([sets[r] for r in a], [sets[r] for r in b])
+                # in whole numbers: both >= similarity * union
+                near = both * (1 + similarity) >= similarity * (size[a][:, None] + size[b]) - 1e-6
+                if i == j:
+                    near &= a[:, None] < b
+                x, y = np.nonzero(near)
+                if not len(x):
+                    continue
+                has = np.zeros((m, column.max(initial=0) + 1), np.float32)
+                has[lesser[:, 0], column] = 1
+                first = (has[a] @ has[b].T)[x, y] == 0
+                x, y = a[x], b[y]
+                np.add.at(linked, x[first], copies[y[first]])
+                np.add.at(linked, y[first], copies[x[first]])
+                root = _forest(np.concatenate([x, np.arange(m)]), np.concatenate([y, root]), m)
+                touched[x] = touched[y] = True
+            if touched.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[touched]), pa.array(node[root[touched]]), pa.array(linked[touched])], schema=schema)
 
     return run
 
@@ -250,38 +325,28 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "label")
 
 
-def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, brute: int = BRUTE, max_depth: int = MAX_DEPTH) -> DataFrame:
+def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, brute: int = BRUTE, planned: int = DEPTH) -> DataFrame:
     """doc_id, doc_key, class_id, n_links, n_copies of each document (doc_key: hash of doc_id and text)."""
     n = partitions(docs.sparkSession)
     keyed = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text")).withColumn("doc_key", F.xxhash64("doc_id", "text"))
-    known = materialize(keyed.mapInArrow(_signatures, "doc_id long, doc_key long, node long, sig binary"), "signatures")
+    known = materialize(keyed.mapInArrow(_signatures, "doc_id long, doc_key long, node long, size long, sig binary"), "signatures")
     filled = known.where("sig IS NOT NULL")
-    nodes = filled.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("doc_key").alias("doc_key"), F.min("sig").alias("sig"))
+    nodes = filled.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("doc_key").alias("doc_key"), F.min("size").alias("size"), F.min("sig").alias("sig"))
     nodes = materialize(nodes, "nodes")
 
-    # the trees, a level at a time
-    runs = runs_needed(recall, max_depth)
-    level = nodes.select("node", "sig").mapInArrow(_descend(runs), "node long, path long")
-    ended = None
-    for depth in range(1, max_depth + 1):
-        level = materialize(level, f"level{depth}")
-        sizes = level.groupBy("path").agg(F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")).where("members > 1")
-        sizes = materialize(sizes, f"buckets{depth}")
-        last = depth == max_depth
-        leaves = sizes if last else sizes.where(F.col("members") <= brute)
-        own = leaves.select("path", "members", "print")
-        ended = own.withColumn("depth", F.lit(depth)) if ended is None else ended.unionByName(own.withColumn("depth", F.lit(depth)))
-        rows = level.join(leaves.select("path"), "path").select("path", "node")
-        members = rows if depth == 1 else members.unionByName(rows)
-        large = sizes.where(F.col("members") > brute)
-        if last or large.isEmpty():
-            break
-        level = level.join(large.select("path"), "path").join(nodes.select("node", "sig"), "node").select("node", "path", "sig").mapInArrow(_descend(None), "node long, path long")
-    single = ended.groupBy("members", "print").agg(F.min("path").alias("path"))
-    leaf_rows = materialize(members.join(single, "path").select("path", "node", "members"), "leaves")
+    # the trees, run after run until the recall is reached at the depth that was needed
+    runs = runs_needed(recall, planned)
+    leaves, rows, deep, depth = grow_trees(nodes, range(runs), brute, planned)
+    while deep is not None and runs < (more := runs_needed(recall, depth)):
+        again = nodes.join(deep, "node", "left_semi")
+        other_leaves, other_rows, _, other_depth = grow_trees(again, range(runs, more), brute, depth)
+        leaves, rows = leaves.unionByName(other_leaves), rows.unionByName(other_rows)
+        runs, depth = more, max(depth, other_depth)
+    single = leaves.groupBy("members", "print").agg(F.min("path").alias("path"), F.min("total").alias("total"))
+    leaf_rows = materialize(rows.join(single, "path").select("path", "node", "members", "total"), "leaves")
 
     # what the tokens leave
-    units = _block_units(leaf_rows, brute).join(nodes.select("node", "sig"), "node")
+    units = _block_units(leaf_rows, n).join(nodes.select("node", "sig"), "node")
     order = [*UNIT, "node"]
     alike = units.repartition(n, *UNIT).sortWithinPartitions(*order).mapInArrow(_alike, "path long, i int, j int, own int, node long")
     alike = materialize(alike, "alike")

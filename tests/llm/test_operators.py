@@ -54,6 +54,44 @@ def test_runs_reach_the_recall():
     assert near_duplicates.runs_needed(0.995, 1) == 6 and near_duplicates.runs_needed(0.995, 3) == 12
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs of Jaccard similarity 0.80 to 0.82, with the constants as shipped."""
+    rng = np.random.RandomState(3)
+    rows, pairs = [], []
+    while len(pairs) < 300:
+        base = [f"w{x}" for x in rng.randint(0, 5000, rng.randint(150, 260))]
+        other = list(base)
+        for at in rng.choice(len(base), rng.randint(2, 6), replace=False):
+            other[at] = f"v{rng.randint(5000)}"
+        a, b = shingle_set(" ".join(base)), shingle_set(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.82:
+            pairs.append((2 * len(pairs), 2 * len(pairs) + 1))
+            rows += [(pairs[-1][0], " ".join(base)), (pairs[-1][1], " ".join(other))]
+    got = {r.doc_id: r.class_id for r in near_duplicates.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[b] == a for a, b in pairs) >= 0.97 * len(pairs)
+
+
+def test_deep_and_dense_buckets(spark, monkeypatch):
+    """A large group of near copies, and many sets that share half of their shingles: none of them gets lost."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_SETS", 16)
+    monkeypatch.setattr(near_duplicates, "TILE", 8)
+    rng = np.random.RandomState(4)
+    base = [f"w{x}" for x in rng.randint(0, 5000, 120)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        own[rng.randint(120)] = f"v{rng.randint(10**6)}"
+        texts.append(" ".join(own))
+    half = base[:70]
+    texts += [" ".join([*half, *(f"u{x}" for x in rng.randint(0, 10**6, 60))]) for _ in range(60)]
+    texts += texts[60:64]
+    sets = [shingle_set(t) for t in texts]
+    near = [sum(i != j and len(a & b) >= 0.8 * len(a | b) - 1e-9 for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in near_duplicates.link_documents(docs, brute=10).collect()}
+    assert got == dict(enumerate(near))
+
+
 # 2
 
 
