@@ -8,11 +8,14 @@ windows that chose the anchor travel in one row, and those met again at
 another occurrence are repeated. Overlapping repeated windows make up the
 maximal repeats, whose words are removed.
 
-An anchor with more than ``HOT`` occurrences is split by window, after
-windows that repeat within one part of the input have been settled there, so
-no task gathers more than HOT occurrences of an anchor, or a row per window
-and part of the input. Windows are compared by 64-bit hashes; among n windows
-around joined anchors, about n*n/2**65 pairs are expected to agree by chance.
+An anchor with more than ``HOT`` occurrences is split by window (the result
+is the same, the rows are shorter): windows that repeat within one part of the
+input are settled there, those that repeat within one of ``SALTS`` groups of
+parts are settled next, and each group sends one row on. So no task gathers
+more than HOT occurrences of an anchor, a SALTS-th of the parts' rows of a
+window, or SALTS rows of it. Windows are compared by 64-bit hashes; among n
+windows around joined anchors, about n*n/2**65 pairs are expected to agree by
+chance.
 
 Defined results: null text has no words; texts shorter than a window stay
 whole; repeated rows (equal doc_id and text) repeat each other; an empty table
@@ -119,16 +122,18 @@ def _anchors(window: int, gram: int):
     return run
 
 
-EXTEND = "key long, doc_key long, first int, known boolean, marks long, hashes binary"
+#: Groups of parts of the input that a hot window's rows are dealt over.
+SALTS = 256
+EXTEND = "key long, salt int, doc_key long, first int, known boolean, marks long, hashes binary"
+_SETTLED = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("doc_key", pa.int64()), ("first", pa.int32()), ("known", pa.bool_()), ("marks", pa.int64()), ("hashes", pa.binary())])
 
 
 def _extend(window: int, gram: int):
-    schema = pa.schema([("key", pa.int64()), ("doc_key", pa.int64()), ("first", pa.int32()), ("known", pa.bool_()), ("marks", pa.int64()), ("hashes", pa.binary())])
-
-    def batch_of(key, doc_key, first, known, marks, sizes, packed) -> pa.RecordBatch:
+    def batch_of(key, doc_key, first, known, marks, sizes, packed, salt=None) -> pa.RecordBatch:
         at = segments(sizes * 8).astype(np.int32)
         binary = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(packed))])
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc_key), pa.array(first.astype(np.int32)), pa.array(known), pa.array(marks.astype(np.int64)), binary], schema=schema)
+        salt = np.zeros(len(key), np.int32) if salt is None else salt.astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(doc_key), pa.array(first.astype(np.int32)), pa.array(known), pa.array(marks.astype(np.int64)), binary], schema=_SETTLED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.uint64(0xD6E8FEB86659FD93)
@@ -162,16 +167,19 @@ def _extend(window: int, gram: int):
                     if len(here):
                         yield batch_of(keys[w.doc[here]].view(np.uint64), keys[w.doc[here]], w.start[here], none.astype(bool), none + 1, none, h[:0])
                     one = at[first]  # for the other parts, one row for each window
-                    yield batch_of(h[one], keys[w.doc[one]], w.start[one], times > 1, np.zeros(len(one)), np.ones(len(one), np.int64), h[one])
+                    yield batch_of(h[one], keys[w.doc[one]], w.start[one], times > 1, np.zeros(len(one)), np.ones(len(one), np.int64), h[one], 1 + keys[w.doc[one]] % SALTS)
 
     return run
 
 
-def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: marks the windows whose hash another row of the key has, too."""
-    schema = pa.schema([("doc_key", pa.int64()), ("first", pa.int32()), ("marks", pa.int64())])
+def _settle(last: bool):
+    """Rows sorted by key and salt: marks the windows whose hash another row of the key and salt has, too.
+
+    Gives the marked rows, without hashes, and, if not ``last``, one row of
+    each salted key for the next level, ``known`` if it is met again.
+    """
 
-    def marked(rows: pa.Table) -> pa.RecordBatch:
+    def marked(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
         column = rows.column("hashes").combine_chunks() if isinstance(rows.column("hashes"), pa.ChunkedArray) else rows.column("hashes")
         offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
@@ -179,33 +187,49 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = data[offsets[0] : offsets[-1]].view(np.uint64) if offsets[-1] > offsets[0] else np.zeros(0, np.uint64)
         at = (offsets - offsets[0]) // 8
         n = np.diff(at)
-        marks = rows.column("marks").to_numpy().copy()
+        key, salt, doc_key, first, known, marks = (rows.column(c).to_numpy() for c in _SETTLED.names[:-1])
+        marks = marks.copy()
         if len(h):
-            _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-            known = np.zeros(len(times), bool)
-            known[back[np.repeat(rows.column("known").to_numpy(), n)]] = True
+            # one row of a salted key has one window, its key; other rows of equal hash lie under the same key
+            group = np.repeat(salt, n).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                _, back, times = np.unique(h ^ group * np.uint64(0x9E3779B97F4A7C15), return_inverse=True, return_counts=True)
+            again = np.zeros(len(times), bool)
+            again[back[np.repeat(known, n)]] = True
+            again |= times > 1
             bit = np.left_shift(1, np.arange(len(h)) - np.repeat(at[:-1], n))
-            bit[~((times > 1) | known)[back]] = 0
+            bit[~again[back]] = 0
             full = n > 0
             marks[full] |= np.bitwise_or.reduceat(bit, at[:-1][full])
-        keep = marks != 0
-        return pa.RecordBatch.from_arrays([pa.array(rows.column("doc_key").to_numpy()[keep]), pa.array(rows.column("first").to_numpy()[keep]), pa.array(marks[keep])], schema=schema)
-
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        key = batch.column("key").to_numpy()
-        if not len(key):
-            continue
-        cut = len(key) - int(np.argmax(key[::-1] != key[-1])) if key[0] != key[-1] else 0
-        if kept and kept[-1].column("key")[len(kept[-1]) - 1].as_py() != key[0]:
-            yield marked(pa.Table.from_batches(kept))
-            kept = []
-        if cut:
-            yield marked(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
-            kept = []
-        kept.append(batch.slice(cut))
-    if kept:
-        yield marked(pa.Table.from_batches(kept))
+        none = np.zeros(len(marks), np.int64)
+        yield settled(doc_key, none, doc_key, first, none.astype(bool), marks, None, marks != 0)
+        if not last:
+            on = salt > 0
+            on[1:] &= (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+            yield settled(key, none, doc_key, first, marks != 0, none, column, on)
+
+    def settled(key, salt, doc_key, first, known, marks, hashes, keep) -> pa.RecordBatch:
+        left = pa.array([b""] * int(keep.sum()), pa.binary()) if hashes is None else hashes.filter(pa.array(keep))
+        return pa.RecordBatch.from_arrays([*(pa.array(c[keep], f.type) for c, f in zip((key, salt, doc_key, first, known, marks), _SETTLED, strict=False)), left], schema=_SETTLED)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            if not len(key):
+                continue
+            cut = len(key) - int(np.argmax(key[::-1] != key[-1])) if key[0] != key[-1] else 0
+            if kept and kept[-1].column("key")[len(kept[-1]) - 1].as_py() != key[0]:
+                yield from marked(pa.Table.from_batches(kept))
+                kept = []
+            if cut:
+                yield from marked(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
+                kept = []
+            kept.append(batch.slice(cut))
+        if kept:
+            yield from marked(pa.Table.from_batches(kept))
+
+    return run
 
 
 def covered_words(n_words: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -224,7 +248,10 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, h
     hits = anchors.join(joined, "anchor").groupBy("doc_key").agg(F.collect_list(F.struct("anchor", (F.col("times") > hot).alias("hot"))).alias("hits"))
     near = keyed.repartition(n, "doc_key").join(hits.hint("shuffle_hash"), "doc_key").select("doc_id", "text", "doc_key", "hits")
     rows = near.mapInArrow(_extend(window, gram), EXTEND)
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_settle, "doc_key long, first int, marks long")
+    near = rows.repartition(n, "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_settle(False), EXTEND)
+    # marks pass through, and what is left of salted keys meets
+    last = near.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_settle(True), EXTEND)
+    return last.select("doc_key", "first", "marks")
 
 
 def keyed_documents(docs: DataFrame) -> DataFrame:

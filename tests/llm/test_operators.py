@@ -165,8 +165,9 @@ def kept_words(rows, size=35):
     return out
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT, 1])
-def test_substrings(docs, corpus, empty, hot):
+@pytest.mark.parametrize(("hot", "salts"), [(substrings.HOT, substrings.SALTS), (1, substrings.SALTS), (1, 1), (1, 3)])
+def test_substrings(docs, corpus, empty, hot, salts, monkeypatch):
+    monkeypatch.setattr(substrings, "SALTS", salts)
     got = Counter(tuple(r) for r in substrings.remove_repeats(docs, hot=hot).collect())
     assert got == Counter(kept_words(corpus))
     assert substrings.remove_repeats(empty).count() == 0
