@@ -17,6 +17,20 @@ GT21_LABELS = [
 FLANK, WIDTH, ROWS, CHANNELS = 16, 33, 8, 4
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def sums_before(steps: Column, block: int = 64) -> Column:
+    """For each entry the sum of those before it: sums of blocks first, so long arrays take little more than one pass."""
+    add = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    of_blocks = lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / block).cast("int")), lambda b: add(F.slice(a, b * block + 1, F.lit(block))))
+    before = lambda blocks: F.transform(blocks, lambda _, b: add(F.slice(blocks, F.lit(1), b)))
+    inside = lambda a, starts: F.transform(a, lambda _, i: F.get(starts, F.floor(i / block).cast("int")) + add(F.slice(a, i - i % block + 1, i % block)))
+    return let(steps, lambda a: let(let(of_blocks(a), before), lambda starts: inside(a, starts)))
+
+
 def to_acgt(base: Column, keep_n: bool = True) -> Column:
     """Base symbol to A, C, G or T; N stays unless keep_n is false (then A)."""
     return F.translate(F.upper(base), AMBIGUITY_FROM + ("" if keep_n else "N"), AMBIGUITY_TO + ("" if keep_n else "A"))
@@ -106,21 +120,30 @@ def crop(tensor: Column, width: int, flank: int, merge_strands: bool = False) ->
     return F.zip_with(forward, reverse, lambda a, b: a + b)
 
 
-def focal_loss(p: Column, y: Column, gamma: float = 2.0, floor: float = 1e-8) -> Column:
-    """Sum over classes of the focal loss of probabilities p against one-hot y."""
+def softmax(logits: Column) -> Column:
+    powers = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
+    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, v: s + v))
+
+
+def focal_loss(logits: Column, y: Column, gamma: float = 2.0, floor: float = 1e-8) -> Column:
+    """Sum over classes of the focal loss of the logits' probabilities against one-hot y."""
     log = lambda x: F.ln(F.greatest(F.least(x, F.lit(1.0)), F.lit(floor)))
     term = lambda a, b: F.when(b > 0, -F.pow(b - a, F.lit(gamma)) * log(a)).otherwise(-F.pow(a, F.lit(gamma)) * log(F.lit(1.0) - a))
-    return F.aggregate(F.zip_with(p, y, term), F.lit(0.0), lambda s, v: s + v)
+    return F.aggregate(F.zip_with(softmax(logits), y, term), F.lit(0.0), lambda s, v: s + v)
+
 
+def cross_entropy(p: Column, y: Column, weights: Column) -> Column:
+    """Cross-entropy of probabilities p against one-hot y, with a weight for each class."""
+    term = F.zip_with(F.zip_with(p, y, lambda a, b: -b * F.ln(a + F.lit(1e-10))), weights, lambda t, w: t * w)
+    return F.aggregate(term, F.lit(0.0), lambda s, v: s + v)
 
-def cross_entropy(p: Column, y: Column, weight: Column) -> Column:
-    term = F.zip_with(p, y, lambda a, b: -b * F.ln(a + F.lit(1e-10)))
-    return F.aggregate(term, F.lit(0.0), lambda s, v: s + v) * weight
 
+def triangular_lr(step: Column, half_cycle: int, low: float, high: float, mode: str = "tri", gamma: float = 0.95) -> Column:
+    """Cyclical learning rate after ``step`` (from 0) updates more: up and down in 2 * half_cycle updates, then one at the lowest rate.
 
-def triangular_lr(step: Column, half_cycle: int, low: float, high: float, mode: str = "tri") -> Column:
-    """Cyclical learning rate: a triangle wave whose height is kept (tri), halved (tri2) or times 0.95 (exp) each cycle."""
-    cycle = F.floor(step / (2 * half_cycle))
-    x = F.abs(step / F.lit(half_cycle) - 2 * cycle - 1)
-    scale = {"tri": F.lit(1.0), "tri2": F.pow(F.lit(0.5), cycle), "exp": F.pow(F.lit(0.95), cycle)}[mode]
-    return F.lit(low) + F.lit(high - low) * F.greatest(F.lit(0.0), F.lit(1.0) - x) * scale
+    Each new cycle the highest rate is kept (tri), halved (tri2) or times gamma (exp).
+    """
+    cycle = F.floor((step + 1) / (2 * half_cycle + 1))
+    x = ((step + 1) % (2 * half_cycle + 1)) / F.lit(float(half_cycle))
+    top = F.lit(high) * {"tri": F.lit(1.0), "tri2": F.pow(F.lit(0.5), cycle), "exp": F.pow(F.lit(gamma), cycle)}[mode]
+    return F.lit(low) + (top - F.lit(low)) * F.greatest(F.lit(0.0), F.when(x <= 1, x).otherwise(F.lit(2.0) - x))

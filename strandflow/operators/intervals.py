@@ -35,6 +35,18 @@ def intervals_overlapping(regions: DataFrame, bed: DataFrame, width: int = BIN)
     return r.join(b, on, "left_semi").drop("bin").distinct()
 
 
+def intervals_near(reads: DataFrame, bed: DataFrame, width: int = BIN) -> DataFrame:
+    """Reads (contig, pos0, span) that share a bin of ``width`` positions, or its neighbours, with an interval: a coarse filter that loses no read over one.
+
+    A read spans less than two bins or is kept. The bins are as few as the
+    intervals touch, and a read joins once.
+    """
+    touched = clean_bed(bed).select("contig", F.explode(F.sequence(F.floor(F.col("start") / width) - 2, F.floor((F.col("end") - 1) / width) + 1)).alias("bin")).distinct()
+    long = F.col("span") > width
+    own = reads.withColumn("bin", F.floor(F.col("pos0") / width))
+    return own.where(~long).join(touched, ["contig", "bin"], "left_semi").unionByName(own.where(long)).drop("bin", "span")
+
+
 def plan_chunks(index: DataFrame, chunk: int = 10_000_000, all_contigs: bool = False) -> DataFrame:
     """contig, start, end: pieces of ``chunk`` positions of the contigs in a FASTA index, from 0; the last ends with its contig."""
     known = F.regexp_replace("contig", "^chr", "").isin(MAIN_CONTIGS)

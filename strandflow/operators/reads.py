@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import to_acgt
+from ..functions.bases import sums_before, to_acgt
 
 #: Unmapped, mate unmapped, secondary, supplementary.
 DROPPED_FLAGS = 2316
@@ -58,8 +58,7 @@ def expand(reads: DataFrame) -> DataFrame:
     """
     ref_step = F.zip_with("lens", "ops", lambda n, o: F.when(o.isin("M", "=", "X", "D"), n).otherwise(0))
     query_step = F.zip_with("lens", "ops", lambda n, o: F.when(o.isin("M", "=", "X", "I", "S"), n).otherwise(0))
-    before = lambda steps: F.transform(steps, lambda _, i: F.aggregate(F.slice(steps, 1, i), F.lit(0), lambda s, x: s + x))
-    ops = reads.withColumn("at_ref", before(ref_step)).withColumn("at_query", before(query_step))
+    ops = reads.withColumn("at_ref", sums_before(ref_step)).withColumn("at_query", sums_before(query_step))
     ops = ops.withColumn("op", F.explode(F.arrays_zip("lens", "ops", "at_ref", "at_query"))).drop("lens", "ops", "at_ref", "at_query")
     ops = ops.where(F.col("op.ops").isin("M", "=", "X", "I", "D") & (F.col("op.lens") > 0))
     kind = F.when(F.col("op.ops").isin("I", "D"), F.col("op.ops")).otherwise("M")
@@ -100,18 +99,46 @@ def candidates(counts: DataFrame, reference: DataFrame, threshold: float = 0.125
     return sites.select("contig", (F.col("pos0") + 1).alias("pos"), ref.alias("ref"), F.col("depth").cast("long").alias("depth"), text.alias("counts"))
 
 
+def spans(reads: DataFrame) -> DataFrame:
+    """Adds span, the reference positions that a read covers by its CIGAR."""
+    sizes = F.transform(F.regexp_extract_all("cigar", F.lit(r"(\d+)[M=XDN]"), F.lit(1)), lambda x: x.cast("int"))
+    return reads.withColumn("span", F.aggregate(sizes, F.lit(0), lambda s, x: s + x))
+
+
+def touching(reads: DataFrame, start: int | None, end: int | None, widen: int = 0) -> DataFrame:
+    """Reads that cover a 1-based position from start to end, both included, widened on both sides; all without bounds."""
+    if start is None or end is None:
+        return reads
+    low, high = max(start - widen, 1) - 1, end + widen - 1
+    # the first test reaches a scan, the second needs the CIGAR
+    return spans(reads.where(F.col("pos0") <= high)).where(F.col("pos0") + F.greatest("span", F.lit(1)) > low).drop("span")
+
+
 def in_region(sites: DataFrame, start: int | None, end: int | None) -> DataFrame:
     """Sites of 1-based positions from start to end, both included."""
     return sites if start is None or end is None else sites.where(F.col("pos").between(start, end))
 
 
-def indel_mode(events: DataFrame, kind: str, low: int = 1, high: int = 50) -> DataFrame:
-    """contig, pos0, bases, n: the most frequent inserted string (or deleted length) of low to high bases at the base before it, ties to the first read."""
-    rows = events.where(F.col("kind") == kind).groupBy("contig", "pos0", "ord", (F.col("r") - F.when(F.col("kind") == "D", F.col("k")).otherwise(0)).alias("at"))
-    bases = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "base"))), lambda x: x["base"]), "")
-    size = F.count("*")
-    strings = rows.agg(bases.alias("bases"), size.alias("size")).where(F.col("size").between(low, high))
-    strings = strings.withColumn("bases", F.when(F.lit(kind == "D"), F.lpad(F.col("size").cast("string"), 3, "0")).otherwise(F.col("bases")))
-    met = strings.groupBy("contig", (F.col("at") - 1).alias("site"), "bases").agg(F.count("*").alias("n"), F.min(F.struct("pos0", "ord")).alias("seen"))
-    w = Window.partitionBy("contig", "site").orderBy(F.desc("n"), "seen", "bases")
-    return met.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("contig", F.col("site").alias("pos0"), "bases", "n")
+def indel_counts(events: DataFrame, kind: str, low: int = 1, high: int = 50) -> DataFrame:
+    """contig, pos0 (the base before), bases (of insertions), size, n and seen (start and ord of the first read) of each inserted string or deleted length."""
+    k = F.when(F.col("kind") == "D", F.col("k")).otherwise(0)
+    rows = events.where(F.col("kind") == kind).groupBy("contig", "pos0", "ord", (F.col("r") - k).alias("at"))
+    bases = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "base"))), lambda x: x["base"]), "") if kind == "I" else F.lit("")
+    strings = rows.agg(bases.alias("bases"), F.count("*").cast("int").alias("size")).where(F.col("size").between(low, high))
+    return strings.groupBy("contig", (F.col("at") - 1).alias("site"), "bases", "size").agg(F.count("*").alias("n"), F.min(F.struct("pos0", "ord")).alias("seen")).withColumnRenamed("site", "pos0")
+
+
+def indel_mode(events: DataFrame, kind: str, low: int = 1, high: int = 50, ignored: str = "", reference: DataFrame | None = None) -> DataFrame:
+    """contig, pos0, bases, n: the most frequent inserted or deleted bases of low to high length after the base at pos0, ties to the first read.
+
+    Deleted bases are the reference's; ``ignored`` is an inserted string that does not count.
+    """
+    w = Window.partitionBy("contig", "pos0").orderBy(F.desc("n"), "seen", "bases", "size")
+    rows = indel_counts(events, kind, low, high).where((F.col("bases") != ignored) | (F.lit(kind) == "D"))
+    best = rows.withColumn("rank", F.row_number().over(w)).where("rank = 1")
+    if kind == "I":
+        return best.select("contig", "pos0", "bases", "n")
+    gone = best.select("contig", "pos0", "n", F.posexplode(F.sequence(F.col("pos0") + 1, F.col("pos0") + F.col("size"))).alias("i", "at"))
+    named = gone.join(reference.select("contig", F.col("pos0").alias("at"), F.upper("base").alias("base")), ["contig", "at"], "left")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "base"))), lambda x: x["base"]), "")
+    return named.groupBy("contig", "pos0", "n").agg(text.alias("bases")).select("contig", "pos0", "bases", "n")

@@ -17,12 +17,16 @@ CELL = ["contig", "pos", "idx", "row", "ch"]
 
 
 def position_counts(events: DataFrame, reference: DataFrame) -> DataFrame:
-    """contig, r, kind, k, first, begun, ref_row, query_row, n: events by position with rows 0 to 7 of both symbols."""
-    strand = F.when(F.col("reverse"), 4).otherwise(0)
-    joined = events.join(reference.select("contig", F.col("pos0").alias("r"), F.col("base").alias("ref_base")), ["contig", "r"])
+    """contig, r, kind, k, first, begun, ref_row, query_row, n: events by position with rows 0 to 7 of both symbols.
+
+    Events are counted by position and symbol before they meet the reference.
+    """
     k = F.when(F.col("kind") == "I", F.least("k", F.lit(WIDTH))).otherwise(0)
-    rows = joined.select("contig", "r", "kind", k.alias("k"), "first", "begun", (base_row(F.col("ref_base")) + strand).alias("ref_row"), (base_row(F.col("base")) + strand).alias("query_row"))
-    return rows.groupBy("contig", "r", "kind", "k", "first", "begun", "ref_row", "query_row").agg(F.count("*").alias("n"))
+    keys = ["contig", "r", "kind", "k", "first", "begun", "base", "reverse"]
+    counted = events.withColumn("k", k).groupBy(*keys).agg(F.count("*").alias("n"))
+    joined = counted.join(reference.select("contig", F.col("pos0").alias("r"), F.col("base").alias("ref_base")), ["contig", "r"])
+    strand = F.when(F.col("reverse"), 4).otherwise(0)
+    return joined.select("contig", "r", "kind", "k", "first", "begun", (base_row(F.col("ref_base")) + strand).alias("ref_row"), (base_row(F.col("base")) + strand).alias("query_row"), "n")
 
 
 def _cells(hits: DataFrame, n: Column) -> DataFrame:

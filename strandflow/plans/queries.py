@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bases as B
 from ..operators import calls, intervals, metrics, network, reads, tensors, truth
 from ..streaming.pileup import streaming_pileup
+from . import calling
 from .views import oracle, relation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,7 +91,11 @@ CLEAN_BED = "(SELECT contig, start, CASE WHEN start = end_ THEN end_ + 1 ELSE en
 
 @query(f"WITH {kept_sql()}, {EVENTS_SQL}, {PILE_SQL}, {CAND_SQL} SELECT * FROM cand c WHERE c.pos BETWEEN 101 AND 12000 AND EXISTS (SELECT 1 FROM {CLEAN_BED} b WHERE b.contig = c.contig AND c.pos - 1 >= b.start AND c.pos - 1 < b.e)")
 def candidates_bed(spark, d):
-    sites = reads.in_region(sites_of(spark, d), 101, 12000).withColumn("pos0", F.col("pos") - 1)
+    # reads that touch neither the region nor an interval are left out before they are expanded
+    kept = reads.touching(kept_reads(spark, d), 101, 12000)
+    near = intervals.intervals_near(reads.spans(kept), relation(spark, d, "bed"))
+    counts = reads.pileup_counts(reads.expand(near))
+    sites = reads.in_region(reads.candidates(counts, relation(spark, d, "reference"), 0.2, 4), 101, 12000).withColumn("pos0", F.col("pos") - 1)
     return intervals.points_in(sites, relation(spark, d, "bed")).drop("pos0")
 
 
@@ -145,10 +150,6 @@ def truth_of(spark, d):
     return truth.truth_variants(relation(spark, d, "vcf").select("ord", "contig", "pos", "ref", "alt", "gt"), relation(spark, d, "reference"))
 
 
-def _recursive(sql: str) -> str:
-    return sql
-
-
 @query(f"WITH {TRUTH_SQL} SELECT * FROM truth")
 def truth_variants(spark, d):
     return truth_of(spark, d)
@@ -280,31 +281,49 @@ def tensor_crop(spark, d):
     return _dense(spark, d).select("contig", "pos", sums(lambda v: v).alias("total"), sums(lambda v, i: v * (i % 16)).alias("weighted"))
 
 
-@query(DENSE_SQL + """ SELECT contig, pos, CAST(coalesce(sum(n) FILTER (idx = 16 AND ch IN (0, 2)), 0) AS BIGINT) AS depth FROM long GROUP BY ALL""")
+def _subtracted(spark, d):
+    return _dense(spark, d).withColumn("x", B.subtract_reference(F.col("x")))
+
+
+# channel 0 is in every other channel of a match, so sums of the subtracted tensor are differences of raw ones
+@query(DENSE_SQL + """ SELECT contig, pos, CAST(coalesce(sum(n) FILTER (idx = 16 AND ch = 2), 0) AS BIGINT) AS depth FROM long GROUP BY ALL""")
 def read_depth(spark, d):
-    return _dense(spark, d).select("contig", "pos", calls.read_depth(F.col("x")).cast("long").alias("depth"))
+    return _subtracted(spark, d).select("contig", "pos", calls.read_depth(F.col("x")).cast("long").alias("depth"))
 
 
-@query(DENSE_SQL + """ SELECT contig, pos, least(coalesce(sum(n) FILTER (idx = 17 AND ch = 2), 0) / sum(n) FILTER (idx = 16 AND ch IN (0, 2)), 1.0) AS af_del,
-    least((coalesce(sum(n) FILTER (idx = 17 AND ch = 1), 0) - coalesce(sum(n) FILTER (idx = 17 AND ch = 3), 0)) / sum(n) FILTER (idx = 16 AND ch IN (0, 2)), 1.0) AS af_ins,
-    least(coalesce(sum(n) FILTER (idx = 16 AND ch IN (0, 3) AND "row" IN (2, 6)), 0) / sum(n) FILTER (idx = 16 AND ch IN (0, 2)), 1.0) AS af_snp FROM long GROUP BY ALL HAVING coalesce(sum(n) FILTER (idx = 16 AND ch IN (0, 2)), 0) > 0""")
-def allele_frequency(spark, d):
-    af = lambda cls, ref, alt: calls.allele_frequency(F.col("x"), F.lit(cls), F.lit(ref), F.lit(alt))
-    return _dense(spark, d).where(calls.read_depth(F.col("x")) > 0).select("contig", "pos", af("hom_del", "AC", "A").alias("af_del"), af("hom_ins", "A", "AC").alias("af_ins"), af("hom_snp", "A", "G").alias("af_snp"))
+AF_SQL = """ , sums AS (SELECT contig, pos, sum(n) FILTER (idx = 16 AND ch = 2) AS depth, coalesce(sum(n) FILTER (idx = 17 AND ch = 2), 0) - coalesce(sum(n) FILTER (idx = 17 AND ch = 0), 0) AS gone,
+      coalesce(sum(n) FILTER (idx = 17 AND ch = 1), 0) - coalesce(sum(n) FILTER (idx = 17 AND ch = 3), 0) AS gain, [coalesce(sum(n) FILTER (idx = 16 AND ch = 3 AND "row" % 4 = 0), 0), coalesce(sum(n) FILTER (idx = 16 AND ch = 3 AND "row" % 4 = 1), 0),
+      coalesce(sum(n) FILTER (idx = 16 AND ch = 3 AND "row" % 4 = 2), 0), coalesce(sum(n) FILTER (idx = 16 AND ch = 3 AND "row" % 4 = 3), 0)] AS snp, [coalesce(sum(n) FILTER (idx = 16 AND ch = 0 AND "row" % 4 = 0), 0),
+      coalesce(sum(n) FILTER (idx = 16 AND ch = 0 AND "row" % 4 = 1), 0), coalesce(sum(n) FILTER (idx = 16 AND ch = 0 AND "row" % 4 = 2), 0), coalesce(sum(n) FILTER (idx = 16 AND ch = 0 AND "row" % 4 = 3), 0)] AS same FROM long GROUP BY ALL)"""
+_AF_CASES = [("reference", "A", "A", "same[1]"), ("hom_snp", "A", "G", "snp[3]"), ("het_snp", "C", "A,G", "snp[1] + snp[3]"), ("hom_ins", "A", "AC", "gain"), ("het_base_ins", "A", "AC", "gain"), ("het_base_ins", "A", "T,AC", "gain + snp[4]"), ("het_ins_ins", "A", "AC,ACC", "gain"),
+             ("hom_del", "AC", "A", "gone"), ("het_base_del", "AC", "A", "gone"), ("het_base_del", "AC", "A,GC", "gone + snp[3]"), ("het_del_del", "ACT", "A,AT", "gone"), ("ins_del", "AC", "A,ATTC", "gain + gone")]
 
 
-@query(f"""WITH {kept_sql(soft=False)}, {EVENTS_SQL}, st AS (SELECT contig, pos0, ord, r AS spot, string_agg(base, '' ORDER BY k) AS bases, count(*) AS size FROM ev WHERE kind = 'I' GROUP BY ALL),
-  met AS (SELECT contig, CAST(spot - 1 AS BIGINT) AS pos0, bases, count(*) AS n, min((pos0, ord)) AS seen FROM st GROUP BY contig, spot, bases)
-  SELECT contig, pos0, bases, n FROM met QUALIFY row_number() OVER (PARTITION BY contig, pos0 ORDER BY n DESC, seen, bases) = 1""")
-def inserted_bases_mode(spark, d):
-    return reads.indel_mode(_events(spark, d), "I")
+@query(DENSE_SQL + AF_SQL + " UNION ALL ".join(f" SELECT contig, pos, {k} AS call, least(({e}) / depth, 1.0) AS af FROM sums WHERE depth > 0" for k, (_, _, _, e) in enumerate(_AF_CASES)))
+def allele_frequency(spark, d):
+    cases = F.array(*(F.struct(F.lit(k).alias("call"), F.lit(cls).alias("cls"), F.lit(ref).alias("ref"), F.lit(alt).alias("alt")) for k, (cls, ref, alt, _) in enumerate(_AF_CASES)))
+    rows = _subtracted(spark, d).select("contig", "pos", "x", F.inline(cases))
+    return rows.select("contig", "pos", "call", calls.allele_frequency(F.col("x"), F.col("cls"), F.col("ref"), F.col("alt")).alias("af")).where("af IS NOT NULL")
 
 
 @query(f"""WITH {kept_sql(soft=False)}, {EVENTS_SQL}, st AS (SELECT contig, pos0, ord, r - k AS spot, count(*) AS size FROM ev WHERE kind = 'D' GROUP BY ALL),
-  met AS (SELECT contig, CAST(spot - 1 AS BIGINT) AS pos0, lpad(CAST(size AS VARCHAR), 3, '0') AS bases, count(*) AS n, min((pos0, ord)) AS seen FROM st GROUP BY contig, spot, size)
-  SELECT contig, pos0, bases, n FROM met QUALIFY row_number() OVER (PARTITION BY contig, pos0 ORDER BY n DESC, seen, bases) = 1""")
+  met AS (SELECT contig, CAST(spot - 1 AS BIGINT) AS pos0, size, count(*) AS n, min((pos0, ord)) AS seen FROM st GROUP BY contig, spot, size),
+  best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY contig, pos0 ORDER BY n DESC, seen, size) = 1)
+  SELECT b.contig, b.pos0, coalesce(string_agg(x.base, '' ORDER BY x.pos0), '') AS bases, n FROM best b LEFT JOIN {{reference}} x ON x.contig = b.contig AND x.pos0 > b.pos0 AND x.pos0 <= b.pos0 + size GROUP BY b.contig, b.pos0, n""".replace("{{reference}}", "{reference}"))
 def deleted_bases_mode(spark, d):
-    return reads.indel_mode(_events(spark, d), "D")
+    return reads.indel_mode(_events(spark, d), "D", reference=relation(spark, d, "reference"))
+
+
+GAIN_SQL = """, gains AS (SELECT c.contig, c.pos, t.i, [sum(CASE WHEN l."row" % 4 = 0 THEN CASE ch WHEN 1 THEN n WHEN 3 THEN -n ELSE 0 END ELSE 0 END), sum(CASE WHEN l."row" % 4 = 1 THEN CASE ch WHEN 1 THEN n WHEN 3 THEN -n ELSE 0 END ELSE 0 END),
+      sum(CASE WHEN l."row" % 4 = 2 THEN CASE ch WHEN 1 THEN n WHEN 3 THEN -n ELSE 0 END ELSE 0 END), sum(CASE WHEN l."row" % 4 = 3 THEN CASE ch WHEN 1 THEN n WHEN 3 THEN -n ELSE 0 END ELSE 0 END)] AS gs, coalesce(sum(CASE WHEN ch = 0 THEN n END), 0) AS same
+    FROM (SELECT DISTINCT contig, pos FROM long) c CROSS JOIN (SELECT unnest(range(17, 33)) AS i) t LEFT JOIN long l ON l.contig = c.contig AND l.pos = c.pos AND l.idx = t.i GROUP BY ALL),
+  tins AS (SELECT contig, pos, string_agg(CASE WHEN list_max(gs) < 0 THEN 'A' ELSE substr('ACGT', CAST(list_position(gs, list_max(gs)) AS INT), 1) END, '' ORDER BY i) AS tb, bool_or(i = 32 AND list_sum(gs) >= 0.125 * same) AS whole FROM gains GROUP BY ALL)"""
+
+
+@query(DENSE_SQL + GAIN_SQL + " SELECT contig, pos, tb[1:5] AS five, tb[1:15] AS fifteen FROM tins")
+def tensor_insertion_bases(spark, d):
+    bases = lambda n: calls.inserted_from_tensor(F.col("x"), F.lit(n))
+    return _subtracted(spark, d).select("contig", "pos", bases(5).alias("five"), bases(15).alias("fifteen"))
 
 
 # probabilities: 90 values of 16 bits by part, from md5
@@ -332,13 +351,13 @@ def _class_sql() -> str:
         "reference": f"{still} * z[1] * CASE ref WHEN 'A' THEN {g['AA']} WHEN 'C' THEN {g['CC']} WHEN 'G' THEN {g['GG']} ELSE {g['TT']} END",
         "hom_snp": "greatest(" + ", ".join(f"{still} * z[2] * {g[b + b]}" for b in "ACGT") + ")",
         "het_snp": "greatest(" + ", ".join(f"{still} * z[3] * {g[p]}" for p in pairs) + ")",
-        "hom_ins": over(f"u[17 + i] * v[17 + i] * z[2] * {g['InsIns']}"),
+        "hom_ins": over(f"u[17 + i] * v[17 + i] * (z[2] * {g['InsIns']})"),
         "het_base_ins": base("+", "Ins"),
-        "het_ins_ins": both(f"u[17 + i] * v[17 + j] * z[3] * {g['InsIns']}"),
-        "hom_del": over(f"u[17 - i] * v[17 - i] * z[2] * {g['DelDel']}"),
+        "het_ins_ins": both(f"u[17 + i] * v[17 + j] * (z[3] * {g['InsIns']})"),
+        "hom_del": over(f"u[17 - i] * v[17 - i] * (z[2] * {g['DelDel']})"),
         "het_base_del": base("-", "Del"),
-        "het_del_del": both(f"CASE WHEN i <> j THEN u[17 - i] * v[17 - j] * z[3] * {g['DelDel']} END"),
-        "ins_del": both(f"greatest(u[17 + i] * v[17 - j] * z[3] * {g['InsDel']}, u[17 - j] * v[17 + i] * z[3] * {g['InsDel']})"),
+        "het_del_del": both(f"CASE WHEN i <> j THEN u[17 - i] * v[17 - j] * (z[3] * {g['DelDel']}) END"),
+        "ins_del": both(f"greatest(u[17 + i] * v[17 - j] * (z[3] * {g['InsDel']}), u[17 - j] * v[17 + i] * (z[3] * {g['InsDel']}))"),
     }
     cols = ", ".join(f"{e} AS {c}" for c, e in out.items())
     top = f"greatest({', '.join(calls.CLASSES)})"
@@ -350,13 +369,90 @@ def hypothesis_scores(spark, d):
     return calls.best_scores(probabilities(spark, d))
 
 
-@query(None)
+def _hypothesis_sql() -> str:
+    """All hypotheses of a site with score, alleles and whether these can be shown; the best one that can wins."""
+    g = {x: f"g[{i + 1}]" for i, x in enumerate(B.GT21_LABELS)}
+    base_case = lambda kind: "CASE b " + " ".join(f"WHEN '{b}' THEN {g[b + kind]}" for b in "ACGT") + " END"
+    pairs = [a + b for i, a in enumerate("ACGT") for b in "ACGT"[i + 1 :]]
+    same = f"CASE base WHEN 'A' THEN {g['AA']} WHEN 'C' THEN {g['CC']} WHEN 'G' THEN {g['GG']} ELSE {g['TT']} END"
+    steps = "(SELECT unnest(range(1, 17)) AS i) si"
+    other = "(SELECT unnest(range(1, 17)) AS j) sj"
+    ins = lambda n: f"CASE WHEN {n} < 16 THEN tb[1:{n}] ELSE coalesce(long_ins, CASE WHEN whole THEN tb ELSE tb[1:15] END) END"
+    gone = lambda n: f"CASE WHEN {n} >= 16 AND long_del IS NOT NULL THEN after[1:long_del] ELSE substr(seq, 18, CAST({n} AS INT)) END"
+    top = lambda labels: "[" + ", ".join(g[x] for x in labels) + "]"
+    label = lambda labels: f"[{', '.join(repr(x) for x in labels)}][list_position({top(labels)}, list_max({top(labels)}))]"
+    return f"""
+  site AS (SELECT q.contig, q.pos, q.seq, q.after, substr(q.seq, 17, 1) AS base, t.tb, t.whole, m.depth, m.gain, m.gone, m.snp, m.same, p.g, p.z, p.u, p.v,
+      (SELECT bases FROM ins_ x WHERE x.contig = q.contig AND x.pos = q.pos AND length(bases) BETWEEN 16 AND 50 ORDER BY n DESC, seen LIMIT 1) AS long_ins,
+      (SELECT size FROM dels_ x WHERE x.contig = q.contig AND x.pos = q.pos AND size BETWEEN 16 AND 50 ORDER BY n DESC, seen LIMIT 1) AS long_del
+    FROM seqs q JOIN tins t USING (contig, pos) JOIN sums m USING (contig, pos) JOIN probs p ON p.pos = (q.pos - 25) / 10 WHERE m.depth > 0 AND substr(q.seq, 17, 1) IN ('A', 'C', 'G', 'T')),
+  hyp AS (
+    SELECT 0 AS cls, 0 AS o, 0 AS i, 0 AS j, '' AS b UNION ALL SELECT 1, 0, 0, 0, '' UNION ALL SELECT 2, 0, 0, 0, ''
+    UNION ALL SELECT 3, i, i, 0, '' FROM {steps} UNION ALL SELECT 4, i * 4 + k, i, 0, substr('ACGT', k + 1, 1) FROM {steps}, (SELECT unnest(range(0, 4)) AS k) sk UNION ALL SELECT 5, i * 16 + j, i, j, '' FROM {steps}, {other}
+    UNION ALL SELECT 6, i, i, 0, '' FROM {steps} UNION ALL SELECT 7, i * 4 + k, i, 0, substr('ACGT', k + 1, 1) FROM {steps}, (SELECT unnest(range(0, 4)) AS k) sk UNION ALL SELECT 8, i * 16 + j, i, j, '' FROM {steps}, {other} WHERE i <> j
+    UNION ALL SELECT 9, (i * 16 + j) * 2, i, j, 'a' FROM {steps}, {other} UNION ALL SELECT 9, (i * 16 + j) * 2 + 1, i, j, 'b' FROM {steps}, {other}),
+  scored AS (SELECT s.*, cls, o, b, CASE WHEN cls IN (5, 8) THEN least(i, j) WHEN cls = 9 AND b = 'b' THEN j ELSE i END AS lo, CASE WHEN cls IN (5, 8) THEN greatest(i, j) WHEN cls = 9 AND b = 'b' THEN i WHEN cls = 9 THEN j ELSE i END AS hi,
+      CASE cls WHEN 0 THEN u[17] * v[17] * z[1] * {same}
+        WHEN 1 THEN list_max(list_transform({top([b + b for b in 'ACGT'])}, lambda y: u[17] * v[17] * z[2] * y)) WHEN 2 THEN list_max(list_transform({top(pairs)}, lambda y: u[17] * v[17] * z[3] * y))
+        WHEN 3 THEN u[17 + i] * v[17 + i] * (z[2] * {g['InsIns']}) WHEN 4 THEN greatest(u[17] * v[17 + i], u[17 + i] * v[17]) * {base_case('Ins')} * z[3] WHEN 5 THEN u[17 + i] * v[17 + j] * (z[3] * {g['InsIns']})
+        WHEN 6 THEN u[17 - i] * v[17 - i] * (z[2] * {g['DelDel']}) WHEN 7 THEN greatest(u[17] * v[17 - i], u[17 - i] * v[17]) * {base_case('Del')} * z[3] WHEN 8 THEN u[17 - i] * v[17 - j] * (z[3] * {g['DelDel']})
+        ELSE CASE b WHEN 'a' THEN u[17 + i] * v[17 - j] ELSE u[17 - i] * v[17 + j] END * (z[3] * {g['InsDel']}) END AS score
+    FROM site s, hyp),
+  ranked_ AS (SELECT *, row_number() OVER (PARTITION BY contig, pos ORDER BY score DESC, cls, o) AS place FROM scored QUALIFY place <= 300),
+  bases_ AS (SELECT *, CASE cls WHEN 1 THEN {label([b + b for b in 'ACGT'])} WHEN 2 THEN {label(pairs)} END AS lab, CASE WHEN cls IN (3, 4, 9) THEN {ins('lo')} WHEN cls = 5 THEN {ins('hi')} END AS ib, CASE WHEN cls IN (6, 7) THEN {gone('lo')} WHEN cls IN (8, 9) THEN {gone('hi')} END AS db FROM ranked_),
+  second_ AS (SELECT h.contig, h.pos, h.place, arg_min(x.bases, (-x.n, x.seen)) AS bases FROM bases_ h JOIN ins_ x ON x.contig = h.contig AND x.pos = h.pos AND length(x.bases) BETWEEN h.lo AND CASE WHEN h.lo >= 16 THEN 50 ELSE h.lo END AND x.bases <> h.ib WHERE h.cls = 5 GROUP BY ALL),
+  shown AS (SELECT h.*, coalesce(x.bases, h.ib[1:h.lo]) AS ib2 FROM bases_ h LEFT JOIN second_ x ON x.contig = h.contig AND x.pos = h.pos AND x.place = h.place),
+  alle AS (SELECT *,
+      CASE WHEN cls <= 5 THEN base ELSE base || db END AS ref,
+      CASE cls WHEN 0 THEN base
+        WHEN 1 THEN substr(lab, 1, 1) WHEN 2 THEN CASE WHEN substr(lab, 1, 1) <> base AND substr(lab, 2, 1) <> base THEN substr(lab, 1, 1) || ',' || substr(lab, 2, 1) WHEN substr(lab, 1, 1) <> base THEN substr(lab, 1, 1) ELSE substr(lab, 2, 1) END
+        WHEN 3 THEN base || ib WHEN 4 THEN CASE WHEN b = base THEN base || ib ELSE b || ',' || base || ib END WHEN 5 THEN base || ib2 || ',' || base || ib
+        WHEN 6 THEN base WHEN 7 THEN CASE WHEN b = base THEN base ELSE base || ',' || b || db END WHEN 8 THEN base || ',' || base || substr(db, CAST(lo + 1 AS INT)) ELSE base || ',' || base || ib || db END AS alt,
+      CASE WHEN cls <= 2 THEN true WHEN cls IN (3, 4) THEN ib <> '' WHEN cls = 5 THEN ib <> '' AND ib2 <> ib WHEN cls IN (6, 7) THEN db <> '' WHEN cls = 8 THEN db <> '' AND substr(db, CAST(lo + 1 AS INT)) NOT IN ('', db) ELSE ib <> '' AND db <> '' END AS ok FROM shown),
+  won AS (SELECT * FROM alle WHERE ok QUALIFY row_number() OVER (PARTITION BY contig, pos ORDER BY place) = 1),
+  gtd AS (SELECT *, CASE WHEN contains(alt, ',') THEN '1/2' WHEN cls = 0 THEN '0/0' WHEN cls IN (1, 3, 6) THEN '1/1' ELSE '0/1' END AS gt, string_split(alt, ',') AS als FROM won),
+  two_ AS (SELECT *, CASE WHEN len(als) = 1 AND gt[1] = '0' THEN ref ELSE als[1] END AS xa, CASE WHEN len(als) = 1 THEN als[1] ELSE als[2] END AS ya FROM gtd),
+  lab_ AS (SELECT *, CASE WHEN length(ref) > length(xa) THEN 'Del' WHEN length(ref) < length(xa) THEN 'Ins' ELSE substr(xa, 1, 1) END AS px, CASE WHEN length(ref) > length(ya) THEN 'Del' WHEN length(ref) < length(ya) THEN 'Ins' ELSE substr(ya, 1, 1) END AS py FROM two_),
+  decoded AS (SELECT contig, pos, [{', '.join(repr(c) for c in calls.CLASSES)}][cls + 1] AS cls, ref, alt,
+      g[list_position([{', '.join(repr(x) for x in B.GT21_LABELS)}], CASE WHEN length(px) = 1 AND length(py) = 1 THEN least(px, py) || greatest(px, py) WHEN length(px) = 1 THEN px || py WHEN length(py) = 1 THEN py || px WHEN px = py THEN px || py ELSE 'InsDel' END)]
+        * z[CASE gt WHEN '0/0' THEN 1 WHEN '1/1' THEN 2 ELSE 3 END] AS p, gt, CAST(depth AS BIGINT) AS depth,
+      least(CASE WHEN cls = 0 THEN same[instr('ACGT', ref)] WHEN cls IN (1, 2) THEN list_sum(list_transform(als, lambda y: snp[instr('ACGT', y)])) WHEN cls = 4 AND len(als) = 2 THEN gain + snp[instr('ACGT', als[1])] WHEN cls IN (3, 4, 5) THEN gain
+        WHEN cls = 7 AND len(als) = 2 THEN gone + snp[instr('ACGT', substr(als[2], 1, 1))] WHEN cls IN (6, 7, 8) THEN gone ELSE gain + gone END / depth, 1.0) AS af FROM lab_)"""
+
+
+#: Every seventh site has an N at its centre.
+SEQS_SQL = """, seqs_ AS (SELECT c.contig, c.pos, string_agg(x.base, '' ORDER BY x.pos0) FILTER (x.pos0 <= c.pos + 15) AS seq, coalesce(string_agg(x.base, '' ORDER BY x.pos0) FILTER (x.pos0 >= c.pos), '') AS after
+    FROM centres c JOIN {reference} x ON x.contig = c.contig AND x.pos0 BETWEEN c.pos - 17 AND c.pos + 49 GROUP BY ALL HAVING min(x.pos0) = c.pos - 17),
+  seqs AS (SELECT contig, pos, CASE WHEN (pos - 25) / 10 % 7 = 0 THEN substr(seq, 1, 16) || 'N' || substr(seq, 18) ELSE seq END AS seq, after FROM seqs_)"""
+INDELS_SQL = """, ins_ AS (SELECT contig, spot AS pos, bases, count(*) AS n, min((pos0, ord)) AS seen FROM (SELECT contig, pos0, ord, r AS spot, string_agg(base, '' ORDER BY k) AS bases FROM ev WHERE kind = 'I' GROUP BY ALL) GROUP BY contig, spot, bases),
+  dels_ AS (SELECT contig, spot AS pos, size, count(*) AS n, min((pos0, ord)) AS seen FROM (SELECT contig, pos0, ord, r - k AS spot, count(*) AS size FROM ev WHERE kind = 'D' GROUP BY ALL) GROUP BY contig, spot, size)"""
+DECODED_SQL = DENSE_SQL + AF_SQL + GAIN_SQL + SEQS_SQL + INDELS_SQL + f", {PROBS_SQL}," + _hypothesis_sql()
+
+
+@query(DENSE_SQL + SEQS_SQL + " SELECT contig, pos, seq, after FROM seqs_")
+def site_sequences(spark, d):
+    return calling.site_sequences(_centres(spark, d), relation(spark, d, "reference"))
+
+
+def _scored_tensors(spark, d):
+    """Tensors of the VCF's sites with sequences and the probabilities of a part; every seventh centre is an N."""
+    rows = calling.tensor_rows(_centres(spark, d), _events(spark, d), relation(spark, d, "reference"))
+    seventh = ((F.col("pos") - 25) / 10).cast("long") % 7 == 0
+    rows = rows.withColumn("seq", F.when(seventh, F.concat(F.substring("seq", 1, 16), F.lit("N"), F.substring("seq", 18, 16))).otherwise(F.col("seq")))
+    p = probabilities(spark, d).select((F.col("pos") * 10 + 25).alias("pos"), "g", "z", "u", "v")
+    return rows.join(p, "pos")
+
+
+@query(DECODED_SQL + " SELECT contig, pos, cls, ref, alt, round(p, 9) AS p, depth, round(af, 9) AS af FROM decoded")
 def decode_calls(spark, d):
-    ref = relation(spark, d, "reference")
-    seq = F.repeat(F.lit("ACGTTGCA"), 5)
-    rows = probabilities(spark, d).withColumn("seq", F.concat(F.substring(seq, 1, 16), "ref", F.substring(seq, 18, 16))).withColumn("inserted", F.substring(seq, 3, 16))
-    del ref
-    return calls.decode(rows)
+    found = calling.call_tensors(_scored_tensors(spark, d), _events(spark, d))
+    return found.withColumn("p", F.round("p", 9)).withColumn("af", F.round("af", 9))
+
+
+@query(DECODED_SQL + """, q AS (SELECT *, greatest(-10.0 * log10((1.0 - p + 1e-300) / (p + 1e-300)) + 16, 0.0) AS s FROM decoded WHERE cls <> 'reference' AND ref <> alt)
+  SELECT contig, pos, ref, alt, CAST(round_even(s * s, 0) AS INT) AS qual, CASE WHEN round_even(s * s, 0) >= 100 THEN 'PASS' ELSE 'LowQual' END AS filter, gt, CAST(round_even(s * s, 0) AS INT) AS gq, depth AS dp, round(af, 4) AS af FROM q""")
+def call_variants(spark, d):
+    return calls.finish_calls(calling.call_tensors(_scored_tensors(spark, d), _events(spark, d)), 100)
 
 
 @query(f"""WITH {PROBS_SQL}, q AS (SELECT pos, p[1] AS p, greatest(-10.0 * log10((1.0 - p[1] + 1e-300) / (p[1] + 1e-300)) + 16, 0.0) AS s FROM probs)
@@ -390,10 +486,10 @@ def haploid_modes(spark, d):
     return modes[0].unionByName(modes[1])
 
 
-@query(f"""WITH {PROBS_SQL}, runs AS (SELECT CAST(floor(pos / 3) AS BIGINT) AS pos, pos % 3 AS ord, ref AS seq, unnest(p) AS p, unnest(range(0, 90)) AS i FROM probs WHERE pos % 7 <> 0), m AS (SELECT pos, i, round(avg(p), 6) AS p, count(*) AS runs, arg_min(seq, ord) AS seq FROM runs GROUP BY ALL)
+@query(f"""WITH {PROBS_SQL}, runs AS (SELECT CAST(floor(pos / 3) AS BIGINT) AS pos, pos % 3 AS ord, ref AS seq, unnest(p) AS p, unnest(range(0, 90)) AS i FROM probs), m AS (SELECT pos, i, round(avg(p), 6) AS p, count(*) AS runs, arg_min(seq, ord) AS seq FROM runs GROUP BY ALL)
   SELECT pos, max(runs) AS runs, min(seq) AS seq, round(sum(p * (i + 1)), 1) AS weighted FROM m GROUP BY pos HAVING max(runs) >= 2""")
 def ensemble_average(spark, d):
-    runs = probabilities(spark, d).where("pos % 7 <> 0").select("contig", F.floor(F.col("pos") / 3).alias("pos"), (F.col("pos") % 3).alias("ord"), F.col("ref").alias("seq"), "p")
+    runs = probabilities(spark, d).select("contig", F.floor(F.col("pos") / 3).alias("pos"), (F.col("pos") % 3).alias("ord"), F.col("ref").alias("seq"), "p")
     means = calls.average_runs(runs, 2)
     weighted = F.aggregate(F.transform("p", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
     return means.select("pos", "runs", "seq", F.round(weighted, 1).alias("weighted"))
@@ -448,50 +544,84 @@ def task_accuracy(spark, d):
     return metrics.mean_task_accuracy(_tasks(spark, d).withColumn("step", F.col("truth") % 5))
 
 
-HISTORY_SQL = "hist AS (SELECT CAST(event_id AS BIGINT) AS step, 1e-5 * (event_id + 1) AS lr, avg(value) OVER (ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS x, value AS loss FROM events WHERE event_id < 500)"
+# training histories: the events of a user are a run
 
 
 def _history(spark, d):
-    rows = table(spark, d, "events").where("event_id < 500").select(F.col("event_id").alias("step"), (F.lit(1e-5) * (F.col("event_id") + 1)).alias("lr"), F.col("value").alias("accuracy"))
-    return rows
+    rows = table(spark, d, "events")
+    return rows.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("event_id").alias("epoch"), (F.lit(1e-5) * (F.col("event_id") + 1)).alias("lr"), F.col("value").alias("accuracy"), F.col("value").alias("loss"))
 
 
-@query("WITH h AS (SELECT event_id AS step, 1e-5 * (event_id + 1) AS lr, value AS accuracy, value - lag(value) OVER (ORDER BY event_id) AS diff FROM events WHERE event_id < 500) SELECT least(arg_max(lr, diff), arg_min(lr, diff)) AS low_lr, greatest(arg_max(lr, diff), arg_min(lr, diff)) AS high_lr FROM h")
+@query("""WITH h AS (SELECT user_id AS run, event_id AS step, 1e-5 * (event_id + 1) AS lr, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS diff FROM events),
+  up AS (SELECT run, lr FROM h WHERE diff IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY diff DESC, step) = 1), down AS (SELECT run, lr FROM h WHERE diff IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY diff, step) = 1)
+  SELECT r.run, least(up.lr, down.lr) AS low_lr, greatest(up.lr, down.lr) AS high_lr FROM (SELECT DISTINCT run FROM h) r LEFT JOIN up USING (run) LEFT JOIN down USING (run)""")
 def lr_diff(spark, d):
     return metrics.learning_rate_bounds(metrics.accuracy_steps(_history(spark, d)))
 
 
-_LAGS = ", ".join(f"lag(value, {i}) OVER w AS l{i}" for i in range(6))
+FLAGS_SQL = """runs AS (SELECT user_id AS run, event_id AS epoch, value AS loss, list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM events),
+  flags AS (SELECT run, epoch, loss, len(h) <= 5 OR list_min(h[-5:]) = list_min(h) AS approaches,
+      len(h) > 6 AND ((h[-6] > h[-5] AND h[-5] < h[-4] AND h[-4] > h[-3] AND h[-3] < h[-2] AND h[-2] > h[-1]) OR (h[-6] < h[-5] AND h[-5] > h[-4] AND h[-4] < h[-3] AND h[-3] > h[-2] AND h[-2] < h[-1])) AS oscillates,
+      len(h) > 6 AND list_min(h[-5:]) > list_min(h) AS rises FROM runs)"""
 
 
-@query(f"""WITH h AS (SELECT event_id AS epoch, value AS loss, {_LAGS}, min(value) OVER (ORDER BY event_id) AS low FROM events WHERE event_id < 500 WINDOW w AS (ORDER BY event_id))
-  SELECT epoch, loss, coalesce(l5 IS NOT NULL AND {' AND '.join(f'(l{i} - l{i + 1}) * (l{i + 1} - l{i + 2}) < 0' for i in range(4))}, false) AS oscillates, coalesce(l5 IS NOT NULL AND {' AND '.join(f'l{i} > l{i + 1}' for i in range(5))}, false) AS rises, loss <= low AS best FROM h""")
+@query(f"WITH {FLAGS_SQL} SELECT * FROM flags")
 def loss_history_flags(spark, d):
-    return metrics.loss_flags(table(spark, d, "events").where("event_id < 500").select(F.col("event_id").alias("epoch"), F.col("value").alias("loss")))
+    return metrics.loss_flags(_history(spark, d).select("run", "epoch", "loss"))
 
 
-@query("SELECT arg_min(event_id, (value, event_id)) AS epoch, min(value) AS loss FROM events")
+@query(f"""WITH RECURSIVE {FLAGS_SQL}, nth AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM flags),
+  fold AS (
+    SELECT run, i, epoch, 1 AS since, 3 AS left_, CAST(1e-3 AS DOUBLE) AS rate, false AS switched FROM nth WHERE i = 1
+    UNION ALL
+    SELECT n.run, n.i, n.epoch, CASE WHEN f.switched THEN 1 ELSE f.since + 1 END, f.left_ - CASE WHEN called THEN 1 ELSE 0 END, CASE WHEN f.switched THEN f.rate * 0.1 ELSE f.rate END, called
+    FROM fold f JOIN nth n ON n.run = f.run AND n.i = f.i + 1,
+      LATERAL (SELECT (CASE WHEN f.switched THEN 1 ELSE f.since + 1 END >= 6 AND NOT approaches AND oscillates) OR (CASE WHEN f.switched THEN 1 ELSE f.since + 1 END >= 8 AND rises) AS called)
+    WHERE f.left_ > 0)
+  SELECT run, epoch, rate, switched, left_ = 0 AS stopped FROM fold""")
+def adaptive_lr(spark, d):
+    return metrics.adaptive_rates(metrics.loss_flags(_history(spark, d).select("run", "epoch", "loss")))
+
+
+@query("SELECT user_id AS run, arg_min(event_id, (value, event_id)) AS epoch, min(value) AS loss FROM events GROUP BY user_id")
 def best_epoch(spark, d):
-    return metrics.best_epoch(table(spark, d, "events").select(F.col("event_id").alias("epoch"), F.col("value").alias("loss")))
+    return metrics.best_epoch(_history(spark, d).select("run", "epoch", "loss"))
+
+
+@query("""SELECT user_id AS run, CAST(floor(event_id / 1000.0) AS BIGINT) AS epoch, CASE WHEN event_id % 10 < 9 THEN 'train' ELSE 'validation' END AS phase, round(sum(value) / sum(event_id % 7 + 1), 6) AS loss, CAST(sum(event_id % 7 + 1) AS BIGINT) AS examples FROM events GROUP BY ALL""")
+def epoch_loss(spark, d):
+    rows = table(spark, d, "events")
+    return metrics.epoch_losses(rows.select(F.col("user_id").alias("run"), F.floor(F.col("event_id") / 1000).alias("epoch"), F.when(F.col("event_id") % 10 < 9, "train").otherwise("validation").alias("phase"), F.col("value").alias("loss"), (F.col("event_id") % 7 + 1).alias("examples"))).withColumn("loss", F.round("loss", 6))
+
+
+@query(f"WITH {PROBS_SQL} SELECT pos % 50 AS batch, round(sum(p[1]) * 1.0 + sum(p[2]) * 0.5 + sum(p[3]) * 2.0 + sum(p[4]) * 1.0 + 3.0 * 7.0 * 0.005, 6) AS total FROM probs GROUP BY ALL")
+def total_loss(spark, d):
+    rows = probabilities(spark, d).select((F.col("pos") % 50).alias("batch"), *(F.col("p")[i].alias(k) for i, k in enumerate("gzuv")))
+    return metrics.total_loss(rows, (1.0, 0.5, 2.0, 1.0, 3.0), 7.0, 0.005).withColumn("total", F.round("total", 6))
 
 
-@query(f"""WITH {PROBS_SQL}, t AS (SELECT pos, z, [CASE WHEN pos % 3 = 0 THEN 1 ELSE 0 END, CASE WHEN pos % 3 = 1 THEN 1 ELSE 0 END, CASE WHEN pos % 3 = 2 THEN 1 ELSE 0 END] AS y FROM probs)
-  SELECT pos, round(list_sum([CASE WHEN y[i] > 0 THEN -pow(y[i] - z[i], 2) * ln(greatest(least(z[i], 1.0), 1e-8)) ELSE -pow(z[i], 2) * ln(greatest(least(1.0 - z[i], 1.0), 1e-8)) END for i in [1, 2, 3]]), 9) AS loss FROM t""")
+@query(f"""WITH {PROBS_SQL}, t AS (SELECT pos, list_transform(z, lambda x: exp(x * 8) / (exp(z[1] * 8) + exp(z[2] * 8) + exp(z[3] * 8))) AS q, [CASE WHEN pos % 3 = 0 THEN 1 ELSE 0 END, CASE WHEN pos % 3 = 1 THEN 1 ELSE 0 END, CASE WHEN pos % 3 = 2 THEN 1 ELSE 0 END] AS y FROM probs)
+  SELECT pos, round(list_sum([CASE WHEN y[i] > 0 THEN -pow(y[i] - q[i], 2) * ln(greatest(least(q[i], 1.0), 1e-8)) ELSE -pow(q[i], 2) * ln(greatest(least(1.0 - q[i], 1.0), 1e-8)) END for i in [1, 2, 3]]), 9) AS loss FROM t""")
 def focal_loss(spark, d):
     y = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (F.col("pos") % 3 == i).cast("int"))
-    return probabilities(spark, d).select("pos", F.round(B.focal_loss(F.col("z"), y), 9).alias("loss"))
+    logits = F.transform("z", lambda x: x * 8)
+    return probabilities(spark, d).select("pos", F.round(B.focal_loss(logits, y), 9).alias("loss"))
 
 
-@query(f"WITH {PROBS_SQL} SELECT pos, round(-ln(z[pos % 3 + 1] + 1e-10) * 0.5, 9) AS loss FROM probs")
+@query(f"WITH {PROBS_SQL} SELECT pos, round(-ln(z[pos % 3 + 1] + 1e-10) * [0.5, 2.0, 1.25][pos % 3 + 1], 9) AS loss FROM probs")
 def cross_entropy(spark, d):
     y = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (F.col("pos") % 3 == i).cast("int"))
-    return probabilities(spark, d).select("pos", F.round(B.cross_entropy(F.col("z"), y, F.lit(0.5)), 9).alias("loss"))
+    return probabilities(spark, d).select("pos", F.round(B.cross_entropy(F.col("z"), y, F.array(F.lit(0.5), F.lit(2.0), F.lit(1.25))), 9).alias("loss"))
 
 
-@query("""WITH s AS (SELECT event_id AS step, floor(event_id / 40.0) AS c, abs(event_id / 20.0 - 2 * floor(event_id / 40.0) - 1) AS x FROM events WHERE event_id < 400)
-  SELECT step, round(0.001 + 0.009 * greatest(0.0, 1.0 - x), 9) AS tri, round(0.001 + 0.009 * greatest(0.0, 1.0 - x) * pow(0.5, c), 9) AS tri2, round(0.001 + 0.009 * greatest(0.0, 1.0 - x) * pow(0.95, c), 9) AS exp FROM s""")
+@query("""WITH RECURSIVE n AS (SELECT event_id AS step, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events),
+  fold AS (SELECT CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS g, CAST(0 AS BIGINT) AS c
+    UNION ALL SELECT i + 1, CASE WHEN g + 1 > 40 THEN 0 ELSE g + 1 END, CASE WHEN g + 1 > 40 THEN c + 1 ELSE c END FROM fold WHERE i + 1 < 41 * 60),
+  s AS (SELECT step, CASE WHEN g <= 20 THEN g / 20.0 ELSE 2 - g / 20.0 END AS x, c + CAST(floor(i_all / 2460) AS BIGINT) * 60 AS c FROM (SELECT step, i AS i_all FROM n) e JOIN fold ON fold.i = i_all % 2460)
+  SELECT step, round(0.001 + 0.009 * x, 9) AS tri, round(0.001 + (0.01 * pow(0.5, c) - 0.001) * x, 9) AS tri2, round(0.001 + (0.01 * pow(0.95, c) - 0.001) * x, 9) AS exp FROM s""")
 def cyclical_lr(spark, d):
-    rows = table(spark, d, "events").where("event_id < 400").select(F.col("event_id").alias("step"))
+    # event ids count up from 0 without gaps, as updates do
+    rows = table(spark, d, "events").select(F.col("event_id").alias("step"))
     return rows.select("step", *(F.round(B.triangular_lr(F.col("step"), 20, 0.001, 0.01, m), 9).alias(m) for m in ("tri", "tri2", "exp")))
 
 
