@@ -14,9 +14,10 @@ one segment of the shorter lies unchanged in the longer, at one of a few
 places that their lengths allow (multi-match-aware selection), so lines are
 joined on hashes of length, segment number and segment. Letter counts that
 differ by more than EDITS edits can explain drop a pair inside the join; the
-rest is verified by a banded bit-parallel edit distance: the 2 * EDITS + 1 rows
-around the diagonal lie in the bits of an int, which one step for each
-character of the shorter line moves on.
+rest is verified by Spark's banded edit distance, which stops beyond EDITS. (A
+bit-parallel band can be written in built-in functions, one step of an
+aggregate() for each character, and gives the same distances, but takes some
+hundred times as long; figures are in the README.)
 
 Texts move once: one exchange of the documents by key serves the segments, the
 verification and the result. Lines are known by 64-bit hashes (among n
@@ -89,51 +90,6 @@ def counts_apart(a: Column, b: Column) -> Column:
     return F.bit_count(odd) + 2 * F.bit_count(two) + F.least(rest, 256 - rest)
 
 
-def let(value: Column, f) -> Column:
-    """f(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def banded_distance(a: Column, b: Column, edits: int) -> Column:
-    """Edit distance of two texts whose lengths differ by ``edits`` at most; what is over ``edits`` comes out over it.
-
-    Bit r of a band stands for character j - edits + r of the longer text at
-    character j of the shorter one. vp and vn: whether the distance rises or
-    falls from the row before; d0: whether it stays along the diagonal. The
-    distance is summed up along the diagonal that ends in the last cell.
-    """
-    wide = lambda t: F.encode(t, "UTF-32")
-    swap = F.length(a) < F.length(b)
-    long, short = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-    less = F.length(long) - F.length(short)
-    rows = 2 * edits + 1
-    every = (1 << rows) - 1
-    padded = F.concat(F.lit(b"\xff" * (4 * edits)), wide(long))
-    char = lambda text, i: F.substring(text, (i - 1) * 4 + 1, F.lit(4))
-
-    def equal(text: Column, other: Column, j: Column) -> Column:
-        return let(char(other, j), lambda c: sum((F.when(char(text, j + r) == c, 1 << r).otherwise(0) for r in range(rows)), F.lit(0)))
-
-    matches = let(padded, lambda x: let(wide(short), lambda y: F.transform(F.sequence(F.lit(1), F.greatest(F.length(short), F.lit(1))), lambda j: equal(x, y, j))))
-    inside = lambda x: x.bitwiseAND(F.lit(every))
-
-    def step(state: Column, match: Column) -> Column:
-        vp, vn = state["vp"], state["vn"]
-        d0 = inside((match.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(match).bitwiseOR(vn))
-        hp = lambda d: inside(vn.bitwiseOR(F.bitwise_not(d.bitwiseOR(vp))))
-        below = lambda d: F.shiftright(d, 1)
-        new = lambda d: F.struct(
-            inside(d.bitwiseAND(vp).bitwiseOR(F.bitwise_not(below(d).bitwiseOR(hp(d))))).alias("vp"),
-            below(d).bitwiseAND(hp(d)).alias("vn"),
-            # shiftright() takes a number only, so the diagonal's bit is looked up
-            (state["n"] + 1 - F.get(F.array(*(F.shiftright(d, edits + x).bitwiseAND(F.lit(1)) for x in range(edits + 1))), less)).alias("n"),
-        )
-        return let(d0, new)
-
-    start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).alias("vp"), F.lit(0).alias("vn"), less.alias("n"))
-    return F.when(F.length(short) == 0, less).otherwise(F.aggregate(matches, start, step, lambda x: x["n"]))
-
-
 def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """All columns of docs, text without the lines that go, and two last columns: the numbers of lines and of those that went.
 
@@ -175,7 +131,7 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     involved = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(firsts, "h")
     known = texts_of(involved)
     close = pairs.join(known.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(known.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-    close = close.where(banded_distance(F.col("la"), F.col("lb"), edits) <= edits).select("a", "b")
+    close = close.where(F.levenshtein("la", "lb", edits) >= 0).select("a", "b")
     both = close.select(F.col("a").alias("h"), F.col("b").alias("near")).unionByName(close.select(F.col("b").alias("h"), F.col("a").alias("near")))
     beside = both.join(firsts.withColumnRenamed("h", "near"), "near").groupBy("h").agg(F.min("first").alias("beside"))
     earliest = firsts.join(beside, "h", "left").where("n > 1 OR beside IS NOT NULL")

@@ -390,26 +390,6 @@ def test_lines(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
-def test_banded_distance_equals_the_table(spark):
-    from pyspark.sql import functions as F
-
-    rng = np.random.RandomState(5)
-    pairs = [("", ""), ("a", ""), ("ab", "a"), ("é𝄞", "𝄞")]
-    for _ in range(600):
-        a = "".join(rng.choice(list("abcé𝄞"), rng.randint(1, 90)))
-        b = list(a)
-        for _ in range(rng.randint(0, 5)):
-            at = rng.randint(len(b) + 1)
-            b[at : at + rng.randint(2)] = list(rng.choice(list("abc"), rng.randint(0, 2)))
-        pairs.append((a, "".join(b)))
-    for edits in (1, 2, 3):
-        own = [(a, b) for a, b in pairs if abs(len(a) - len(b)) <= edits]
-        table = spark.createDataFrame(own, "a string, b string").coalesce(1)
-        got = [r.d for r in table.select(lines.banded_distance(F.col("a"), F.col("b"), edits).alias("d")).collect()]
-        want = [distance(a, b) for a, b in own]
-        assert [g if g <= edits else -1 for g in got] == [w if w <= edits else -1 for w in want]
-
-
 def test_hidden_names_do_not_clash(spark):
     rows = [(1, "same line\nother", "k", 7, "g"), (2, "same line\nthird", "l", 8, "h")]
     table = spark.createDataFrame(rows, "doc_id long, text string, __doc_key string, __n_lines int, __GONE string")
