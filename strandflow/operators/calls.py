@@ -321,15 +321,15 @@ def finish_calls(calls: DataFrame, threshold: int | None = None, show_reference:
     return rows.select("contig", "pos", "ref", "alt", "qual", vcf_filter(F.col("qual"), threshold).alias("filter"), gt.alias("gt"), F.col("qual").alias("gq"), F.col("depth").alias("dp"), F.round("af", 4).alias("af"))
 
 
-def average_runs(runs: DataFrame, least: int = 0) -> DataFrame:
+def average_runs(runs: DataFrame, least: int = 0, size: int = PROBABILITIES) -> DataFrame:
     """contig, pos, runs, seq, x and mean probabilities p over the runs of a site (ord, contig, pos, seq, p and, if there is one, x); the first run's sequence and tensor stand.
 
-    One grouping: the 90 means are 90 partial sums of a site's row.
+    One grouping: the means of the ``size`` probabilities are partial sums of a site's row.
     """
     first = [c for c in ("seq", "x") if c in runs.columns]
-    means = [F.avg(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(PROBABILITIES)]
+    means = [F.avg(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(size)]
     sites = runs.groupBy("contig", "pos").agg(F.count("*").alias("runs"), F.min_by(F.struct(*first), "ord").alias("first"), *means)
-    return sites.where(F.col("runs") >= least).select("contig", "pos", "runs", "first.*", F.array(*(F.round(f"p{i}", 6) for i in range(PROBABILITIES))).alias("p"))
+    return sites.where(F.col("runs") >= least).select("contig", "pos", "runs", "first.*", F.array(*(F.round(f"p{i}", 6) for i in range(size))).alias("p"))
 
 
 def vote_threshold(bams: int, models: int) -> int:

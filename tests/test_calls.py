@@ -53,29 +53,140 @@ def random_site(rng):
     return soft(21), soft(3), soft(33), soft(33)
 
 
-def test_decision_takes_the_winning_class(spark):
+def loop_scores(g, z, u, v, ref):
+    """(score, class, what) of every hypothesis by plain loops."""
+    at = lambda label: g[B.GT21_LABELS.index(label)]
+    U, V = (lambda i: u[16 + i]), (lambda i: v[16 + i])
+    out = [(U(0) * V(0) * z[0] * at(ref + ref), 0, None)]
+    out += [(U(0) * V(0) * z[1] * at(b + b), 1, b + b) for b in "ACGT"]
+    out += [(U(0) * V(0) * z[2] * at(p), 2, p) for p in ("AC", "AG", "AT", "CG", "CT", "GT")]
+    for cls, kind, sign in ((3, "Ins", 1), (6, "Del", -1)):
+        out += [(U(sign * i) * V(sign * i) * (z[1] * at(kind * 2)), cls, i) for i in range(1, 17)]
+        for i in range(1, 17):
+            best = max(U(0) * V(sign * i), U(sign * i) * V(0))
+            out += [(best * at(b + kind) * z[2], cls + 1, (i, b)) for b in "ACGT"]
+        out += [(U(sign * i) * V(sign * j) * (z[2] * at(kind * 2)), cls + 2, (min(i, j), max(i, j))) for i in range(1, 17) for j in range(1, 17) if i != j or sign > 0]
+    for i in range(1, 17):
+        for j in range(1, 17):
+            out += [(U(i) * V(-j) * (z[2] * at("InsDel")), 9, (i, j)), (U(-i) * V(j) * (z[2] * at("InsDel")), 9, (j, i))]
+    return out
+
+
+def loop_decode(g, z, u, v, site):
+    """Class and alleles: hypotheses from the best on until one has bases to show."""
+    ref = site.seq[16]
+    gain = lambda p: [site.x[p, b, 1] + site.x[p, b + 4, 1] - site.x[p, b, 3] - site.x[p, b + 4, 3] for b in range(4)]
+    pick = lambda p: "ACGT"[([*gain(p), 0]).index(max([*gain(p), 0])) % 4]
+    top = lambda n: 50 if n >= 16 else n
+
+    def from_reads(low, high, ignored=""):
+        return next((b for b, _ in site.ins if low <= len(b) <= high and b != ignored), "")
+
+    def inserted(n):
+        if site.forced:
+            return from_reads(n, top(n))
+        if n < 16:
+            return "".join(pick(p) for p in range(17, 17 + n))
+        found = from_reads(16, 50)
+        if found:
+            return found
+        last = sum(gain(32)) >= 0.125 * sum(site.x[32, :, 0])
+        return "".join(pick(p) for p in range(17, 33 if last else 32))
+
+    def deleted(n):
+        low, high = (n, top(n)) if site.forced else (16, 50)
+        size = next((k for k, _ in site.dels if low <= k <= high), 0) if site.forced or n >= 16 else 0
+        if site.forced or len(site.after[:size]) >= 16:
+            return site.after[:size]
+        return site.seq[17 : 17 + n]
+
+    for _, cls, what in sorted(loop_scores(g, z, u, v, ref), key=lambda h: (-h[0], h[1])):
+        if cls == 0:
+            return 0, ref, ref
+        if cls in (1, 2):
+            labels = ["AA", "CC", "GG", "TT"] if cls == 1 else ["AC", "AG", "AT", "CG", "CT", "GT"]
+            best = max(labels, key=lambda x: g[B.GT21_LABELS.index(x)])
+            others = [b for b in dict.fromkeys(best) if b != ref]
+            return cls, ref, ",".join(others) if others else ref
+        if cls == 3 and (b := inserted(what)):
+            return 3, ref, ref + b
+        if cls == 4 and (b := inserted(what[0])):
+            return 4, ref, ref + b if what[1] == ref else f"{what[1]},{ref}{b}"
+        if cls == 5 and (b := inserted(what[1])):
+            other = from_reads(what[0], top(what[0]), b) or b[: what[0]]
+            if other != b:
+                return 5, ref, f"{ref}{other},{ref}{b}"
+        if cls == 6 and (b := deleted(what)):
+            return 6, ref + b, ref
+        if cls == 7 and (b := deleted(what[0])):
+            return 7, ref + b, ref if what[1] == ref else f"{ref},{what[1]}{b}"
+        if cls == 8 and (b := deleted(what[1])):
+            other = ref + (ref + b)[what[0] + 1 :]
+            if other not in (ref, ref + b):
+                return 8, ref + b, f"{ref},{other}"
+        if cls == 9 and (b := inserted(what[0])) and (c := deleted(what[1])):
+            return 9, ref + c, f"{ref},{ref}{b}{c}"
+
+
+def made_site(rng, forced):
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    x = np.array([rng.choice([0, 0, 0, 1, 3]) for _ in range(1056)]).reshape(33, 8, 4)
+    x[:, :, 3] -= np.array([rng.choice([0, 2]) for _ in range(264)]).reshape(33, 8)
+    ins = [(text(rng.choice([1, 2, 3, 15, 16, 17, 50])), k) for k in (5, 3, 1)] if rng.random() < 0.7 else []
+    dels = [(rng.choice([1, 2, 16, 20, 50]), 4), (3, 1)] if rng.random() < 0.7 else []
+    return calls.Site(text(rng.choice([33, 33, 20, 17])), x, ins, dels, text(rng.choice([50, 50, 10])), forced)
+
+
+def test_decoding_equals_plain_loops():
     rng = random.Random(8)
-    rows = [("c", i, rng.choice("ACGT"), *random_site(rng)) for i in range(200)]
-    df = spark.createDataFrame(rows, "contig string, pos long, ref string, g array<double>, z array<double>, u array<double>, v array<double>")
-    scored = calls.class_scores(df)
-    sizes = scored.select(*(F.size(c).alias(c) for c in calls.CLASSES)).first()
-    assert list(sizes) == [1, 4, 6, 16, 64, 256, 16, 64, 240, 512]
-    best = {r.pos: r for r in calls.best_scores(df).collect()}
-    seq = "ACGT" * 9
-    rows = df.withColumn("seq", F.concat(F.lit(seq[:16]), "ref", F.lit(seq[17:33]))).withColumn("inserted", F.lit("GATTACAGATTACAGA"))
-    for r in calls.decode(rows).collect():
-        assert r.cls == best[r.pos].winner
-        assert r.ref[0] == rows.where(F.col("pos") == r.pos).first().ref if r.pos < 3 else True
-
-
-def test_decision_goes_on_without_bases():
-    g, z, u, v = np.full(21, 1e-9), [0.0, 1.0, 0.0], np.zeros(33), np.zeros(33)
-    g[B.GT21_LABELS.index("InsIns")], g[B.GT21_LABELS.index("CC")] = 0.9, 0.05
-    u[18] = v[18] = 0.9
-    u[16] = v[16] = 0.1
-    seq = "A" * 33
-    assert calls.decide(g, z, u, v, seq, "GG") == ("hom_ins", "A", "AGG")
-    assert calls.decide(g, z, u, v, seq, "") == ("hom_snp", "A", "C")
+    seen = set()
+    for k in range(600):
+        g, z, u, v = (np.array(x) for x in random_site(rng))
+        if k % 3 == 0:  # long indels
+            u[[0, 32]] += rng.random(), rng.random()
+            v[[0, 32]] += rng.random(), rng.random()
+        if k % 5 == 0:  # ties
+            g[:], u[:], v[:] = 0.1, 0.1, 0.1
+        site = made_site(rng, k % 2 == 0)
+        scores = calls.hypothesis_scores(g[None], z[None], u[None], v[None], [site.seq[16]])[0]
+        plain = loop_scores(g, z, u, v, site.seq[16])
+        assert scores.tolist() == [h[0] for h in plain] and [h[1] for h in plain] == [h[0] for h in calls.HYPOTHESES]
+        got = calls.decide(scores, site, g, site.seq[16])
+        assert got == loop_decode(g, z, u, v, site)
+        seen.add(got[0])
+    assert seen == set(range(10))
+
+
+def test_decode_rows(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for i in range(120):
+        g, z, u, v = random_site(rng)
+        site = made_site(rng, False)
+        seq = site.seq.ljust(33, "A")
+        seq = seq[:16] + rng.choice("ACGTNRU") + seq[17:]
+        site.seq = seq.replace("U", "T") if seq[16] == "U" else seq
+        depth = int(site.x[16, :, 0].sum() + site.x[16, :, 2].sum())
+        rows.append(("c", i, seq, [int(n) for n in site.x.ravel()], g, z, u, v, [{"what": b, "n": n} for b, n in site.ins], [{"what": b, "n": n} for b, n in site.dels] or None, site.after))
+        if seq[16] in "ACGTU" and depth > 0:
+            want[i] = (seq[16], depth, loop_decode(np.array(g), z, u, v, site))
+    schema = "contig string, pos long, seq string, x array<int>, g array<double>, z array<double>, u array<double>, v array<double>, ins array<struct<what:string,n:long>>, dels array<struct<what:int,n:long>>, after string"
+    df = spark.createDataFrame(rows, schema)
+    got = {r.pos: r for r in calls.decode(df).collect()}
+    assert set(got) == set(want)
+    by_column = {r.pos: r for r in df.join(calls.decode(df).select("pos", "cls", "ref", "alt"), "pos").select("pos", calls.read_depth(F.col("x")).alias("depth"), calls.allele_frequency(F.col("x"), F.col("cls"), F.col("ref"), F.col("alt")).alias("af")).collect()}
+    for i, (centre, depth, (cls, ref, alt)) in want.items():
+        r = got[i]
+        if centre != "U":
+            assert (r.cls, r.ref, r.alt) == (calls.CLASSES[cls], ref, alt)
+            assert r.af == pytest.approx(by_column[i].af)
+        assert r.depth == depth == by_column[i].depth and r.af <= 1 and 0 <= r.p <= 1
+
+
+def test_reference_rows_show_only_if_asked(spark):
+    rows = [("c", 1, "A", "A", 0.5, 3, 0.1, "reference"), ("c", 2, "A", "A", 0.5, 3, 0.1, "hom_snp"), ("c", 3, "A", "C", 0.5, 3, 0.1, "hom_snp"), ("c", 4, "A", "C", 0.5, 0, None, "hom_snp")]
+    df = spark.createDataFrame(rows, "contig string, pos long, ref string, alt string, p double, depth long, af double, cls string")
+    assert {r.pos for r in calls.finish_calls(df).collect()} == {3} and {r.pos for r in calls.finish_calls(df, show_reference=True).collect()} == {1, 3}
 
 
 def test_quality(spark):
@@ -119,9 +230,9 @@ def test_overlaps_of_a_long_island(spark):
 def test_ensemble_of_equal_runs_is_the_input(spark):
     rows = [(k, "c", i, f"s{k}", [0.125 * i, 0.5]) for k in range(3) for i in range(4)]
     df = spark.createDataFrame(rows, "ord long, contig string, pos long, seq string, p array<double>")
-    got = {r.pos: (r.runs, r.seq, r.p) for r in calls.average_runs(df, 3).collect()}
+    got = {r.pos: (r.runs, r.seq, r.p) for r in calls.average_runs(df, 3, 2).collect()}
     assert got == {i: (3, "s0", [0.125 * i, 0.5]) for i in range(4)}
-    assert calls.average_runs(df, 4).count() == 0 and calls.vote_threshold(2, 3) == 4
+    assert calls.average_runs(df, 4, 2).count() == 0 and calls.vote_threshold(2, 3) == 4
 
 
 def test_metrics(spark):
@@ -132,6 +243,83 @@ def test_metrics(spark):
     assert f1[0] == pytest.approx(2 / 3) and f1[1] == pytest.approx(0.5) and f1[2] == 0
 
 
+def loop_flags(losses):
+    low, last = min(losses), losses[-6:]
+    ways = [b > a for a, b in zip(last, last[1:])]
+    flat = any(a == b for a, b in zip(last, last[1:]))
+    return len(losses) <= 5 or low in losses[-5:], len(losses) > 6 and not flat and all(a != b for a, b in zip(ways, ways[1:])), len(losses) > 6 and all(x > low for x in losses[-5:])
+
+
+def test_training_histories(spark):
+    rng = random.Random(6)
+    runs = {0: [3.0], 1: [5.0, 4.0, 3.0, 2.0, 1.0], 2: [1.0, 2.0, 1.5, 2.5, 1.2, 2.2], 3: [0.5, 2.0, 1.0, 2.0, 1.0, 2.0, 1.0], 4: [1.0, *[2.0] * 40]}
+    runs |= {k: [rng.randrange(8) / 2 for _ in range(rng.randrange(6, 60))] for k in range(5, 40)}
+    df = spark.createDataFrame([(k, i, x) for k, xs in runs.items() for i, x in enumerate(xs)], "run long, epoch long, loss double")
+    flags = metrics.loss_flags(df)
+    got = {(r.run, r.epoch): (r.approaches, r.oscillates, r.rises) for r in flags.collect()}
+    assert got == {(k, i): loop_flags(xs[: i + 1]) for k, xs in runs.items() for i in range(len(xs))}
+    rates = {}
+    for k, xs in runs.items():
+        rate, since, left = 1e-3, 0, 3
+        for i in range(len(xs)):
+            near, swings, rises = loop_flags(xs[: i + 1])
+            since += 1
+            switch = (since >= 6 and not near and swings) or (since >= 8 and rises)
+            left -= switch
+            rates[k, i] = (pytest.approx(rate), switch, left == 0)
+            if left == 0:
+                break
+            if switch:
+                rate, since = rate * 0.1, 0
+    assert {(r.run, r.epoch): (r.rate, r.switched, r.stopped) for r in metrics.adaptive_rates(flags).collect()} == rates
+    assert any(x[2] for x in rates.values())
+
+
+def test_cyclical_rates(spark):
+    size, low, high = 3, 0.1, 0.9
+    steps = spark.range(3 * (2 * size + 1) + 2)
+    for mode in ("tri", "tri2", "exp"):
+        got = [r.lr for r in steps.select("id", B.triangular_lr(F.col("id"), size, low, high, mode).alias("lr")).orderBy("id").collect()]
+        top, n, want = high, 0, []
+        for _ in got:
+            n += 1
+            if n > 2 * size:
+                n, top = 0, {"tri": top, "tri2": top / 2, "exp": top * 0.95}[mode]
+            part = n / size
+            want.append(low + (top - low) * max(0, part if part <= 1 else 2 - part))
+        assert got == pytest.approx(want)
+
+
+def test_evaluate_equals_loops(spark):
+    rng = random.Random(2)
+    rows = []
+    for _ in range(80):
+        p = [[rng.randrange(6) / 8 for _ in range(n)] for n in (21, 3, 33, 33)]
+        rows.append((rng.randrange(21), rng.randrange(3), rng.randrange(33), rng.randrange(33), *p))
+    df = spark.createDataFrame(rows, "gt21 int, zyg int, len1 int, len2 int, g array<double>, z array<double>, u array<double>, v array<double>")
+    got = {(r.task, r.metric, r.truth, r.pred): r.value for r in metrics.evaluate(df).collect()}
+    best = lambda p: p.index(max(p))
+    want, hits = {}, [0, 0]
+    for a, b, c, d, g, z, u, v in rows:
+        x, y = sorted((c, d)), sorted((best(u), best(v)))
+        for task, t, q in (("gt21", a, best(g)), ("zyg", b, best(z)), ("length_1", x[0], y[0]), ("length_2", x[1], y[1])):
+            want[task, t, q] = want.get((task, t, q), 0) + 1
+        order = sorted(range(21), key=lambda i: (-g[i], -i))
+        hits[0] += order[0] == a
+        hits[1] += a in order[:2]
+    assert {(k[0], k[2], k[3]): v for k, v in got.items() if k[1] == "n"} == want
+    assert [got["gt21", m, None, None] for m in ("all", "top1", "top2")] == [80, *hits]
+
+
+def test_losses(spark):
+    logits, y = [0.3, -1.2, 2.0], [0, 1, 0]
+    e = np.exp(logits) / np.exp(logits).sum()
+    focal = -sum((b - a) ** 2 * math.log(a) if b else a**2 * math.log(1 - a) for a, b in zip(e, y))
+    df = spark.createDataFrame([(logits, y, e.tolist())], "l array<double>, y array<int>, p array<double>")
+    got = df.select(B.focal_loss(F.col("l"), F.col("y")).alias("f"), B.cross_entropy(F.col("p"), F.col("y"), F.array(*map(F.lit, (1.0, 3.0, 1.0)))).alias("c")).first()
+    assert got.f == pytest.approx(focal) and got.c == pytest.approx(-3 * math.log(e[1] + 1e-10))
+
+
 def test_network_gives_distributions(spark):
     w = network.random_weights(hidden=4, slices=3, dense=8, head=4)
     x = np.random.RandomState(0).rand(3, 1056)
