@@ -41,7 +41,7 @@ from .shared import materialize, partitions
 from .textkit import _LOWER, Words, segments, slices, utf8
 
 DEPTH = 5
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 #: Rows of a shard that one task sums.
 GROUP = 64
 #: Keys that one copy of a shard's model answers, at least.
