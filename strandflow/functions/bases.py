@@ -64,12 +64,14 @@ def mixed_label(a: Column, b: Column) -> Column:
 
 def gt21(ref: Column, alt: Column, gt1: Column, gt2: Column) -> Column:
     """Class number of a variant's genotype bases; of several alternates the first two count."""
-    alts = F.split(alt, ",")
-    single = F.size(alts) == 1
-    first = F.when(single, F.when((gt1 == 0) | (gt2 == 0), ref).otherwise(alts[0])).otherwise(alts[0])
-    second = F.when(single, alts[0]).otherwise(F.get(alts, F.lit(1)))
-    label = mixed_label(partial_label(ref, first), partial_label(ref, second))
-    return F.array_position(F.array(*map(F.lit, GT21_LABELS)), label).cast("int") - 1
+
+    def of(alts: Column) -> Column:
+        single = F.size(alts) == 1
+        first = F.when(single & ((gt1 == 0) | (gt2 == 0)), ref).otherwise(F.get(alts, F.lit(0)))
+        second = F.when(single, F.get(alts, F.lit(0))).otherwise(F.get(alts, F.lit(1)))
+        return let(partial_label(ref, first), lambda a: let(partial_label(ref, second), lambda b: mixed_label(a, b)))
+
+    return F.array_position(F.array(*map(F.lit, GT21_LABELS)), let(F.split(alt, ","), of)).cast("int") - 1
 
 
 def zygosity(gt1: Column, gt2: Column) -> Column:
@@ -79,12 +81,9 @@ def zygosity(gt1: Column, gt2: Column) -> Column:
 
 def lengths(ref: Column, alt: Column, gt1: Column, gt2: Column) -> tuple[Column, Column]:
     """Both alleles' indel lengths, clamped to 16 and ascending, plus 16."""
-    alts = F.split(alt, ",")
-    size = lambda a: clamp(F.length(a) - F.length(ref), -FLANK, FLANK)
-    single = F.size(alts) == 1
-    first = F.when(single, F.when((gt1 == 0) | (gt2 == 0), 0).otherwise(size(alts[0]))).otherwise(size(alts[0]))
-    second = F.when(single, size(alts[0])).otherwise(size(F.get(alts, F.lit(1))))
-    return F.least(first, second) + FLANK, F.greatest(first, second) + FLANK
+    sizes = F.transform(F.slice(F.split(alt, ","), 1, 2), lambda a: clamp(F.length(a) - F.length(ref), -FLANK, FLANK) + FLANK)
+    both = let(sizes, lambda s: F.when(F.size(s) > 1, s).when((gt1 == 0) | (gt2 == 0), F.array(F.lit(FLANK), s[0])).otherwise(F.array(s[0], s[0])))
+    return F.array_min(both), F.array_max(both)
 
 
 def argmax(values: Column) -> Column:

@@ -29,8 +29,8 @@ def position_counts(events: DataFrame, reference: DataFrame) -> DataFrame:
     return joined.select("contig", "r", "kind", "k", "first", "begun", (base_row(F.col("ref_base")) + strand).alias("ref_row"), (base_row(F.col("base")) + strand).alias("query_row"), "n")
 
 
-def _cells(hits: DataFrame, n: Column) -> DataFrame:
-    """Long-form cells of events placed at index i of a window."""
+def cell_rows(hits: DataFrame, n: Column) -> DataFrame:
+    """Long-form cells, not yet summed, of events placed at index i of a window."""
     known = {"M": F.col("ref_row").isNotNull() & F.col("query_row").isNotNull(), "D": F.col("ref_row").isNotNull(), "I": F.col("query_row").isNotNull()}
     inner = F.col("i").between(1, WIDTH - 1)
     counted = (
@@ -43,13 +43,22 @@ def _cells(hits: DataFrame, n: Column) -> DataFrame:
     cells = F.when(F.col("kind") == "M", F.array(cell(ref, 0), cell(query, 1), cell(ref, 2), cell(query, 3))).when(F.col("kind") == "D", F.array(cell(ref, 2))).otherwise(F.array(cell(query, 1)))
     idx = F.when(F.col("kind") == "I", F.least(F.col("i") + F.col("k"), F.lit(WIDTH - 1))).otherwise(F.col("i"))
     long = hits.where(counted).select("contig", "pos", idx.cast("int").alias("idx"), F.explode(cells).alias("cell"), n.alias("n"))
-    return long.groupBy("contig", "pos", "idx", F.col("cell.row").alias("row"), F.col("cell.ch").alias("ch")).agg(F.sum("n").alias("n"))
+    return long.select("contig", "pos", "idx", "cell.row", "cell.ch", "n")
+
+
+def _summed(cells: DataFrame) -> DataFrame:
+    return cells.groupBy(*CELL).agg(F.sum("n").alias("n"))
+
+
+def window_spots(sites: DataFrame) -> DataFrame:
+    """contig, pos, i, r: the 33 positions of each site's window."""
+    return sites.select("contig", "pos").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1)))).withColumn("r", F.col("pos") + F.col("i") - FLANK - 1)
 
 
 def window_cells(sites: DataFrame, counts: DataFrame) -> DataFrame:
     """Sparse tensors, default mode: contig, pos (1-based centre), idx, row, ch, n; from sites and position_counts()."""
-    spots = sites.select("contig", "pos").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1)))).withColumn("r", F.col("pos") + F.col("i") - FLANK - 1)
-    return _cells(spots.join(counts, ["contig", "r"]), F.col("n"))
+    spots = window_spots(sites)
+    return _summed(cell_rows(spots.join(counts, ["contig", "r"]), F.col("n")))
 
 
 def window_cells_left_edge(sites: DataFrame, events: DataFrame, reference: DataFrame) -> DataFrame:
@@ -61,7 +70,7 @@ def window_cells_left_edge(sites: DataFrame, events: DataFrame, reference: DataF
     rows = events.join(reference.select("contig", F.col("pos0").alias("r"), F.col("base").alias("ref_base")), ["contig", "r"])
     rows = rows.withColumn("ref_row", base_row(F.col("ref_base")) + strand).withColumn("query_row", base_row(F.col("base")) + strand)
     hits = taking.join(rows, ["contig", "pos0", "ord"]).withColumn("i", F.col("r") - F.col("pos") + FLANK + 1)
-    return _cells(hits, F.lit(1).cast("long"))
+    return _summed(cell_rows(hits, F.lit(1).cast("long")))
 
 
 def centre_depth(counts: DataFrame) -> DataFrame:

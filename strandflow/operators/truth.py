@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import FLANK, gt21, lengths, zygosity
+from ..functions.bases import FLANK, gt21, lengths, let, subtract_reference, zygosity
+from .intervals import near_variants, points_in
 
 VARIANT = ["contig", "pos", "ref", "alt", "gt1", "gt2"]
 
@@ -13,20 +14,22 @@ VARIANT = ["contig", "pos", "ref", "alt", "gt1", "gt2"]
 def parse_genotypes(vcf: DataFrame) -> DataFrame:
     """Adds gt1 and gt2, ascending, from gt such as 0/1 or 1|0; a missing allele is 0. One allele only raises."""
     alleles = F.split(F.replace(F.replace("gt", F.lit("/"), F.lit("|")), F.lit("."), F.lit("0")), r"\|")
-    both = F.when(F.size(alleles) == 2, alleles).otherwise(F.raise_error(F.concat(F.lit("a genotype needs two alleles: "), F.col("gt"))))
-    a, b = both[0].cast("int"), both[1].cast("int")
-    return vcf.withColumn("gt1", F.least(a, b)).withColumn("gt2", F.greatest(a, b))
+    checked = lambda a: F.when(F.size(a) == 2, F.array_sort(F.transform(a, lambda x: x.cast("int")))).otherwise(F.raise_error(F.concat(F.lit("a genotype needs two alleles: "), F.col("gt"))))
+    return vcf.withColumn("both", let(alleles, checked)).select(*vcf.columns, F.col("both")[0].alias("gt1"), F.col("both")[1].alias("gt2"))
 
 
 def split_stars(variants: DataFrame, reference: DataFrame) -> DataFrame:
     """Rows with a * alternate become a row per alternate, the star as a deletion from the base before; others stay. Keeps ord, adds part."""
-    star = F.instr("alt", "*") > 0
-    alts = F.split("alt", ",")
-    second = F.get(alts, F.lit(1))
-    lone = star & (F.size(alts) < 2)
-    ordered = F.when(lone, F.array(F.raise_error(F.lit("a lone * alternate"))).cast("array<string>")).when(second == "*", F.concat(F.array(F.lit("*"), F.substring("alt", 1, 1)), F.slice(alts, 3, F.size(alts)))).otherwise(alts)
-    rows = variants.withColumn("alts", F.when(star, ordered).otherwise(F.array("alt")))
-    rows = rows.select("*", star.alias("starred"), F.posexplode("alts").alias("part", "one")).drop("alts")
+
+    def ordered(alts: Column) -> Column:
+        lone = F.array(F.raise_error(F.lit("a lone * alternate"))).cast("array<string>")
+        whole = F.array_join(alts, ",")
+        moved = F.concat(F.array(F.lit("*"), F.substring(whole, 1, 1)), F.slice(alts, 3, F.size(alts)))
+        parts = F.when(F.size(alts) < 2, lone).when(F.get(alts, F.lit(1)) == "*", moved).otherwise(alts)
+        return F.when(F.exists(alts, lambda a: F.instr(a, "*") > 0), parts).otherwise(F.array(whole))
+
+    rows = variants.select("*", F.posexplode(let(F.split("alt", ","), ordered)).alias("part", "one"))
+    rows = rows.withColumn("starred", F.instr("alt", "*") > 0)
     is_star = F.col("starred") & (F.col("one") == "*")
     before = reference.select("contig", (F.col("pos0") + 1).alias("at"), F.col("base").alias("before"))
     rows = rows.withColumn("at", F.when(is_star, F.col("pos") - 1)).join(before, ["contig", "at"], "left")
@@ -104,17 +107,65 @@ def uniform(*columns: str, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def pair_non_variants(variant_sites: DataFrame, candidate_sites: DataFrame, amplify: float = 2.0, seed: int = 0) -> DataFrame:
-    """Variant sites and a sample of the candidates that are none, ``amplify`` for each variant on average, at most all; a label column says which. Without candidates left it raises."""
+def pair_non_variants(variant_sites: DataFrame, candidate_sites: DataFrame, amplify: float = 2.0, seed: int = 0, bed: DataFrame | None = None) -> DataFrame:
+    """Variant sites and a sample of the candidates that are none, ``amplify`` for each variant on average, at most all; a label column says which.
+
+    With a BED, only candidates whose 1-based position lies in an interval
+    count (the position is not shifted). Without candidates left it raises.
+    """
     rest = candidate_sites.join(variant_sites.select("contig", "pos").distinct(), ["contig", "pos"], "left_anti")
-    v, c = variant_sites.count(), rest.count()
-    if not c:
+    rest = rest if bed is None else points_in(rest, bed, at="pos")
+    sizes = variant_sites.agg(F.count("*").alias("v")).crossJoin(rest.agg(F.count("*").alias("c"))).first()  # one row
+    if not sizes.c:
         raise ValueError("no non-variant candidate to pair with")
-    rate = min(v * amplify / c, 1.0)
-    chosen = rest.where(uniform("contig", "pos", seed=seed) <= rate)
+    chosen = rest.where(uniform("contig", "pos", seed=seed) <= min(sizes.v * amplify / sizes.c, 1.0))
     return variant_sites.select("contig", "pos", F.lit(1).alias("variant")).unionByName(chosen.select("contig", "pos", F.lit(0).alias("variant")))
 
 
+#: Chances that a training candidate stays: near a variant, far from all, and where no variants are known.
+NEAR_CHANCE, FAR_CHANCE, PLAIN_CHANCE = 0.5, 7e6 / (3e9 - 14e6), 14e6 / 3e9
+
+
+def training_gate(sites: DataFrame, variants: DataFrame | None = None, near_chance: float = NEAR_CHANCE, far_chance: float = FAR_CHANCE, plain_chance: float = PLAIN_CHANCE, seed: int = 0) -> DataFrame:
+    """A random part of the candidate sites, with near: whether a site is near a variant (see near_variants); variants themselves go."""
+    draw = uniform("contig", "pos", seed=seed)
+    if variants is None:
+        return sites.where(draw <= plain_chance).withColumn("near", F.lit(False))
+    near = near_variants(variants).withColumn("near", F.lit(True))
+    rest = sites.join(variants.select("contig", "pos").distinct(), ["contig", "pos"], "left_anti")
+    marked = rest.join(near, ["contig", "pos"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    return marked.where(draw <= F.when(F.col("near"), near_chance).otherwise(far_chance))
+
+
+def near_tallies(gated: DataFrame) -> DataFrame:
+    """contig, near, n of the candidates that the gate let through."""
+    return gated.groupBy("contig", "near").agg(F.count("*").alias("n"))
+
+
+def label_vector() -> Column:
+    """The 90 numbers of a label (gt21, zyg, len1, len2): four one-hot parts."""
+    one = lambda n, at: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i == F.col(at)).cast("int"))
+    return F.concat(one(21, "gt21"), one(3, "zyg"), one(2 * FLANK + 1, "len1"), one(2 * FLANK + 1, "len2"))
+
+
+def training_rows(rows: DataFrame, labels: DataFrame, allow_duplicates: bool = False, bed: DataFrame | None = None) -> DataFrame:
+    """contig, pos, copy, x, y: tensors (ord, contig, pos, seq, x as counted) with channel 0 taken from the others and their labels by bare key.
+
+    Only sites whose centre is A, C, G, T or U; with a BED, those whose 1-based
+    position lies in an interval (not shifted).
+    """
+    kept = rows.where(F.upper(F.substring("seq", FLANK + 1, 1)).isin(*"ACGTU"))
+    kept = number_duplicates(kept if bed is None else points_in(kept, bed, at="pos"), allow_duplicates)
+    sites = kept.select("contig", "pos", F.upper(F.substring("seq", FLANK + 1, 1)).alias("base")).distinct()
+    labelled = label_sites(sites, labels).select("contig", "pos", label_vector().alias("y")).dropDuplicates(["contig", "pos"])
+    return kept.join(labelled, ["contig", "pos"]).select("contig", "pos", "copy", subtract_reference(F.col("x")).alias("x"), "y")
+
+
+def shuffled(rows: DataFrame, seed: int, *keys: str) -> DataFrame:
+    """Rows in an order that the seed and the keys decide, the same on every run."""
+    return rows.orderBy(uniform(*keys, seed=seed), *keys)
+
+
 def split_train(rows: DataFrame, share: float = 0.9) -> DataFrame:
     """Adds split, train for the first ``share`` of the bin's rows by text order of contig:pos, and block of 500 rows."""
     key = F.concat_ws(":", "contig", F.col("pos").cast("string"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from ..operators import calls, intervals, metrics, network, reads, tensors, truth
-from ..streaming.pileup import streaming_pileup
+from ..sources import files
+from ..sources.shared import fresh_path
+from ..streaming import pileup
 from . import calling
 from .views import oracle, relation
 
@@ -155,12 +157,13 @@ def truth_variants(spark, d):
     return truth_of(spark, d)
 
 
-@query("""WITH v AS (SELECT ord, contig, pos, CASE WHEN pos <> lag(pos) OVER w THEN 1 WHEN lag(pos) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM {vcf} WINDOW w AS (PARTITION BY contig ORDER BY ord)),
-  r AS (SELECT *, sum(fresh) OVER (PARTITION BY contig ORDER BY ord) AS run FROM v) SELECT contig, pos, count(*) AS n, min(ord) AS first_ord FROM r GROUP BY contig, run, pos""")
+MERGE_SQL = TRUTH_SQL[: TRUTH_SQL.index("arr AS")] + "parts AS (SELECT ord, 0 AS part, contig, pos, ref, alt, gt1, gt2 FROM gts)," + TRUTH_SQL[TRUTH_SQL.index("lagged AS") - 3 :]
+
+
+@query(f"WITH {MERGE_SQL} SELECT * FROM truth")
 def truth_merge(spark, d):
-    w = Window.partitionBy("contig").orderBy("ord")
-    rows = relation(spark, d, "vcf").withColumn("fresh", F.coalesce(F.col("pos") != F.lag("pos").over(w), F.lit(True)).cast("int"))
-    return rows.withColumn("run", F.sum("fresh").over(w)).groupBy("contig", "run", "pos").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord")).drop("run")
+    """Merges of neighbours alone, stars as they are."""
+    return truth.merge_adjacent(truth.parse_genotypes(relation(spark, d, "vcf")).withColumn("part", F.lit(0)))
 
 
 LABEL_SQL = f"""
@@ -218,10 +221,57 @@ def train_validation_split(spark, d):
     return truth.split_train(relation(spark, d, "vcf").select(F.col("contig").alias("bin"), "contig", "pos").distinct())
 
 
-@query("SELECT 'vcf' AS source, contig, count(*) AS n FROM {vcf} GROUP BY ALL UNION ALL SELECT 'calls', contig, count(*) FROM {calls} GROUP BY ALL")
+@query(f"""WITH c AS (SELECT contig, pos0 + 1 AS pos FROM {{reference}}), b AS (SELECT contig, start, CASE WHEN start = end_ THEN end_ + 1 ELSE end_ END AS e FROM {{bed}}), v AS (SELECT DISTINCT contig, pos FROM {{vcf}}),
+  rest AS (SELECT * FROM c WHERE EXISTS (SELECT 1 FROM b WHERE b.contig = c.contig AND c.pos >= b.start AND c.pos < b.e) AND NOT EXISTS (SELECT 1 FROM v WHERE v.contig = c.contig AND v.pos = c.pos))
+  SELECT contig, pos, 1 AS variant FROM v UNION ALL SELECT contig, pos, 0 FROM rest WHERE {U_SQL} <= least((SELECT count(*) FROM v) * 0.5 / (SELECT count(*) FROM rest), 1.0)""")
+def pair_non_variants_bed(spark, d):
+    v = relation(spark, d, "vcf").select("contig", "pos").distinct()
+    return truth.pair_non_variants(v, relation(spark, d, "reference").select("contig", (F.col("pos0") + 1).alias("pos")), 0.5, bed=relation(spark, d, "bed"))
+
+
+GATE_SQL = f"""v AS (SELECT DISTINCT contig, pos FROM {{vcf}}), near_ AS (SELECT contig, pos + o AS pos, min(abs(o)) AS away FROM v, (SELECT unnest(range(-16, 17)) AS o) x GROUP BY ALL),
+  gate AS (SELECT c.contig, c.pos, n.pos IS NOT NULL AS near FROM cand c LEFT JOIN (SELECT * FROM near_ WHERE away >= 15) n ON n.contig = c.contig AND n.pos = c.pos
+    WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.contig = c.contig AND v.pos = c.pos) AND {U_SQL.replace("contig || ':' || pos", "c.contig || ':' || c.pos")} <= CASE WHEN n.pos IS NOT NULL THEN 0.5 ELSE 0.25 END)"""
+
+
+def _gated(spark, d):
+    return truth.training_gate(sites_of(spark, d).select("contig", "pos"), relation(spark, d, "vcf"), far_chance=0.25)
+
+
+@query(f"WITH {kept_sql()}, {EVENTS_SQL}, {PILE_SQL}, {CAND_SQL}, {GATE_SQL} SELECT * FROM gate")
+def training_gate(spark, d):
+    return _gated(spark, d)
+
+
+@query(f"WITH {kept_sql()}, {EVENTS_SQL}, {PILE_SQL}, {CAND_SQL}, {GATE_SQL} SELECT contig, near, count(*) AS n FROM gate GROUP BY ALL")
+def near_tallies(spark, d):
+    return truth.near_tallies(_gated(spark, d))
+
+
+BIN_SQL = "SELECT contig, pos, ord, CAST(floor((row_number() OVER (PARTITION BY contig ORDER BY pos, ord) - 1) / 500.0) AS BIGINT) AS block FROM {calls}"
+
+
+def _bins(spark, d) -> dict[str, DataFrame]:
+    w = Window.partitionBy("contig").orderBy("pos", "ord")
+    rows = relation(spark, d, "calls").select("contig", "pos", "ord", F.floor((F.row_number().over(w) - 1) / 500).alias("block"))
+    return {c: rows.where(F.col("contig") == c) for c in ("chr1", "chr2", "chr3")}
+
+
+@query(f"""WITH b AS ({BIN_SQL}), sizes AS (SELECT contig, max(block) + 1 AS blocks FROM b GROUP BY contig)
+  SELECT contig, pos, ord, block + CAST(coalesce((SELECT sum(blocks) FROM sizes s WHERE s.contig < b.contig), 0) AS BIGINT) AS block FROM b""")
 def union_bins(spark, d):
-    both = relation(spark, d, "vcf").select(F.lit("vcf").alias("source"), "contig").unionByName(relation(spark, d, "calls").select(F.lit("calls").alias("source"), "contig"))
-    return both.groupBy("source", "contig").agg(F.count("*").alias("n"))
+    return files.combine_bins(list(_bins(spark, d).values()))
+
+
+@query(f"WITH b AS ({BIN_SQL}) SELECT contig AS bin, contig, pos, ord, block FROM b WHERE contig <> 'chr3' AND block % 2 = 0")
+def read_bins(spark, d):
+    """Two bins written by split and read back, their train parts only."""
+    root, paths = fresh_path(spark, "bins"), []
+    for name in ("chr1", "chr2"):
+        rows = _bins(spark, d)[name].withColumn("split", F.when(F.col("block") % 2 == 0, "train").otherwise("validation"))
+        paths.append(f"{root}/{name}")
+        files.write_bins(rows, paths[-1])
+    return files.read_bins(spark, *paths, split="train").drop("split")
 
 
 ROW_SQL = "CASE WHEN instr('ACGTURYSWKMBDHVN', {0}) > 0 THEN instr('ACGT', translate({0}, 'URYSWKMBDHVN', 'TACCAGACAAAA')) - 1 END + CASE WHEN reverse THEN 4 ELSE 0 END"
@@ -625,11 +675,42 @@ def cyclical_lr(spark, d):
     return rows.select("step", *(F.round(B.triangular_lr(F.col("step"), 20, 0.001, 0.01, m), 9).alias(m) for m in ("tri", "tri2", "exp")))
 
 
-@query(f"WITH {kept_sql()}, {EVENTS_SQL}, {PILE_SQL} SELECT contig, near, count(*) AS n FROM (SELECT c.contig, EXISTS (SELECT 1 FROM {{vcf}} v WHERE v.contig = c.contig AND abs(v.pos - c.pos0 - 1) <= 16) AS near FROM counts c) GROUP BY ALL")
-def near_tallies(spark, d):
-    spread = relation(spark, d, "vcf").select("contig", F.explode(F.sequence(F.col("pos") - 17, F.col("pos") + 15)).alias("pos0")).distinct().withColumn("near", F.lit(True))
-    rows = counts_of(spark, d).join(spread, ["contig", "pos0"], "left")
-    return rows.groupBy("contig", F.coalesce("near", F.lit(False)).alias("near")).agg(F.count("*").alias("n"))
+EVALUATE_SQL = """, e AS (SELECT pos % 21 AS t1, pos % 3 AS t2, pos % 33 AS a, pos * 7 % 33 AS b, list_position(g, list_max(g)) - 1 AS p1, list_position(z, list_max(z)) - 1 AS p2, list_position(u, list_max(u)) - 1 AS pu, list_position(v, list_max(v)) - 1 AS pv, g FROM probs),
+  m AS (SELECT task, truth, pred, count(*) AS n FROM (SELECT 'gt21' AS task, t1 AS truth, p1 AS pred FROM e UNION ALL SELECT 'zyg', t2, p2 FROM e UNION ALL SELECT 'length_1', least(a, b), least(pu, pv) FROM e UNION ALL SELECT 'length_2', greatest(a, b), greatest(pu, pv) FROM e) GROUP BY ALL),
+  k AS (SELECT DISTINCT task, truth AS cls FROM m UNION SELECT DISTINCT task, pred FROM m),
+  f AS (SELECT task, cls, coalesce((SELECT sum(n) FROM m WHERE m.task = k.task AND truth = cls AND pred = cls), 0) AS hit, coalesce((SELECT sum(n) FROM m WHERE m.task = k.task AND pred = cls), 0) AS ip, coalesce((SELECT sum(n) FROM m WHERE m.task = k.task AND truth = cls), 0) AS it FROM k),
+  pr AS (SELECT *, hit / (ip + 1e-15) AS pp, hit / (it + 1e-15) AS rr FROM f),
+  place AS (SELECT len(list_filter(range(1, 22), lambda i: g[i] > g[t1 + 1] OR (g[i] = g[t1 + 1] AND i > t1 + 1))) AS place FROM e),
+  out AS (SELECT task, 'n' AS metric, truth, pred, CAST(n AS DOUBLE) AS value FROM m UNION ALL SELECT task, 'precision', cls, NULL, pp FROM pr UNION ALL SELECT task, 'recall', cls, NULL, rr FROM pr UNION ALL SELECT task, 'f1', cls, NULL, 2 * pp * rr / (pp + rr + 1e-15) FROM pr
+    UNION ALL SELECT 'gt21', 'all', NULL, NULL, count(*) FROM place UNION ALL SELECT 'gt21', 'top1', NULL, NULL, count(*) FILTER (place = 0) FROM place UNION ALL SELECT 'gt21', 'top2', NULL, NULL, count(*) FILTER (place <= 1) FROM place)"""
+
+
+@query(f"WITH {PROBS_SQL}{EVALUATE_SQL} SELECT task, metric, CAST(truth AS BIGINT) AS truth, CAST(pred AS BIGINT) AS pred, round(value, 9) AS value FROM out")
+def evaluate(spark, d):
+    rows = probabilities(spark, d).select((F.col("pos") % 21).alias("gt21"), (F.col("pos") % 3).alias("zyg"), (F.col("pos") % 33).alias("len1"), (F.col("pos") * 7 % 33).alias("len2"), "g", "z", "u", "v")
+    return _longs(metrics.evaluate(rows), "truth", "pred").withColumn("value", F.round("value", 9))
+
+
+@query(DENSE_SQL + f", {TRUTH_SQL}, {LABEL_SQL}" + SEQS_SQL + """, sums AS (SELECT contig, pos, CAST(sum(n) - 4 * coalesce(sum(n) FILTER (ch = 0), 0) + coalesce(sum(n) FILTER (ch = 0), 0) AS BIGINT) AS total FROM long GROUP BY ALL),
+  first_ AS (SELECT contig, pos, min(gt21) AS gt21, min(zyg) AS zyg, min(len1) AS len1, min(len2) AS len2 FROM labels_ GROUP BY ALL HAVING count(*) = 1)
+  SELECT s.contig, s.pos, total, coalesce(gt21, CASE substr(q.seq, 17, 1) WHEN 'A' THEN 0 WHEN 'C' THEN 4 WHEN 'G' THEN 7 ELSE 9 END) AS y1, coalesce(zyg, 0) + 21 AS y2, coalesce(len1, 16) + 24 AS y3, coalesce(len2, 16) + 57 AS y4
+  FROM sums s JOIN seqs_ q USING (contig, pos) LEFT JOIN first_ USING (contig, pos) WHERE length(q.seq) > 16 AND (s.contig, s.pos) NOT IN (SELECT contig, pos FROM labels_ GROUP BY ALL HAVING count(*) > 1)""")
+def training_rows(spark, d):
+    rows = calling.tensor_rows(_centres(spark, d), _events(spark, d), relation(spark, d, "reference")).withColumn("ord", F.lit(0))
+    labels = truth.variant_labels(truth_of(spark, d))
+    once = labels.groupBy("contig", "pos").agg(F.count("*").alias("n"))
+    rows = rows.join(once.where("n > 1"), ["contig", "pos"], "left_anti")  # a site of several truth rows has no one label
+    made = truth.training_rows(rows, labels)
+    ones = F.filter(F.transform("y", lambda v, i: F.when(v == 1, i)), lambda x: x.isNotNull())
+    total = F.aggregate("x", F.lit(0).cast("long"), lambda s, v: s + v)
+    return made.select("contig", "pos", total.alias("total"), *(ones[k].cast("long").alias(f"y{k + 1}") for k in range(4)))
+
+
+@query(DENSE_SQL + """ SELECT ['reference', 'insert', 'delete', 'snp'][ch + 1] AS channel, ['A+', 'C+', 'G+', 'T+', 'A-', 'C-', 'G-', 'T-']["row" + 1] AS "row", idx, CAST(sum(n) AS BIGINT) AS value FROM long GROUP BY ALL""")
+def plot_rows(spark, d):
+    """The heat maps of all tensors together."""
+    rows = files.plot_rows(_dense(spark, d), "contig", "pos")
+    return _longs(rows.where("value <> 0").groupBy("channel", "row", "idx").agg(F.sum("value").alias("value")), "idx")
 
 
 @query(None)
@@ -639,26 +720,27 @@ def network_scores(spark, d):
     return network.score(x.select("contig", "pos", "x"), weights).select("contig", "pos", *(B.argmax(F.col(k)).alias(k) for k in network.HEADS))
 
 
+FAR = 1 << 33
+#: A read far behind all others, at the end of a stream.
+LAST_READ = ([("", FAR, 60, 0, "1M", "A", 1)], "contig string, pos0 long, mapq int, flag int, cigar string, seq string, ord long")
+
+
+def _streamed(spark, d, build) -> DataFrame:
+    places = (fresh_path(spark, name) for name in ("reads", "stream", "progress"))
+    return pileup.drain(relation(spark, d, "reads"), build, *places, last=spark.createDataFrame(*LAST_READ))
+
+
 @query(f"WITH {kept_sql()}, {EVENTS_SQL}, {PILE_SQL} SELECT * FROM counts")
 def streaming_pileup_counts(spark, d):
     """The streaming pileup over the reads as a one-batch stream; equal to pileup_counts."""
-    import uuid
-
-    from ..sources.shared import fresh_path
-
-    rows = relation(spark, d, "reads")
-    path = fresh_path(spark, "reads")
-    rows.write.parquet(path)
-    out, progress = fresh_path(spark, "pileup"), fresh_path(spark, "progress")
-
-    def run() -> None:
-        stream = streaming_pileup(spark.readStream.schema(rows.schema).parquet(path), 64, 5)
-        writer = stream.writeStream.queryName(f"pileup_{uuid.uuid4().hex}").option("checkpointLocation", progress).format("parquet").outputMode("append")
-        writer.trigger(availableNow=True).start(out).awaitTermination()
-
-    run()
-    # end of input: a read far behind all others moves the watermark past every open position
-    last = spark.createDataFrame([("", 1 << 33, 60, 0, "1M", "A", 1)], "contig string, pos0 long, mapq int, flag int, cigar string, seq string, ord long")
-    last.select(*(F.col(f.name).cast(f.dataType) for f in rows.schema)).write.mode("append").parquet(path)
-    run()
-    return spark.read.parquet(out)
+    return _streamed(spark, d, lambda reads: pileup.streaming_pileup(reads, 64, 5))
+
+
+@query(f"WITH {kept_sql(soft=False)}, {EVENTS_SQL}, {CENTRES}, " + HITS_SQL.replace("{edge}", ""))
+def streaming_tensor_cells(spark, d):
+    """Tensors from a stream of the reads; equal to window_tensor."""
+    end = spark.createDataFrame([("", FAR + 1, FAR, "A")], "contig string, pos long, pos0 long, base string")
+    sites = _centres(spark, d).unionByName(end.select("contig", "pos"))
+    known = relation(spark, d, "reference").select("contig", "pos0", "base").unionByName(end.select("contig", "pos0", "base"))
+    cells = _streamed(spark, d, lambda reads: pileup.streaming_window_cells(reads, sites, known, 64, 5))
+    return _longs(cells, "idx", "row", "ch")

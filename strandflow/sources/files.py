@@ -1,17 +1,26 @@
 """Text sources and sinks of the field's formats as DataFrames.
 
 Plain and gzip files, one or many; partition pruning and column pruning are
-Spark's. ``ord`` follows the order of lines in a file.
+Spark's. ``ord`` follows the order of lines in a file. Text sinks sort by
+contig and position first; their parts are in that order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bases import FLANK, WIDTH
+from ..functions.bases import CHANNELS, FLANK, ROWS, WIDTH
+from ..operators.reads import touching
+from .shared import file_system
 
 SIZE = WIDTH * 32
+#: Positions that a region of reads is widened by on both sides for candidates.
+WIDEN = 1_000_000
 
 
 def _lines(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
@@ -19,16 +28,46 @@ def _lines(spark: SparkSession, path: str, comment: str | None = None) -> DataFr
     return rows if comment is None else rows.where(~F.col("value").startswith(comment))
 
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """ord, contig, pos0, mapq, flag, cigar, seq of SAM text."""
+def read_sam(spark: SparkSession, path: str, contig: str | None = None, start: int | None = None, end: int | None = None, widen: int = 0) -> DataFrame:
+    """ord, contig, pos0, mapq, flag, cigar, seq of SAM text; of a contig and of reads over 1-based positions start to end, widened by ``widen``."""
     part = F.split(F.trim("value"), r"\s+")
     at = lambda i: part[i]
-    return _lines(spark, path, "@").select("ord", at(2).alias("contig"), (at(3).cast("long") - 1).alias("pos0"), at(4).cast("int").alias("mapq"), at(1).cast("int").alias("flag"), at(5).alias("cigar"), F.upper(at(9)).alias("seq"))
-
-
-def read_fasta(spark: SparkSession, path: str, line_sep: str = ">") -> DataFrame:
-    """contig, pos0, base of a FASTA file: a row for each position. A record must fit a task."""
-    records = spark.read.option("lineSep", line_sep).text(path).where(F.length(F.trim("value")) > 0)
+    rows = _lines(spark, path, "@").select("ord", at(2).alias("contig"), (at(3).cast("long") - 1).alias("pos0"), at(4).cast("int").alias("mapq"), at(1).cast("int").alias("flag"), at(5).alias("cigar"), F.upper(at(9)).alias("seq"))
+    return touching(rows if contig is None else rows.where(F.col("contig") == contig), start, end, widen)
+
+
+def read_fasta(spark: SparkSession, path: str, contig: str | None = None, start: int | None = None, end: int | None = None, chunk: int = 1_000_000) -> DataFrame:
+    """contig, pos0, base of an indexed FASTA file, a row for each position; of a contig and of 1-based positions start to end.
+
+    The index gives each contig's offset and line width, so a task reads its
+    ``chunk`` positions by their byte range.
+    """
+    index = spark.read.csv(f"{path}.fai", sep="\t", schema="contig string, length long, at long, line long, width long").where("length > 0")
+    index = index if contig is None else index.where(F.col("contig") == contig)
+    plan = index.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(chunk).cast("long"))))
+    plan = plan.withColumn("last", F.least(F.col("first") + chunk, F.col("length")))
+    if start is not None and end is not None:
+        plan = plan.withColumn("first", F.greatest("first", F.lit(max(start, 1) - 1))).withColumn("last", F.least("last", F.lit(end))).where("first < last")
+    schema = pa.schema([("contig", pa.string()), ("pos0", pa.int64()), ("base", pa.string())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, where = file_system(path)
+        for batch in batches:
+            for row in batch.to_pylist():
+                place = lambda p, r=row: r["at"] + p // r["line"] * r["width"] + p % r["line"]
+                with fs.open_input_file(where) as f:
+                    text = f.read_at(place(row["last"] - 1) + 1 - place(row["first"]), place(row["first"]))
+                text = text.translate(None, b"\r\n").upper()
+                n = len(text)
+                base = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32)), pa.py_buffer(text)])
+                yield pa.RecordBatch.from_arrays([pa.array([row["contig"]]).take(pa.array(np.zeros(n, np.int64))), pa.array(row["first"] + np.arange(n)), base], schema=schema)
+
+    return plan.repartition("contig", "first").mapInArrow(run, "contig string, pos0 long, base string")
+
+
+def read_fasta_records(spark: SparkSession, path: str) -> DataFrame:
+    """The same of a file without an index; each record must fit a task."""
+    records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
     head = F.regexp_extract("value", r"^\s*(\S+)", 1)
     body = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", ""))
     return records.select(head.alias("contig"), F.posexplode(F.split(body, "")).alias("pos0", "base")).where("base <> ''").select("contig", F.col("pos0").cast("long").alias("pos0"), "base")
@@ -53,6 +92,23 @@ def read_vcf(spark: SparkSession, path: str, contig: str | None = None, start: i
     return rows if start is None or end is None else rows.where(F.col("pos").between(start, end))
 
 
+def read_vcf_header(spark: SparkSession, path: str) -> DataFrame:
+    """ord and value of a VCF's header lines."""
+    return _lines(spark, path).where(F.col("value").startswith("#")).select("ord", "value")
+
+
+def read_calls(spark: SparkSession, path: str) -> DataFrame:
+    """ord, contig, pos, ref, alt (the first two), qual and the last two columns of VCF body lines, as overlap removal takes them."""
+    part = F.split("value", "\t")
+    qual = F.floor(part[5].cast("double")).cast("int")
+    return _lines(spark, path, "#").select("ord", part[0].alias("contig"), part[1].cast("long").alias("pos"), part[3].alias("ref"), F.array_join(F.slice(F.split(part[4], ","), 1, 2), ",").alias("alt"), qual.alias("qual"), part[7].alias("info"), part[8].alias("format"), part[9].alias("sample"))
+
+
+def call_line() -> Column:
+    """A line of read_calls()'s columns; ID and FILTER come out as dots."""
+    return F.concat_ws("\t", "contig", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.col("qual").cast("string"), F.lit("."), "info", "format", "sample")
+
+
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """contig and pos, the first two fields of candidate or truth rows."""
     part = F.split("value", r"\s+", 3)
@@ -69,8 +125,9 @@ def read_tensors(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select("ord", part[0].alias("contig"), part[1].cast("long").alias("pos"), part[2].alias("seq"), F.slice(part, 4, SIZE).cast("array<float>").alias("x"))
 
 
-def write_lines(rows: DataFrame, line: Column, path: str, gzip: bool = True) -> None:
-    rows.select(line.alias("value")).write.mode("overwrite").text(path, compression="gzip" if gzip else "none")
+def write_lines(rows: DataFrame, line: Column, path: str, gzip: bool = True, order: tuple[str, ...] = ("contig", "pos")) -> None:
+    """Text parts in the order of ``order``."""
+    rows.select(*order, line.alias("value")).orderBy(*order).select("value").write.mode("overwrite").text(path, compression="gzip" if gzip else "none")
 
 
 def candidate_line() -> Column:
@@ -101,10 +158,15 @@ def vcf_line() -> Column:
 
 
 def vcf_header(contigs: list[tuple[str, int]], sample: str = "SAMPLE") -> str:
+    # Header lines of the format.
     fixed = [
         "##fileformat=VCFv4.1",
         '##FILTER=<ID=PASS,Description="All filters passed">',
         '##FILTER=<ID=LowQual,Description="Confidence in this variant being real is below calling threshold.">',
+        '##ALT=<ID=DEL,Description="Deletion">',
+        '##ALT=<ID=INS,Description="Insertion of novel sequence">',
+        '##INFO=<ID=SVTYPE,Number=1,Type=String,Description="Type of structural variant">',
+        '##INFO=<ID=LENGUESS,Number=.,Type=Integer,Description="Best guess of the indel length">',
         '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
         '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Genotype Quality">',
         '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Read Depth">',
@@ -127,6 +189,53 @@ def write_bins(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("split").parquet(path, compression="zstd")
 
 
+def read_bins(spark: SparkSession, *paths: str, split: str | None = None) -> DataFrame:
+    """Rows of one or more bins with ``bin``, the name of the folder each came from; of one split, only its folder is read."""
+    rows = None
+    for path in paths:
+        one = spark.read.parquet(path).withColumn("bin", F.lit(path.rstrip("/").rsplit("/", 1)[-1]))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows if split is None else rows.where(F.col("split") == split)
+
+
+def combine_bins(bins: list[DataFrame]) -> DataFrame:
+    """All rows of several bins as one, whose blocks are numbered on in the order of the list and, in a bin, as they were."""
+    rows = None
+    for k, one in enumerate(bins):
+        one = one.withColumn("nth_bin", F.lit(k))
+        rows = one if rows is None else rows.unionByName(one)
+    sizes = rows.groupBy("nth_bin").agg((F.max("block") + 1).alias("blocks"))  # a row for each bin
+    before = sizes.alias("a").join(F.broadcast(sizes).alias("b"), F.col("b.nth_bin") < F.col("a.nth_bin"), "left").groupBy("a.nth_bin").agg(F.coalesce(F.sum("b.blocks"), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "nth_bin").withColumn("block", F.col("block") + F.col("before")).drop("nth_bin", "before")
+
+
+def train_with_validation(train: DataFrame, validation: DataFrame) -> DataFrame:
+    """Training and validation bins as one, with their split; the number of training rows is the size of its train part."""
+    return combine_bins([train.withColumn("split", F.lit("train")), validation.withColumn("split", F.lit("validation"))])
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """nth and x (1056 numbers) of text files with numbers parted by commas and line ends; a file must fit a task."""
+    numbers = F.filter(F.split("value", r"[,\s]+"), lambda x: x != "")
+    rows = spark.read.text(path, wholetext=True).select(numbers.alias("all"))
+    rows = rows.select("all", F.explode(F.sequence(F.lit(0), F.floor(F.size("all") / SIZE).cast("int") - 1)).alias("nth"))
+    return rows.select("nth", F.slice("all", F.col("nth") * SIZE + 1, F.lit(SIZE)).cast("array<float>").alias("x"))
+
+
+#: Rows and channels of a tensor plot.
+ROW_NAMES = ["A+", "C+", "G+", "T+", "A-", "C-", "G-", "T-"]
+CHANNEL_NAMES = ["reference", "insert", "delete", "snp"]
+
+
+def plot_rows(tensors: DataFrame, *keys: str, most: int = -1) -> DataFrame:
+    """keys, channel, row, idx, value: a tensor's four heat maps as rows, for any plotting tool; of ``most`` tensors in key order (all if negative)."""
+    rows = tensors.select(*keys, "x")
+    rows = rows if most < 0 else rows.orderBy(*keys).limit(most)
+    long = rows.select(*keys, F.posexplode("x").alias("at", "value"))
+    name = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    return long.select(*keys, name(CHANNEL_NAMES, F.col("at") % CHANNELS).alias("channel"), name(ROW_NAMES, F.floor(F.col("at") / CHANNELS) % ROWS).alias("row"), F.floor(F.col("at") / (ROWS * CHANNELS)).cast("int").alias("idx"), "value")
+
+
 def bin_to_text(rows: DataFrame) -> DataFrame:
     """ord, line_no, value: three lines for each record (x, y, contig:pos)."""
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
@@ -144,5 +253,16 @@ def region_text(contig: str, start: int | None, end: int | None) -> str:
     return f"{contig}:{start}-{end}" if start is not None and end is not None else ""
 
 
+def with_prefix(rows: DataFrame, letter: str) -> DataFrame:
+    """Rows of one sample with its letter before the contig, so that samples can be put together."""
+    return rows.withColumn("contig", F.concat(F.lit(letter), "contig"))
+
+
+def command_text(program: list[str], options: dict[str, object]) -> str:
+    """A command line: None and False drop an option, True stands without a value, other values are quoted."""
+    parts = [f"--{k}" if v is True else f'--{k} "{v}"' for k, v in options.items() if v is not None and v is not False]
+    return " ".join([*program, *parts])
+
+
 def centre(seq: Column) -> Column:
     return F.substring(seq, FLANK + 1, 1)
