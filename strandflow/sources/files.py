@@ -31,7 +31,7 @@ def _lines(spark: SparkSession, path: str, comment: str | None = None) -> DataFr
 def read_sam(spark: SparkSession, path: str, contig: str | None = None, start: int | None = None, end: int | None = None, widen: int = 0) -> DataFrame:
     """ord, contig, pos0, mapq, flag, cigar, seq of SAM text; of a contig and of reads over 1-based positions start to end, widened by ``widen``."""
     part = F.split(F.trim("value"), r"\s+")
-    at = lambda i: part[i]
+    at = lambda i: F.get(part, F.lit(i))
     rows = _lines(spark, path, "@").select("ord", at(2).alias("contig"), (at(3).cast("long") - 1).alias("pos0"), at(4).cast("int").alias("mapq"), at(1).cast("int").alias("flag"), at(5).alias("cigar"), F.upper(at(9)).alias("seq"))
     return touching(rows if contig is None else rows.where(F.col("contig") == contig), start, end, widen)
 
@@ -80,14 +80,14 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """contig, start, end; intervals of no length get one."""
     part = F.split(F.trim("value"), r"\s+")
-    start, end = part[1].cast("long"), part[2].cast("long")
-    return _lines(spark, path).where(F.length(F.trim("value")) > 0).select(part[0].alias("contig"), start.alias("start"), F.when(start == end, end + 1).otherwise(end).alias("end"))
+    start, end = F.get(part, F.lit(1)).cast("long"), F.get(part, F.lit(2)).cast("long")
+    return _lines(spark, path).where(F.length(F.trim("value")) > 0).select(F.get(part, F.lit(0)).alias("contig"), start.alias("start"), F.when(start == end, end + 1).otherwise(end).alias("end"))
 
 
 def read_vcf(spark: SparkSession, path: str, contig: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
     """ord, contig, pos, ref, alt, qual, gt (text before a colon in the last column)."""
     part = F.split("value", r"\s+")
-    rows = _lines(spark, path, "#").select("ord", part[0].alias("contig"), part[1].cast("long").alias("pos"), part[3].alias("ref"), part[4].alias("alt"), F.try_to_number(part[5], F.lit("999999.99")).cast("int").alias("qual"), F.split(F.element_at(part, -1), ":")[0].alias("gt"))
+    rows = _lines(spark, path, "#").select("ord", F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(1)).cast("long").alias("pos"), F.get(part, F.lit(3)).alias("ref"), F.get(part, F.lit(4)).alias("alt"), F.try_to_number(F.get(part, F.lit(5)), F.lit("999999.99")).cast("int").alias("qual"), F.split(F.element_at(part, -1), ":")[0].alias("gt"))
     rows = rows if contig is None else rows.where(F.col("contig") == contig)
     return rows if start is None or end is None else rows.where(F.col("pos").between(start, end))
 
@@ -100,8 +100,8 @@ def read_vcf_header(spark: SparkSession, path: str) -> DataFrame:
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
     """ord, contig, pos, ref, alt (the first two), qual and the last two columns of VCF body lines, as overlap removal takes them."""
     part = F.split("value", "\t")
-    qual = F.floor(part[5].cast("double")).cast("int")
-    return _lines(spark, path, "#").select("ord", part[0].alias("contig"), part[1].cast("long").alias("pos"), part[3].alias("ref"), F.array_join(F.slice(F.split(part[4], ","), 1, 2), ",").alias("alt"), qual.alias("qual"), part[7].alias("info"), part[8].alias("format"), part[9].alias("sample"))
+    qual = F.floor(F.get(part, F.lit(5)).cast("double")).cast("int")
+    return _lines(spark, path, "#").select("ord", F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(1)).cast("long").alias("pos"), F.get(part, F.lit(3)).alias("ref"), F.array_join(F.slice(F.split(F.get(part, F.lit(4)), ","), 1, 2), ",").alias("alt"), qual.alias("qual"), F.get(part, F.lit(7)).alias("info"), F.get(part, F.lit(8)).alias("format"), F.get(part, F.lit(9)).alias("sample"))
 
 
 def call_line() -> Column:
@@ -112,7 +112,13 @@ def call_line() -> Column:
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """contig and pos, the first two fields of candidate or truth rows."""
     part = F.split("value", r"\s+", 3)
-    return _lines(spark, path).select("ord", part[0].alias("contig"), part[1].cast("long").alias("pos"))
+    return _lines(spark, path).select("ord", F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(1)).cast("long").alias("pos"))
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """ord, contig, pos, ref, alt, gt1, gt2 of truth lines."""
+    part = F.split("value", r"\s+")
+    return _lines(spark, path).select("ord", F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(1)).cast("long").alias("pos"), F.get(part, F.lit(2)).alias("ref"), F.get(part, F.lit(3)).alias("alt"), F.get(part, F.lit(4)).cast("int").alias("gt1"), F.get(part, F.lit(5)).cast("int").alias("gt2"))
 
 
 def tensor_line(x: Column) -> Column:
@@ -122,7 +128,7 @@ def tensor_line(x: Column) -> Column:
 def read_tensors(spark: SparkSession, path: str) -> DataFrame:
     """ord, contig, pos, seq, x (1056 floats)."""
     part = F.split("value", r"\s+")
-    return _lines(spark, path).select("ord", part[0].alias("contig"), part[1].cast("long").alias("pos"), part[2].alias("seq"), F.slice(part, 4, SIZE).cast("array<float>").alias("x"))
+    return _lines(spark, path).select("ord", F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(1)).cast("long").alias("pos"), F.get(part, F.lit(2)).alias("seq"), F.slice(part, 4, SIZE).cast("array<float>").alias("x"))
 
 
 def write_lines(rows: DataFrame, line: Column, path: str, gzip: bool = True, order: tuple[str, ...] = ("contig", "pos")) -> None:
@@ -148,7 +154,7 @@ def read_probabilities(spark: SparkSession, path: str) -> DataFrame:
     part = F.split("value", "\t")
     cut = lambda first, n: F.slice(part, first, n).cast("array<double>")
     at = 4 + SIZE
-    return _lines(spark, path).select("ord", part[0].alias("contig"), part[1].cast("long").alias("pos"), part[2].alias("seq"), F.slice(part, 4, SIZE).cast("array<int>").alias("x"), cut(at, 21).alias("g"), cut(at + 21, 3).alias("z"), cut(at + 24, WIDTH).alias("u"), cut(at + 24 + WIDTH, WIDTH).alias("v"))
+    return _lines(spark, path).select("ord", F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(1)).cast("long").alias("pos"), F.get(part, F.lit(2)).alias("seq"), F.slice(part, 4, SIZE).cast("array<int>").alias("x"), cut(at, 21).alias("g"), cut(at + 21, 3).alias("z"), cut(at + 24, WIDTH).alias("u"), cut(at + 24 + WIDTH, WIDTH).alias("v"))
 
 
 def vcf_line() -> Column:

@@ -335,7 +335,7 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "a.sam").write_text("@HD\tVN:1\nq1\t16\tchr1\t11\t60\t4M\t*\t0\t0\tacgT\tIIII\n")
     assert tuple(files.read_sam(spark, str(tmp_path / "a.sam")).drop("ord").first()) == ("chr1", 10, 60, 16, "4M", "ACGT")
     (tmp_path / "a.fa").write_text(">chr1 x\nacg\nT\n>chr2\nGG\n")
-    assert [tuple(r) for r in files.read_fasta(spark, str(tmp_path / "a.fa")).orderBy("contig", "pos0").collect()] == [("chr1", 0, "A"), ("chr1", 1, "C"), ("chr1", 2, "G"), ("chr1", 3, "T"), ("chr2", 0, "G"), ("chr2", 1, "G")]
+    assert [tuple(r) for r in files.read_fasta_records(spark, str(tmp_path / "a.fa")).orderBy("contig", "pos0").collect()] == [("chr1", 0, "A"), ("chr1", 1, "C"), ("chr1", 2, "G"), ("chr1", 3, "T"), ("chr2", 0, "G"), ("chr2", 1, "G")]
     (tmp_path / "a.bed").write_text("chr1 5 5\nchr1\t7\t9\n")
     assert [tuple(r)[:3] for r in files.read_bed(spark, str(tmp_path / "a.bed")).collect()] == [("chr1", 5, 6), ("chr1", 7, 9)]
     done = spark.createDataFrame([("chr1", 7, "A", "G", 652, "PASS", "0/1", 652, 30, 0.4667), ("chr1", 3, "A", "T", 10, ".", "1/1", 10, 3, 1.0)], "contig string, pos long, ref string, alt string, qual int, filter string, gt string, gq int, dp int, af double")
