@@ -6,12 +6,13 @@ before any search. Nodes are embedded into ``COORDINATES`` min-hash tokens.
 Each run walks a tree: at a node of the tree every coordinate is drawn with
 probability 1 / (SIMILARITY * COORDINATES), sets that agree on a drawn token
 go down together, buckets of one set end, and buckets of up to ``BRUTE`` are
-compared by brute force. A larger bucket is split on, however deep that goes,
-unless its sets agree in the share SIMILARITY of their tokens on average:
-splitting hardly parts such sets, as most pairs of theirs are links, so the
-bucket is compared by brute force as well, in blocks. The number of runs gives
-a pair at the threshold the chance ``RECALL`` to share a leaf within ``DEPTH``
-steps; sets whose buckets went deeper take as many more runs as their depth
+compared by brute force. The number of runs gives a pair at the threshold the
+chance ``RECALL`` to share a leaf within ``DEPTH`` steps. A bucket that is
+larger after these is split on, however deep that goes, unless its sets agree
+in the share ``DENSE`` of their tokens on average: a step leaves 1 /
+SIMILARITY times that share of a bucket's comparisons and asks for more runs,
+so it no longer pays, and the bucket is compared by brute force as well, in
+blocks. Sets whose buckets went deeper take as many more runs as their depth
 asks for.
 
 Leaves of equal members are searched once. Min-hash tokens first drop sets
@@ -48,8 +49,8 @@ SHINGLE, SIMILARITY, COORDINATES = 5, 0.8, 64
 RECALL, DEPTH, BRUTE = 0.995, 3, 512
 #: Sets and their shingles in a block at most, and rows compared at a time.
 BLOCK_SETS, BLOCK_SHINGLES, TILE = 4096, 2_000_000, 512
-#: Coordinates that tell whether a bucket is dense.
-PROBED = 16
+#: Mean agreement of a dense bucket, and the coordinates that tell it.
+DENSE, PROBED = 0.5, 16
 #: A pair at the threshold agrees in fewer tokens than this with a chance of about 1 in 100,000.
 TOKEN_SLACK = 4.3
 
@@ -161,13 +162,16 @@ def grow_trees(nodes: DataFrame, roots: range, brute: int, planned: int) -> tupl
         sizes = level.groupBy("path").agg(F.count("*").alias("members"), F.sum("size").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")).where("members > 1")
         sizes = materialize(sizes, "buckets")
         large = sizes.where(F.col("members") > brute).select("path", "members")
-        ended = sizes.where(F.col("members") <= brute)
-        split = None
-        if not large.isEmpty():
-            inside = level.join(large.select("path"), "path").join(nodes.select("node", "sig"), "node")
+        ended, split = sizes, None
+        inside = level.join(large.select("path"), "path").join(nodes.select("node", "sig"), "node")
+        if large.isEmpty():
+            pass
+        elif depth < planned:
+            ended, split = sizes.where(F.col("members") <= brute), inside
+        else:
             met = inside.select("path", "sig").mapInArrow(_token_counts, "path long, token long, n long").groupBy("path", "token").agg(F.sum("n").alias("n"))
             square = met.groupBy("path").agg(F.sum(F.col("n") * F.col("n")).alias("agree"))
-            sparse = large.join(square, "path").where(F.col("agree") < SIMILARITY * PROBED * F.col("members") * F.col("members")).select("path")
+            sparse = large.join(square, "path").where(F.col("agree") < DENSE * PROBED * F.col("members") * F.col("members")).select("path")
             sparse = materialize(sparse, "sparse")
             ended = sizes.join(sparse, "path", "left_anti")
             split = None if sparse.isEmpty() else inside.join(sparse, "path")
