@@ -96,14 +96,16 @@ def feature_of(payload: bytes, width: int, height: int) -> str:
     return f"{width}x{height} mean={total * 1000 // n} var={(n * squares - total * total) * 1000 // (n * n)} ahash={mark:016x}"
 
 
-def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system and path of an address as Hadoop writes it (file:/, s3a://, s3n://, hdfs://, gs://, abfss://)."""
+def arrow_address(uri: str) -> str:
+    """Arrow's form of an address as Hadoop writes it (file:/, s3a://, s3n://; hdfs://, gs:// and abfss:// are the same)."""
     scheme, colon, rest = uri.partition(":")
     if colon and scheme in ("s3a", "s3n"):
-        uri = f"s3:{rest}"
-    elif scheme == "file" and not rest.startswith("//"):
-        uri = f"file://{rest}"
-    return pa.fs.FileSystem.from_uri(uri)
+        return f"s3:{rest}"
+    return f"file://{rest}" if scheme == "file" and not rest.startswith("//") else uri
+
+
+def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(arrow_address(uri))
 
 
 class _Shards:

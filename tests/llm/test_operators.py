@@ -114,6 +114,65 @@ def test_quality(spark, docs, empty):
     assert quality.keep_good(empty, labels).count() == 0
 
 
+def plain_kneser_ney(texts):
+    """log10 P of a document by interpolated modified Kneser-Ney trigrams, from the definition."""
+    docs = [["<s>", *words(t), "</s>"] for t in texts]
+    three = Counter(tuple(d[i : i + 3]) for d in docs for i in range(len(d) - 2))
+    pairs = Counter(tuple(d[i : i + 2]) for d in docs for i in range(len(d) - 1))
+    left = defaultdict(set)
+    for a, b, c in three:
+        left[b, c].add(a)
+    two = {p: n if p[0] == "<s>" else len(left[p]) for p, n in pairs.items()}
+    before = defaultdict(set)
+    for a, b in two:
+        before[b].add(a)
+    one = {(w,): len(v) for w, v in before.items()}
+
+    def discounts(counts):
+        t = [sum(n == i for n in counts.values()) for i in (1, 2, 3, 4)]
+        y = t[0] / max(t[0] + 2 * t[1], 1)
+        d = [min(max(i - (i + 1) * y * t[i] / max(t[i - 1], 1), 0.1), i - 0.1) for i in (1, 2, 3)]
+        return lambda n: d[min(n, 3) - 1]
+
+    cut = {1: discounts(one), 2: discounts(two), 3: discounts(three)}
+    mass = [sum(c(n) for n in counts.values()) / sum(counts.values()) for c, counts in ((cut[1], one),)][0]
+    rest = mass / (len(one) + 1)
+    p1 = lambda w: rest + (max(one[w,] - cut[1](one[w,]), 0) / sum(one.values()) if (w,) in one else 0)
+
+    def higher(counts, d, ctx, w, lower):
+        own = {k: n for k, n in counts.items() if k[:-1] == ctx}
+        if not own:
+            return lower
+        total = sum(own.values())
+        share = (own[(*ctx, w)] - d(own[(*ctx, w)])) / total if (*ctx, w) in own else 0
+        return share + sum(d(n) for n in own.values()) / total * lower
+
+    def log(t):
+        d = ["<s>", *words(t), "</s>"]
+        total = 0.0
+        for i in range(1, len(d)):
+            p = higher(two, cut[2], (d[i - 1],), d[i], p1(d[i]))
+            total += math.log10(higher(three, cut[3], tuple(d[i - 2 : i]), d[i], p) if i > 1 else p)
+        return total / (len(d) - 1)
+
+    return log
+
+
+def test_perplexity_equals_the_definition(spark):
+    rng = np.random.RandomState(1)
+    vocabulary = [f"v{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(vocabulary, rng.randint(3, 25))) for _ in range(24)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(90, "v1 unseen v2", "en"), (91, "unseen", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(24)], "doc_id long, quality int, toxic int")
+    chosen = {r.doc_id for r in quality.training_ids(labels, 10).collect()}
+    assert len(chosen) == 10
+    log = plain_kneser_ney([texts[i] for i in sorted(chosen)])
+    keys = {r.doc_key: (r.doc_id, r.text) for r in quality.keyed_texts(docs).collect()}
+    for r in quality.perplexities(docs, labels, 10).collect():
+        doc_id, text = keys[r.doc_key]
+        assert r.log_ppl == pytest.approx(-log(text), abs=2e-3), (doc_id, text)
+
+
 def test_kneser_ney_sums_to_one(spark):
     sample = spark.createDataFrame([("a b a c",), ("a b b",), ("c a b",)], "text string")
     model = quality.TrustedModel(sample)
@@ -204,6 +263,33 @@ def test_shards_are_tar_files_and_headers_suffice(docs):
         assert (r.width, r.bit_depth, r.color_type) == (192, 8, 0)
 
 
+def test_addresses_as_hadoop_writes_them():
+    seen = [media.arrow_address(uri) for uri in ("s3a://bucket/a", "s3n://bucket/a", "file:/tmp/a", "file:///tmp/a", "hdfs://host/a")]
+    assert seen == ["s3://bucket/a", "s3://bucket/a", "file:///tmp/a", "file:///tmp/a", "hdfs://host/a"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from strandflow.llm import shared
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(session("yarn", None))
+    assert shared.shared_dir(session("yarn", "hdfs://a/b/")) == "hdfs://a/b"
+
+
+def test_release_removes_tables(spark):
+    import os
+
+    from strandflow.llm import shared
+
+    since = shared.mark()
+    a, b = (shared.materialize(spark.range(3), "t") for _ in range(2))
+    shared.release(spark, since, keep=[b])
+    assert not os.path.exists(a.written_at.removeprefix("file://")) and b.count() == 3 and shared.mark() == since + 1
+
+
 def test_png_rejects_damage():
     image = bytearray(media.to_png(b"a" * 192))
     image[-20] ^= 1
@@ -328,6 +414,34 @@ def test_language(spark, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_the_sample_is_ordered_and_bounded(spark):
+    from strandflow.llm.shared import bounded_sample
+
+    rows = [(i % 900, f"text {i % 900}", "en" if i % 3 else "de") for i in range(3000)] + [(None, "x" * 500, "en"), (5, None, "en"), (6, "y", None)] + [(7, "same", "en")] * 2000
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (sorted(map(tuple, bounded_sample(t, "lang", 40, 300).collect())) for t in (table, table.repartition(7)))
+    assert one == two and len({r[1] for r in one}) == len(one)
+    for lang in ("de", "en"):
+        own = [r for r in one if r[0] == lang]
+        assert 1 <= len(own) <= 40 and (sum(len(r[3]) for r in own) <= 300 or len(own) == 1)
+    every = {r[1] for r in bounded_sample(table, "lang", 10_000, 10**9).collect()}
+    assert len(every) == len({(r[0], r[1]) for r in rows if r[1] is not None and r[2] is not None})
+
+
+def test_language_on_hard_rows(spark):
+    import random
+
+    from made_text import prose
+
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 30, lang), lang, "x", 1) for i, lang in enumerate(["en", "de"] * 60)]
+    rows += [(500, prose(rng, 30_000, "de"), None, "x", 1), rows[0], rows[0], rows[0]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, lang_pred int")
+    got = langid.identify(table, per_lang=40).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id == 500} == {"de"}
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 0}) == 1
+
+
 def test_code_switching_shows():
     import random
 
