@@ -126,10 +126,14 @@ def test_plan_and_plot(spark, made, tmp_path, capsys):
     assert files.with_prefix(rows.select(F.lit("chr1").alias("contig")).limit(1), "a").first().contig == "achr1"
 
 
-def test_one_shared_folder_is_needed(spark, monkeypatch):
+def test_one_shared_folder_is_needed():
+    from types import SimpleNamespace
+
     from strandflow.sources import shared
 
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
     with pytest.raises(ValueError, match="checkpoint"):
-        shared.fresh_path(spark, "x")
-    assert shared.file_system("file:/tmp/x")[1] == "/tmp/x" and Path("/tmp").exists()
+        shared.fresh_path(session("spark://host:7077", None), "x")
+    assert shared.fresh_path(session("spark://host:7077", "hdfs://a/b/"), "x").startswith("hdfs://a/b/x-")
+    assert Path(shared.fresh_path(session("local[4]", None), "x")).parent.exists()
+    assert shared.file_system("file:/tmp/x")[1] == "/tmp/x"
