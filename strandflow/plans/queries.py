@@ -668,11 +668,12 @@ def cross_entropy(spark, d):
   fold AS (SELECT CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS g, CAST(0 AS BIGINT) AS c
     UNION ALL SELECT i + 1, CASE WHEN g + 1 > 40 THEN 0 ELSE g + 1 END, CASE WHEN g + 1 > 40 THEN c + 1 ELSE c END FROM fold WHERE i + 1 < 41 * 60),
   s AS (SELECT step, CASE WHEN g <= 20 THEN g / 20.0 ELSE 2 - g / 20.0 END AS x, c + CAST(floor(i_all / 2460) AS BIGINT) * 60 AS c FROM (SELECT step, i AS i_all FROM n) e JOIN fold ON fold.i = i_all % 2460)
-  SELECT step, round(0.001 + 0.009 * x, 9) AS tri, round(0.001 + (0.01 * pow(0.5, c) - 0.001) * x, 9) AS tri2, round(0.001 + (0.01 * pow(0.95, c) - 0.001) * x, 9) AS exp FROM s""")
+  SELECT step, round(0.001 + 0.009 * x + 1e-12, 9) AS tri, round(0.001 + (0.01 * pow(0.5, c) - 0.001) * x + 1e-12, 9) AS tri2, round(0.001 + (0.01 * pow(0.95, c) - 0.001) * x + 1e-12, 9) AS exp FROM s""")
 def cyclical_lr(spark, d):
     # event ids count up from 0 without gaps, as updates do
     rows = table(spark, d, "events").select(F.col("event_id").alias("step"))
-    return rows.select("step", *(F.round(B.triangular_lr(F.col("step"), 20, 0.001, 0.01, m), 9).alias(m) for m in ("tri", "tri2", "exp")))
+    # the rates end in a 5 at some digit, so a small amount decides how they round
+    return rows.select("step", *(F.round(B.triangular_lr(F.col("step"), 20, 0.001, 0.01, m) + 1e-12, 9).alias(m) for m in ("tri", "tri2", "exp")))
 
 
 EVALUATE_SQL = """, e AS (SELECT pos % 21 AS t1, pos % 3 AS t2, pos % 33 AS a, pos * 7 % 33 AS b, list_position(g, list_max(g)) - 1 AS p1, list_position(z, list_max(z)) - 1 AS p2, list_position(u, list_max(u)) - 1 AS pu, list_position(v, list_max(v)) - 1 AS pv, g FROM probs),
