@@ -7,6 +7,9 @@ CIGAR is expanded, and the reference joins on positions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,3 +145,17 @@ def indel_mode(events: DataFrame, kind: str, low: int = 1, high: int = 50, ignor
     named = gone.join(reference.select("contig", F.col("pos0").alias("at"), F.upper("base").alias("base")), ["contig", "at"], "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "base"))), lambda x: x["base"]), "")
     return named.groupBy("contig", "pos0", "n").agg(text.alias("bases")).select("contig", "pos0", "bases", "n")
+
+
+def map_pileup(events: DataFrame, column: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = 250) -> DataFrame:
+    """``column`` of each position's events in read order (contig, pos0, symbol, k, reverse, start, ord), as rows of ``schema``.
+
+    At most ``most`` reads that cover a position, in the order of their starts; an inserted or
+    deleted base belongs to the position before it.
+    """
+    at = F.when(F.col("kind") == "M", F.col("r")).when(F.col("kind") == "D", F.col("r") - F.col("k") - 1).otherwise(F.col("r") - 1)
+    symbol = F.when(F.col("kind") == "M", F.col("base")).when(F.col("kind") == "I", F.concat(F.lit("+"), "base")).otherwise("-")
+    rows = events.select("contig", at.alias("at"), symbol.alias("symbol"), "k", "reverse", F.col("pos0").alias("start"), "ord")
+    nth = F.dense_rank().over(Window.partitionBy("contig", "at").orderBy("start", "ord"))
+    kept = rows.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth").withColumnRenamed("at", "pos0")
+    return kept.groupBy("contig", "pos0").applyInPandas(lambda rows: column(rows.sort_values(["start", "ord", "symbol", "k"], kind="stable")), schema)

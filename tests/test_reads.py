@@ -145,3 +145,28 @@ def test_window_cells_equal_a_walk(spark, left_edge):
     if left_edge:
         x = {r.pos: r.x for r in tensors.dense(cells).collect()}
         assert all(x[c][(i * 8 + w) * 4 + ch] == n for (c, i, w, ch), n in want.items()) and len(x[30]) == 1056
+
+
+def test_pileup_callback(spark):
+    import pandas as pd
+
+    rows = [(i, "chr1", 5, 60, 16 * (i % 2), "2M1I2M1D1M", "ACGTAC") for i in range(4)] + [(9, "chr1", 7, 60, 0, "3M", "GGG")]
+    events = reads.expand(reads.with_ops(make(spark, rows)))
+
+    def column(own):
+        return pd.DataFrame({"pos0": [own["pos0"].iloc[0]], "text": ["".join(own["symbol"])]})
+
+    got = {r.pos0: r.text for r in reads.map_pileup(events, column, "pos0 long, text string").collect()}
+    assert got == {5: "AAAA", 6: "+GC" * 4, 7: "TTTTG", 8: "-A" * 4 + "G", 9: "G", 10: "CCCC"}
+    assert {r.pos0: r.text for r in reads.map_pileup(events, column, "pos0 long, text string", most=2).collect()}[8] == "-A-A"
+
+
+def test_region_text_and_spans(spark):
+    from strandflow.sources import files
+
+    assert files.region_text("c", 3, 9) == "c:3-9" and files.region_text("c", None, 9) == ""
+    spans = {r.ord: r.span for r in reads.spans(make(spark, [(1, "c", 0, 9, 0, "3S4M2D1I5N2=", "A"), (2, "c", 0, 9, 0, "*", "A")])).collect()}
+    assert spans == {1: 13, 2: 0}
+    long = make(spark, [(1, "c", 0, 9, 0, "1M1I" * 300, "AC" * 300)])
+    events = reads.expand(reads.with_ops(long)).where("kind = 'M'").orderBy("r").collect()
+    assert [r.r for r in events] == list(range(300)) and {r.base for r in events} == {"A"}
