@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .shared import partitions
 from .textkit import Words, gram_hashes, segments, slices
 
-WINDOW, GRAM, HOT = 35, 16, 20_000
+WINDOW, GRAM, HOT = 35, 16, 2_000
 #: Windows in one row at most; their marks fit a long.
 RUN = 60
 
