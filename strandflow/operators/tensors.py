@@ -8,6 +8,10 @@ candidate by read. The stop-left-edge mode needs reads and joins them.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,9 +83,21 @@ def centre_depth(counts: DataFrame) -> DataFrame:
     return counts.where(known).groupBy("contig", (F.col("r") + 1).alias("pos")).agg(F.sum("n").alias("depth"))
 
 
-def dense(cells: DataFrame) -> DataFrame:
-    """contig, pos, x: flat arrays of 33 x 8 x 4 counts; densify at the edge only."""
-    flat = (F.col("idx") * ROWS + F.col("row")) * CHANNELS + F.col("ch")
-    maps = cells.groupBy("contig", "pos").agg(F.map_from_entries(F.collect_list(F.struct(flat.alias("at"), F.col("n").cast("int").alias("n")))).alias("m"))
-    x = F.transform(F.sequence(F.lit(0), F.lit(WIDTH * ROWS * CHANNELS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
-    return maps.select("contig", "pos", x.alias("x"))
+def dense(cells: DataFrame, subtract: bool = False) -> DataFrame:
+    """contig, pos, x: flat arrays of 33 x 8 x 4 counts, with channel 0 taken from the others if ``subtract``; densify at the edge only."""
+    flat = ((F.col("idx") * ROWS + F.col("row")) * CHANNELS + F.col("ch")).cast("int")
+    rows = cells.groupBy("contig", "pos").agg(F.collect_list(F.struct(flat.alias("at"), F.col("n").cast("int").alias("n"))).alias("cells"))
+    size = WIDTH * ROWS * CHANNELS
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, n = batch.column("cells"), batch.num_rows
+            inner, site = column.flatten(), np.repeat(np.arange(n), np.diff(column.offsets.to_numpy()))
+            x = np.zeros((n, size), np.int32)
+            x[site, inner.field("at").to_numpy()] = inner.field("n").to_numpy()
+            if subtract:
+                x.reshape(n, -1, CHANNELS)[:, :, 1:] -= x.reshape(n, -1, CHANNELS)[:, :, :1]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("contig"), batch.column("pos"), lists], names=["contig", "pos", "x"])
+
+    return rows.mapInArrow(run, "contig string, pos long, x array<int>")

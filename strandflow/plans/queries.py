@@ -305,9 +305,9 @@ def tensor_left_edge_off(spark, d):
     return _longs(tensors.window_cells_left_edge(_centres(spark, d), _events(spark, d), relation(spark, d, "reference")), "idx", "row", "ch")
 
 
-def _dense(spark, d):
+def _dense(spark, d, subtract=False):
     counts = tensors.position_counts(_events(spark, d), relation(spark, d, "reference"))
-    return tensors.dense(tensors.window_cells(_centres(spark, d), counts))
+    return tensors.dense(tensors.window_cells(_centres(spark, d), counts), subtract)
 
 
 DENSE_SQL = f"WITH {kept_sql(soft=False)}, {EVENTS_SQL}, {CENTRES}, " + HITS_SQL.replace("{edge}", "").replace("SELECT contig, pos, CAST(idx AS BIGINT) AS idx", "long AS (SELECT contig, pos, CAST(idx AS BIGINT) AS idx").replace("SELECT contig, pos, i AS idx", "SELECT contig, pos, i AS idx").replace("begun)\n  long", "begun),\n  long") + ")"
@@ -332,7 +332,7 @@ def tensor_crop(spark, d):
 
 
 def _subtracted(spark, d):
-    return _dense(spark, d).withColumn("x", B.subtract_reference(F.col("x")))
+    return _dense(spark, d, subtract=True)
 
 
 # channel 0 is in every other channel of a match, so sums of the subtracted tensor are differences of raw ones
@@ -716,7 +716,7 @@ def plot_rows(spark, d):
 
 @query(None)
 def network_scores(spark, d):
-    x = _dense(spark, d).withColumn("x", B.subtract_reference(F.col("x")).cast("array<float>"))
+    x = _subtracted(spark, d).withColumn("x", F.col("x").cast("array<float>"))
     weights = network.random_weights(hidden=8, slices=4, dense=16, head=8)
     return network.score(x.select("contig", "pos", "x"), weights).select("contig", "pos", *(B.argmax(F.col(k)).alias(k) for k in network.HEADS))
 
