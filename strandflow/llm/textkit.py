@@ -62,7 +62,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, at[-1] - at[0], at[0]), at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text, one document at least."""
     column = batch.column(text)
     _, at = utf8(column)
@@ -71,6 +71,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> It
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task should hold little
 
 
 class Words:
