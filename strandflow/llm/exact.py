@@ -89,6 +89,8 @@ def mark_copies(docs: DataFrame, bits: int = 64) -> DataFrame:
     known = recipes(docs, bits)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     groups = known.groupBy("recipe", "ranks").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # written down, so that both sides of the join are plain exchanges, whose hot partitions Spark can split
+    groups = materialize(groups, "groups")
     met = known.join(groups, ["recipe", "ranks"], "left")
     alone = F.col("n").isNull()
     return met.select(
