@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions.bases import subtract_reference
 from .operators import calls, intervals, metrics, network, reads, tensors, truth
 from .plans import calling
-from .sources import files
+from .sources import bam, files
 
 COMMANDS: dict[str, tuple[Callable, list[tuple[str, type, object]]]] = {}
 
@@ -36,7 +36,8 @@ REGION = (("contig", str, None), ("start", int, None), ("end", int, None))
 
 
 def _aligned(spark: SparkSession, o, widen: int = 0) -> DataFrame:
-    return files.read_sam(spark, o.reads, o.contig, o.start, o.end, widen)
+    """Reads of SAM text or, by its name, of a BAM file."""
+    return (bam.read_bam if o.reads.endswith(".bam") else files.read_sam)(spark, o.reads, o.contig, o.start, o.end, widen)
 
 
 def _reference(spark: SparkSession, o, around: int = 0) -> DataFrame:
@@ -151,7 +152,8 @@ def call_variants(spark: SparkSession, o) -> None:
     after = calling.site_sequences(rows, _reference(spark, o, files.WIDEN)).select("contig", "pos", "after")
     full = rows.join(after, ["contig", "pos"], "left").join(calls.read_indels(events), ["contig", "pos"], "left")
     done = calls.finish_calls(calls.decode(full, o.forced), o.qual, o.show_reference, o.haploid)
-    files.write_vcf(done, _contigs(spark, o.ref), o.out)
+    # one indexed file, or a folder of parts
+    (files.write_vcf_file if o.out.endswith(".gz") else files.write_vcf)(done, _contigs(spark, o.ref), o.out)
 
 
 @command(("reads", str, None), ("ref", str, None), *REGION, ("bed", str, None), ("threshold", float, 0.125), ("min_coverage", int, 4), ("depth_cap", int, 250), *CALLING)
@@ -162,7 +164,8 @@ def call_reads(spark: SparkSession, o) -> None:
         _aligned(spark, o, files.WIDEN), _reference(spark, o, files.WIDEN), _score(o), bed=bed, start=o.start, end=o.end, threshold=o.threshold,
         min_coverage=o.min_coverage, depth_cap=o.depth_cap, qual=o.qual, show_reference=o.show_reference, haploid=o.haploid, forced=o.forced,
     )
-    files.write_vcf(done, _contigs(spark, o.ref), o.out)
+    # one indexed file, or a folder of parts
+    (files.write_vcf_file if o.out.endswith(".gz") else files.write_vcf)(done, _contigs(spark, o.ref), o.out)
 
 
 @command(("ref", str, None), ("bed", str, None), ("chunk", int, 10_000_000), ("all_contigs", bool, False), ("prefix", str, "var"), ("arguments", str, ""))

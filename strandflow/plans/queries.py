@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from ..operators import calls, intervals, metrics, network, reads, tensors, truth
-from ..sources import files
+from ..sources import bam, files
 from ..sources.shared import fresh_path
 from ..streaming import pileup
 from . import calling
@@ -73,6 +73,38 @@ def read_filters(spark, d):
     return kept_reads(spark, d).drop("lens", "ops")
 
 
+#: Contigs of files that queries write and read back; no position lies beyond.
+FILE_CONTIGS = [("chr1", 1 << 28), ("chr2", 1 << 28), ("chr3", 1 << 28)]
+
+
+def _bam(spark, d) -> str:
+    path = fresh_path(spark, "reads") + ".bam"
+    bam.write_bam(relation(spark, d, "reads"), FILE_CONTIGS, path)
+    return path
+
+
+@query(f"WITH {kept_sql()} SELECT contig, pos0, mapq, flag, cigar, seq FROM kept")
+def bam_reads(spark, d):
+    """The reads written as one indexed BAM file and read back, filters in the scan."""
+    return reads.filter_reads(bam.read_bam(spark, _bam(spark, d), min_mapq=5, without_flags=reads.DROPPED_FLAGS), 5).drop("lens", "ops", "ord")
+
+
+@query("""WITH r AS (SELECT *, coalesce(list_sum(CAST(regexp_extract_all(cigar, '(\d+)[M=XDN]', 1) AS INT[])), 0) AS span FROM {reads})
+  SELECT contig, pos0, mapq, flag, cigar, seq FROM r WHERE contig = 'chr2' AND pos0 <= 2999 AND pos0 + greatest(span, 1) > 2000""")
+def bam_region(spark, d):
+    """Reads over chr2:2001-3000 by the file's index."""
+    return bam.read_bam(spark, _bam(spark, d), "chr2", 2001, 3000).drop("ord")
+
+
+@query("SELECT contig, pos, ref, alt, CAST(qual AS BIGINT) AS qual FROM {calls} WHERE contig = 'chr3' AND pos BETWEEN 1000 AND 9000")
+def vcf_region(spark, d):
+    """Calls written as one sorted VCF file with a tabix index; those of chr3:1000-9000 read back by it."""
+    path = fresh_path(spark, "calls") + ".vcf.gz"
+    done = relation(spark, d, "calls").select("contig", "pos", "ref", "alt", "qual", F.lit(".").alias("filter"), F.lit("0/1").alias("gt"), F.col("qual").cast("int").alias("gq"), F.lit(10).alias("dp"), F.lit(0.5).alias("af"))
+    files.write_vcf_file(done, FILE_CONTIGS, path)
+    return _longs(files.read_vcf(spark, path, "chr3", 1000, 9000).select("contig", "pos", "ref", "alt", "qual"), "qual")
+
+
 @query(f"WITH {kept_sql()}, {EVENTS_SQL} SELECT contig, CAST(r AS BIGINT) AS r, kind, CAST(k AS INT) AS k, base, reverse, count(*) AS n FROM ev GROUP BY ALL")
 def cigar_expand(spark, d):
     return reads.expand(kept_reads(spark, d)).groupBy("contig", "r", "kind", "k", "base", "reverse").agg(F.count("*").alias("n"))

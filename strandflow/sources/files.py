@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import CHANNELS, FLANK, ROWS, WIDTH
 from ..operators.reads import touching
+from . import bgzf, tabix
 from .shared import file_system
 
 SIZE = WIDTH * 32
@@ -85,13 +86,21 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vcf(spark: SparkSession, path: str, contig: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-    """ord, contig, pos, ref, alt, qual, gt (text before a colon in the last column)."""
+    """ord, contig, pos, ref, alt, qual, gt (text before a colon in the last column).
+
+    Of a blocked gzip file with an index beside it (``.tbi``) only the members of the region are read.
+    """
     part = F.split("value", r"\s+")
-    rows = _lines(spark, path, "#").select("ord", F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(1)).cast("long").alias("pos"), F.get(part, F.lit(3)).alias("ref"), F.get(part, F.lit(4)).alias("alt"), F.try_to_number(F.get(part, F.lit(5)), F.lit("999999.99")).cast("int").alias("qual"), F.split(F.element_at(part, -1), ":")[0].alias("gt"))
+    lines = tabix.read_lines(spark, path, contig, start, end).where(~F.col("value").startswith("#")) if has_index(path) else _lines(spark, path, "#")
+    rows = lines.select("ord", F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(1)).cast("long").alias("pos"), F.get(part, F.lit(3)).alias("ref"), F.get(part, F.lit(4)).alias("alt"), F.try_to_number(F.get(part, F.lit(5)), F.lit("999999.99")).cast("int").alias("qual"), F.split(F.element_at(part, -1), ":")[0].alias("gt"))
     rows = rows if contig is None else rows.where(F.col("contig") == contig)
     return rows if start is None or end is None else rows.where(F.col("pos").between(start, end))
 
 
+def has_index(path: str) -> bool:
+    return path.endswith(".gz") and bgzf.read_all(f"{path}.tbi") is not None
+
+
 def read_vcf_header(spark: SparkSession, path: str) -> DataFrame:
     """ord and value of a VCF's header lines."""
     return _lines(spark, path).where(F.col("value").startswith("#")).select("ord", "value")
@@ -190,6 +199,13 @@ def write_vcf(calls: DataFrame, contigs: list[tuple[str, int]], path: str) -> No
     head.unionByName(body.select(F.col("c").cast("long").alias("c"), "p", "value")).orderBy("c", "p").select("value").write.mode("overwrite").text(path)
 
 
+def write_vcf_file(calls: DataFrame, contigs: list[tuple[str, int]], path: str) -> None:
+    """The same as one blocked gzip file (``.vcf.gz``) with its tabix index; contigs that the list lacks come last, by name."""
+    rank = F.array_position(F.array(*(F.lit(c) for c, _ in contigs)), F.col("contig")) if contigs else F.lit(0)
+    rank = F.when(rank > 0, rank).otherwise(len(contigs) + 1)
+    tabix.write_lines(calls, vcf_line(), path, vcf_header(contigs), (rank, "contig", "pos"), F.length("ref"))
+
+
 def write_bins(rows: DataFrame, path: str) -> None:
     """Training rows (block, contig, pos, x, y, split) as compressed Parquet by split."""
     rows.write.mode("overwrite").partitionBy("split").parquet(path, compression="zstd")
