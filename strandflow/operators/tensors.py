@@ -54,9 +54,10 @@ def _summed(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*CELL).agg(F.sum("n").alias("n"))
 
 
-def window_spots(sites: DataFrame) -> DataFrame:
-    """contig, pos, i, r: the 33 positions of each site's window."""
-    return sites.select("contig", "pos").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1)))).withColumn("r", F.col("pos") + F.col("i") - FLANK - 1)
+def window_spots(sites: DataFrame, unique: bool = False) -> DataFrame:
+    """contig, pos, i, r: the 33 positions of each site's window; ``unique``: no site is there twice."""
+    known = sites.select("contig", "pos")
+    return (known if unique else known.distinct()).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1)))).withColumn("r", F.col("pos") + F.col("i") - FLANK - 1)
 
 
 def window_cells(sites: DataFrame, counts: DataFrame) -> DataFrame:

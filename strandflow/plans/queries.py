@@ -753,27 +753,63 @@ def network_scores(spark, d):
     return network.score(x.select("contig", "pos", "x"), weights).select("contig", "pos", *(B.argmax(F.col(k)).alias(k) for k in network.HEADS))
 
 
-FAR = 1 << 33
-#: A read far behind all others, at the end of a stream.
-LAST_READ = ([("", FAR, 60, 0, "1M", "A", 1)], "contig string, pos0 long, mapq int, flag int, cigar string, seq string, ord long")
+#: Batches that the streaming queries cut the reads into, in genome order.
+PIECES = 5
 
 
-def _streamed(spark, d, build) -> DataFrame:
-    places = (fresh_path(spark, name) for name in ("reads", "stream", "progress"))
-    return pileup.drain(relation(spark, d, "reads"), build, *places, last=spark.createDataFrame(*LAST_READ))
+def _stream_contigs(spark, d) -> list[tuple[str, int]]:
+    """The contigs with a bound of the positions that their reads and reference reach."""
+    return [(c, (spark.read.parquet(f"{d}/part.parquet").agg(F.max("p_partkey")).first()[0] + 10) * 10) for c in ("chr1", "chr2", "chr3")]
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """The rows as a table, since each batch reads them again."""
+    path = fresh_path(rows.sparkSession, "rows")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _streamed(spark, d, build, contigs) -> tuple[DataFrame, str]:
+    """The result of a stream of the reads, in batches that cross contigs, and its progress folder."""
+    folder, out, progress = (fresh_path(spark, name) for name in ("reads", "stream", "progress"))
+    rows = _kept(relation(spark, d, "reads"))
+    stream = lambda s: build(s.readStream.schema(rows.schema).parquet(folder))
+    pieces = pileup.pieces_of(rows, contigs, F.col("pos0"), PIECES)
+    return pileup.run_pieces([[(p, folder)] for p in pieces], stream, out, progress), progress
 
 
 @query(f"WITH {kept_sql()}, {EVENTS_SQL}, {PILE_SQL} SELECT * FROM counts")
 def streaming_pileup_counts(spark, d):
-    """The streaming pileup over the reads as a one-batch stream; equal to pileup_counts."""
-    return _streamed(spark, d, lambda reads: pileup.streaming_pileup(reads, 64, 5))
+    """The stateful pileup over the reads in several batches, and what was open at the end; equal to pileup_counts."""
+    contigs = _stream_contigs(spark, d)
+    done, progress = _streamed(spark, d, lambda reads: pileup.streaming_pileup(reads, contigs, 5), contigs)
+    return done.unionByName(pileup.open_pileup(spark, progress)).where("NOT late").drop("late")
 
 
 @query(f"WITH {kept_sql(soft=False)}, {EVENTS_SQL}, {CENTRES}, " + HITS_SQL.replace("{edge}", ""))
 def streaming_tensor_cells(spark, d):
-    """Tensors from a stream of the reads; equal to window_tensor."""
-    end = spark.createDataFrame([("", FAR + 1, FAR, "A")], "contig string, pos long, pos0 long, base string")
-    sites = _centres(spark, d).unionByName(end.select("contig", "pos"))
-    known = relation(spark, d, "reference").select("contig", "pos0", "base").unionByName(end.select("contig", "pos0", "base"))
-    cells = _streamed(spark, d, lambda reads: pileup.streaming_window_cells(reads, sites, known, 64, 5))
-    return _longs(cells, "idx", "row", "ch")
+    """Tensors from a stream of the reads in several batches; equal to window_tensor."""
+    contigs = _stream_contigs(spark, d)
+    sites, known = _kept(_centres(spark, d)), _kept(relation(spark, d, "reference"))
+    done, progress = _streamed(spark, d, lambda reads: pileup.streaming_window_cells(reads, sites, known, contigs, 64, 5), contigs)
+    return _longs(done.unionByName(pileup.open_window_cells(spark, progress)), "idx", "row", "ch")
+
+
+@query(f"WITH {kept_sql(soft=False)}, {EVENTS_SQL}, {CENTRES}, " + HITS_SQL.replace("{edge}", ""))
+def lookahead_tensor_cells(spark, d):
+    """Tensors from a stream of reads and a stream of sites, which arrive together piece by piece; equal to window_tensor."""
+    contigs = _stream_contigs(spark, d)
+    rows, centres, known = _kept(relation(spark, d, "reads")), _kept(_centres(spark, d)), _kept(relation(spark, d, "reference"))
+    folders = [fresh_path(spark, name) for name in ("reads", "sites")]
+    parts = zip(pileup.pieces_of(centres, contigs, F.col("pos"), PIECES), pileup.pieces_of(rows, contigs, F.col("pos0"), PIECES), strict=True)
+    pieces = [[(site_part, folders[1]), (read_part, folders[0])] for site_part, read_part in parts]
+    whole = sum(n + pileup.GAP for _, n in contigs) // PIECES + 1  # the part of a piece
+
+    def build(s):
+        return pileup.lookahead_cells(s.readStream.schema(rows.schema).parquet(folders[0]), s.readStream.schema(centres.schema).parquet(folders[1]), known, contigs, 64, 5, whole)
+
+    # a stream reads folders that exist
+    for folder, like in zip(folders, (rows, centres), strict=True):
+        like.limit(0).write.mode("append").parquet(folder)
+    cells = pileup.run_pieces(pieces, build, *(fresh_path(spark, name) for name in ("stream", "progress")))
+    return _longs(cells.groupBy(*tensors.CELL).agg(F.sum("n").alias("n")), "idx", "row", "ch")
