@@ -330,7 +330,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, brute: int = BRUTE, planned: int = DEPTH) -> DataFrame:
-    """doc_id, doc_key, class_id, n_links, n_copies of each document (doc_key: hash of doc_id and text)."""
+    """doc_id, doc_key, class_id, n_links, n_copies, label of each document (doc_key: hash of doc_id and text).
+
+    class_id is the least doc_id of the class; classes of rows with one doc_id
+    can share it, so label tells classes apart (null without words).
+    """
     n = partitions(docs.sparkSession)
     keyed = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text")).withColumn("doc_key", F.xxhash64("doc_id", "text"))
     known = materialize(keyed.mapInArrow(_signatures, "doc_id long, doc_key long, node long, size long, sig binary"), "signatures")
@@ -368,9 +372,9 @@ def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: floa
     result = nodes.select("node", "copies", "least").join(linked, "node", "left").join(labels, "node", "left")
     result = result.withColumn("label", F.coalesce("label", "node"))
     classes = result.groupBy("label").agg(F.min("least").alias("class_id"))
-    result = result.join(classes, "label").select("node", "class_id", F.col("copies").alias("n_copies"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = filled.select("doc_id", "doc_key", "node").join(result, "node").select("doc_id", "doc_key", "class_id", "n_links", "n_copies")
-    blank = known.where("sig IS NULL").select("doc_id", "doc_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    result = result.join(classes, "label").select("node", "label", "class_id", F.col("copies").alias("n_copies"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = filled.select("doc_id", "doc_key", "node").join(result, "node").select("doc_id", "doc_key", "class_id", "n_links", "n_copies", "label")
+    blank = known.where("sig IS NULL").select("doc_id", "doc_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("long").alias("label"))
     return out.unionByName(blank)
 
 
@@ -378,8 +382,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The document of least doc_id of each class, with all its columns."""
     names = docs.columns
     links = materialize(link_documents(docs), "classes")
-    # class_id is unique to a class but for documents without words, which all stay, and null doc_ids
-    kept = links.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("doc_key"))).agg(F.min(F.struct("doc_id", "doc_key")).alias("first"))
+    # documents without words have no label and all stay
+    kept = links.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "doc_key")).alias("first"))
     kept = kept.select("first.doc_key")
     blank = links.where("n_copies = 1 AND n_links = 0").select("doc_key")
     key = free_name("__doc_key", names)

@@ -50,6 +50,19 @@ def test_one_of_each(docs, corpus, empty):
     assert near_duplicates.one_of_each(empty).count() == 0
 
 
+def test_classes_that_share_a_doc_id(spark):
+    """Two classes whose least doc_id is the same row id, and a third row of it."""
+    rng = np.random.RandomState(9)
+    a, b, c = ([f"w{x}" for x in rng.randint(0, 10**6, 200)] for _ in range(3))
+    near = lambda w: " ".join(w[:100] + ["changed"] + w[101:])
+    rows = [(5, " ".join(a)), (9, near(a)), (5, " ".join(b)), (10, near(b)), (11, " ".join(c)), (None, " ".join(c) + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = near_duplicates.link_documents(docs).collect()
+    assert len({r.label for r in links}) == 3 and len({(r.class_id, r.label) for r in links}) == 3
+    kept = near_duplicates.one_of_each(docs).collect()
+    assert len(kept) == 3 and {r.text for r in kept} >= {" ".join(a), " ".join(b)}
+
+
 def test_runs_reach_the_recall():
     assert near_duplicates.runs_needed(0.995, 1) == 6 and near_duplicates.runs_needed(0.995, 3) == 12
 
