@@ -43,11 +43,11 @@ def base_row(base: Column) -> Column:
 
 
 def clamp(x: Column, low: int, high: int) -> Column:
-    return F.greatest(F.least(x, F.lit(high)), F.lit(low))
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
 
 
 def partial_label(ref: Column, alt: Column) -> Column:
-    return F.when(F.length(ref) > F.length(alt), "Del").when(F.length(ref) < F.length(alt), "Ins").otherwise(F.substring(alt, 1, 1))
+    return F.when(F.length(ref) > F.length(alt), "Del").when(F.length(ref) < F.length(alt), "Ins").when(ref.isNotNull(), F.substring(alt, 1, 1))
 
 
 def mixed_label(a: Column, b: Column) -> Column:
@@ -58,7 +58,7 @@ def mixed_label(a: Column, b: Column) -> Column:
         .when(one_a, F.concat(a, b))
         .when(one_b, F.concat(b, a))
         .when(a == b, F.concat(a, b))
-        .otherwise("InsDel")
+        .when(a != b, "InsDel")
     )
 
 
@@ -76,14 +76,15 @@ def gt21(ref: Column, alt: Column, gt1: Column, gt2: Column) -> Column:
 
 def zygosity(gt1: Column, gt2: Column) -> Column:
     """0 reference, 1 homozygous, 2 heterozygous."""
-    return F.when((gt1 == 0) & (gt2 == 0), 0).when(gt1 == gt2, 1).otherwise(2)
+    return F.when((gt1 == 0) & (gt2 == 0), 0).when(gt1 == gt2, 1).when(gt1 != gt2, 2)
 
 
 def lengths(ref: Column, alt: Column, gt1: Column, gt2: Column) -> tuple[Column, Column]:
     """Both alleles' indel lengths, clamped to 16 and ascending, plus 16."""
     sizes = F.transform(F.slice(F.split(alt, ","), 1, 2), lambda a: clamp(F.length(a) - F.length(ref), -FLANK, FLANK) + FLANK)
     both = let(sizes, lambda s: F.when(F.size(s) > 1, s).when((gt1 == 0) | (gt2 == 0), F.array(F.lit(FLANK), s[0])).otherwise(F.array(s[0], s[0])))
-    return F.array_min(both), F.array_max(both)
+    known = ref.isNotNull() & alt.isNotNull() & gt1.isNotNull() & gt2.isNotNull()
+    return F.when(known, F.array_min(both)), F.when(known, F.array_max(both))
 
 
 def argmax(values: Column) -> Column:

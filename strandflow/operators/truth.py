@@ -19,7 +19,12 @@ def parse_genotypes(vcf: DataFrame) -> DataFrame:
 
 
 def split_stars(variants: DataFrame, reference: DataFrame) -> DataFrame:
-    """Rows with a * alternate become a row per alternate, the star as a deletion from the base before; others stay. Keeps ord, adds part."""
+    """Rows with a * alternate become a row per alternate, the star as a deletion from the base before; others stay. Keeps ord, adds part.
+
+    A star whose base before is not in the reference (at a contig's first
+    position, or beyond its end) has no alleles and goes; the row's other
+    alternates stay.
+    """
 
     def ordered(alts: Column) -> Column:
         lone = F.array(F.raise_error(F.lit("a lone * alternate"))).cast("array<string>")
@@ -33,7 +38,7 @@ def split_stars(variants: DataFrame, reference: DataFrame) -> DataFrame:
     is_star = F.col("starred") & (F.col("one") == "*")
     before = reference.select("contig", (F.col("pos0") + 1).alias("at"), F.col("base").alias("before"))
     rows = rows.withColumn("at", F.when(is_star, F.col("pos") - 1)).join(before, ["contig", "at"], "left")
-    return rows.select(
+    return rows.where(~is_star | F.col("before").isNotNull()).select(
         "ord", "part", "contig", F.when(is_star, F.col("at")).otherwise(F.col("pos")).alias("pos"),
         F.when(is_star, F.concat("before", F.substring("ref", 1, 1))).otherwise(F.col("ref")).alias("ref"),
         F.when(is_star, F.col("before")).otherwise(F.col("one")).alias("alt"),

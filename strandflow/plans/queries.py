@@ -162,7 +162,8 @@ TRUTH_SQL = """
   one AS (SELECT * EXCLUDE (ones), unnest(ones) AS o, unnest(range(0, len(ones))) AS part FROM arr),
   parts AS (SELECT ord, part, one.contig, CASE WHEN star AND o = '*' THEN pos - 1 ELSE pos END AS pos, CASE WHEN star AND o = '*' THEN x.base || substr(ref, 1, 1) ELSE ref END AS ref,
       CASE WHEN star AND o = '*' THEN x.base ELSE o END AS alt, CASE WHEN star THEN 0 ELSE gt1 END AS gt1, CASE WHEN star THEN 1 ELSE gt2 END AS gt2
-    FROM one LEFT JOIN {reference} x ON star AND o = '*' AND x.contig = one.contig AND x.pos0 = one.pos - 2),
+    FROM one LEFT JOIN {reference} x ON star AND o = '*' AND x.contig = one.contig AND x.pos0 = one.pos - 2
+    WHERE x.base IS NOT NULL OR NOT (star AND o = '*')),
   lagged AS (SELECT *, CASE WHEN pos <> lag(pos) OVER w THEN 1 WHEN lag(pos) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM parts WINDOW w AS (PARTITION BY contig ORDER BY ord, part)),
   runs AS (SELECT *, sum(fresh) OVER (PARTITION BY contig ORDER BY ord, part) AS run FROM lagged),
   nth AS (SELECT *, row_number() OVER (PARTITION BY contig, run ORDER BY ord, part) AS i, count(*) OVER (PARTITION BY contig, run) AS many FROM runs),
@@ -295,11 +296,11 @@ def union_bins(spark, d):
     return files.combine_bins(list(_bins(spark, d).values()))
 
 
-@query(f"WITH b AS ({BIN_SQL}) SELECT contig AS bin, contig, pos, ord, block FROM b WHERE contig <> 'chr3' AND block % 2 = 0")
+@query(f"WITH b AS ({BIN_SQL}) SELECT contig AS bin, contig, pos, ord, block FROM b WHERE block % 2 = 0")
 def read_bins(spark, d):
-    """Two bins written by split and read back, their train parts only."""
+    """Every bin written by split and read back, their train parts only."""
     root, paths = fresh_path(spark, "bins"), []
-    for name in ("chr1", "chr2"):
+    for name in ("chr1", "chr2", "chr3"):
         rows = _bins(spark, d)[name].withColumn("split", F.when(F.col("block") % 2 == 0, "train").otherwise("validation"))
         paths.append(f"{root}/{name}")
         files.write_bins(rows, paths[-1])

@@ -346,3 +346,14 @@ def test_files_round_trip(spark, tmp_path):
     assert [(r.pos, r.qual, r.gt) for r in back] == [(3, 10, "1/1"), (7, 652, "0/1")]
     bins = spark.createDataFrame([(1, "c", 9, [0.5, 2.0], [1, 0])], "ord long, contig string, pos long, x array<float>, y array<int>")
     assert [tuple(r) for r in files.text_to_bin(files.bin_to_text(bins)).collect()] == [(1, "c", 9, [0.5, 2.0], [1, 0])]
+
+
+def test_star_before_the_first_base_goes(spark):
+    """A * alternate at a contig's first position has no base before it; the other alternate stays, and null alleles have null labels."""
+    vcf = spark.createDataFrame([(0, "c", 1, "A", "*,G", "0/1"), (1, "c", 3, "A", "*,G", "0/1"), (2, "other", 5, "A", "*,T", "1/2")], "ord long, contig string, pos long, ref string, alt string, gt string")
+    reference = spark.createDataFrame([("c", i, b) for i, b in enumerate("ACAT")], "contig string, pos0 long, base string")
+    got = truth.split_stars(truth.parse_genotypes(vcf), reference).orderBy("ord", "part").collect()
+    assert [(r.ord, r.pos, r.ref, r.alt, r.gt1, r.gt2) for r in got] == [(0, 1, "A", "G", 0, 1), (1, 2, "CA", "C", 0, 1), (1, 3, "A", "G", 0, 1), (2, 5, "A", "T", 0, 1)]
+    nothing = spark.createDataFrame([("c", 1, None, None, 0, 1), ("c", 2, "A", None, 0, 1), ("c", 3, None, "A", 1, 1), ("c", 4, "A", "G", None, 1)], "contig string, pos long, ref string, alt string, gt1 int, gt2 int")
+    labels = truth.variant_labels(nothing).orderBy("pos").collect()
+    assert all(r.gt21 is None for r in labels[:3]) and all(r.len1 is None and r.len2 is None for r in labels) and labels[3].zyg is None
