@@ -20,17 +20,32 @@ from ..functions.bases import CHANNELS, FLANK, ROWS, WIDTH, base_row
 CELL = ["contig", "pos", "idx", "row", "ch"]
 
 
+KINDS = ["M", "I", "D"]
+
+
 def position_counts(events: DataFrame, reference: DataFrame) -> DataFrame:
     """contig, r, kind, k, first, begun, ref_row, query_row, n: events by position with rows 0 to 7 of both symbols.
 
-    Events are counted by position and symbol before they meet the reference.
+    Events are counted by position and one packed number before they meet the reference.
     """
     k = F.when(F.col("kind") == "I", F.least("k", F.lit(WIDTH))).otherwise(0)
-    keys = ["contig", "r", "kind", "k", "first", "begun", "base", "reverse"]
-    counted = events.withColumn("k", k).groupBy(*keys).agg(F.count("*").alias("n"))
-    joined = counted.join(reference.select("contig", F.col("pos0").alias("r"), F.col("base").alias("ref_base")), ["contig", "r"])
-    strand = F.when(F.col("reverse"), 4).otherwise(0)
-    return joined.select("contig", "r", "kind", "k", "first", "begun", (base_row(F.col("ref_base")) + strand).alias("ref_row"), (base_row(F.col("base")) + strand).alias("query_row"), "n")
+    fields = [k, F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1, F.coalesce(base_row(F.col("base")), F.lit(4)), F.col("first"), F.col("begun"), F.col("reverse")]
+    sizes = [WIDTH + 1, 3, 5, 2, 2, 2]
+    code = F.lit(0)
+    for field, size in zip(fields, sizes, strict=True):
+        code = code * size + F.coalesce(field.cast("int"), F.lit(0))
+    counted = events.groupBy("contig", "r", code.cast("int").alias("code")).agg(F.count("*").alias("n"))
+    known = reference.select("contig", F.col("pos0").alias("r"), base_row(F.col("base")).alias("ref_base"))
+    unit, parts = 1, []
+    for size in reversed(sizes):
+        parts.append(F.floor(F.col("code") / unit) % size)
+        unit *= size
+    reverse, begun, first, row, kind, k = parts
+    strand = (reverse * 4).cast("int")
+    return counted.join(known, ["contig", "r"]).select(
+        "contig", "r", F.element_at(F.array(*map(F.lit, KINDS)), (kind + 1).cast("int")).alias("kind"), k.cast("int").alias("k"), (first == 1).alias("first"), (begun == 1).alias("begun"),
+        (F.col("ref_base") + strand).alias("ref_row"), (F.when(row < 4, row.cast("int")) + strand).alias("query_row"), "n",
+    )
 
 
 def cell_rows(hits: DataFrame, n: Column) -> DataFrame:
@@ -60,10 +75,33 @@ def window_spots(sites: DataFrame, unique: bool = False) -> DataFrame:
     return (known if unique else known.distinct()).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1)))).withColumn("r", F.col("pos") + F.col("i") - FLANK - 1)
 
 
+def position_cells(counts: DataFrame) -> DataFrame:
+    """contig, r and cells (row, ch, k, inner, n), what a position adds to every window that it lies in.
+
+    At index i of a window a cell counts at index i + k, 32 at most; an inner one only if i is over 0.
+    """
+    m = F.col("kind") == "M"
+    ref, query = F.col("ref_row"), F.col("query_row")
+    both = ref.isNotNull() & query.isNotNull()
+    cell = lambda row, ch: F.struct(row.alias("row"), F.lit(ch).alias("ch"))
+    cells = (
+        F.when(m & both, F.array(cell(ref, 0), cell(query, 1), cell(ref, 2), cell(query, 3)))
+        .when((F.col("kind") == "D") & ref.isNotNull() & ~F.col("first"), F.array(cell(ref, 2)))
+        .when((F.col("kind") == "I") & query.isNotNull() & F.col("begun"), F.array(cell(query, 1)))
+    )
+    rows = counts.select("contig", "r", F.explode(cells).alias("cell"), F.when(F.col("kind") == "I", F.col("k")).otherwise(0).alias("k"), (~m).alias("inner"), "n")
+    summed = rows.groupBy("contig", "r", "cell.row", "cell.ch", "k", "inner").agg(F.sum("n").alias("n"))
+    return summed.groupBy("contig", "r").agg(F.collect_list(F.struct("row", "ch", "k", "inner", "n")).alias("cells"))
+
+
 def window_cells(sites: DataFrame, counts: DataFrame) -> DataFrame:
-    """Sparse tensors, default mode: contig, pos (1-based centre), idx, row, ch, n; from sites and position_counts()."""
-    spots = window_spots(sites)
-    return _summed(cell_rows(spots.join(counts, ["contig", "r"]), F.col("n")))
+    """Sparse tensors, default mode: contig, pos (1-based centre), idx, row, ch, n; from sites and position_counts().
+
+    A position is one row, so a site meets 33 rows however deep the reads are.
+    """
+    met = window_spots(sites).join(position_cells(counts), ["contig", "r"])
+    long = met.select("contig", "pos", "i", F.explode("cells").alias("c")).where((F.col("i") > 0) | ~F.col("c.inner"))
+    return _summed(long.select("contig", "pos", F.least(F.col("i") + F.col("c.k"), F.lit(WIDTH - 1)).cast("int").alias("idx"), "c.row", "c.ch", "c.n"))
 
 
 def window_cells_left_edge(sites: DataFrame, events: DataFrame, reference: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def bam_reads(spark, d):
     return reads.filter_reads(bam.read_bam(spark, _bam(spark, d), min_mapq=5, without_flags=reads.DROPPED_FLAGS), 5).drop("lens", "ops", "ord")
 
 
-@query("""WITH r AS (SELECT *, coalesce(list_sum(CAST(regexp_extract_all(cigar, '(\d+)[M=XDN]', 1) AS INT[])), 0) AS span FROM {reads})
+@query(r"""WITH r AS (SELECT *, coalesce(list_sum(CAST(regexp_extract_all(cigar, '(\d+)[M=XDN]', 1) AS INT[])), 0) AS span FROM {reads})
   SELECT contig, pos0, mapq, flag, cigar, seq FROM r WHERE contig = 'chr2' AND pos0 <= 2999 AND pos0 + greatest(span, 1) > 2000""")
 def bam_region(spark, d):
     """Reads over chr2:2001-3000 by the file's index."""
