@@ -14,10 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import CHANNELS, FLANK, GT21_LABELS, ROWS, WIDTH, gt21, quality, to_acgt, vcf_filter, zygosity
+from . import ordered
 
 #: Classes in the order in which equal scores are decided.
 CLASSES = ["reference", "hom_snp", "het_snp", "hom_ins", "het_base_ins", "het_ins_ins", "hom_del", "het_base_del", "het_del_del", "ins_del"]
@@ -369,10 +370,7 @@ def remove_overlaps(calls: DataFrame) -> DataFrame:
     Islands that no deletion reaches across are independent; within one the
     rows are folded in order, by a task that holds only the last kept call.
     """
-    w = Window.partitionBy("contig").orderBy("pos", "ord")
-    rows = overlap_facts(calls)
-    reach = F.max(F.when(F.col("dl") > 0, F.col("pos") + F.col("dl"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("island", F.sum(F.when(reach.isNull() | (F.col("pos") > reach), 1).otherwise(0)).over(w))
+    rows = ordered.islands(overlap_facts(calls), ["contig"], ["pos", "ord"], "pos", F.when(F.col("dl") > 0, F.col("pos") + F.col("dl")))
     rows = rows.select("contig", "ord", "island", "pos", (F.col("pos") + F.col("dl")).alias("last"), "qual", (F.col("dl") > 0).alias("deletes"), (F.col("snp") | (F.col("dl") > 0)).alias("hit"))
     dealt = rows.repartition("contig", "island").sortWithinPartitions("contig", "island", "pos", "ord", "qual")
     kept = dealt.mapInArrow(_fold_islands, calls.select("contig", "ord").schema)

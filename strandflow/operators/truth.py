@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import FLANK, gt21, lengths, let, subtract_reference, zygosity
+from . import ordered
 from .intervals import near_variants, points_in
 
 VARIANT = ["contig", "pos", "ref", "alt", "gt1", "gt2"]
@@ -69,9 +70,7 @@ def merge_pair(a: Column, b: Column) -> Column:
 
 def merge_adjacent(rows: DataFrame) -> DataFrame:
     """Folds neighbouring rows (by ord and part) of equal position into one; equal positions apart stay apart."""
-    w = Window.partitionBy("contig").orderBy("ord", "part")
-    new = F.coalesce(F.col("pos") != F.lag("pos").over(w), F.lit(True))
-    runs = rows.withColumn("run", F.sum(new.cast("int")).over(w))
+    runs = ordered.runs(rows, ["contig"], ["ord", "part"], "pos")
     each = F.struct("ord", "part", F.struct("ref", "alt", "gt1", "gt2").alias("v"))
     sets = runs.groupBy("contig", "run", "pos").agg(F.array_sort(F.collect_list(each)).alias("rows"))
     values = F.transform("rows", lambda x: x["v"])
@@ -175,6 +174,5 @@ def split_train(rows: DataFrame, share: float = 0.9) -> DataFrame:
     """Adds split, train for the first ``share`` of the bin's rows by text order of contig:pos, and block of 500 rows."""
     key = F.concat_ws(":", "contig", F.col("pos").cast("string"))
     sizes = rows.groupBy("bin").agg(F.count("*").alias("size"))
-    nth = F.row_number().over(Window.partitionBy("bin").orderBy(key))
-    out = rows.join(sizes, "bin").withColumn("nth", nth)
+    out = ordered.rank(rows.withColumn("__key", key), ["bin"], ["__key"]).join(sizes, "bin")
     return out.select(*rows.columns, F.when(F.col("nth") <= F.floor(F.col("size") * share), "train").otherwise("validation").alias("split"), F.floor((F.col("nth") - 1) / 500).cast("long").alias("block"))
