@@ -8,14 +8,13 @@ order. Gradient training is not part of the library.
 from __future__ import annotations
 
 import argparse
-import pickle
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.bases import subtract_reference
-from .operators import calls, intervals, metrics, network, reads, tensors, truth
+from .operators import calls, intervals, metrics, network, reads, tensors, training, truth
 from .plans import calling
 from .sources import bam, files
 
@@ -104,10 +103,13 @@ def tensors_to_bin(spark: SparkSession, o) -> None:
     files.write_bins(made if o.seed is None else truth.shuffled(made, o.seed, "contig", "pos"), o.out)
 
 
-@command(("bins", str, None), ("out", str, None))
+@command(("bins", str, None), ("out", str, None), ("seed", int, None))
 def combine_bins(spark: SparkSession, o) -> None:
-    """Several bins (parted by commas) as one."""
-    files.write_bins(files.combine_bins([files.read_bins(spark, path).drop("bin") for path in sorted(o.bins.split(","))]), o.out)
+    """Several bins (parted by commas, or all in a folder) as one, in the order of their names or, with a seed, in an order of its own."""
+    paths = sorted(o.bins.split(",")) if "," in o.bins else files.list_folders(o.bins)
+    if o.seed is not None:
+        paths = [paths[training.permuted(i, len(paths), o.seed)] for i in range(len(paths))]
+    files.write_bins(files.combine_bins([files.read_bins(spark, path).drop("bin") for path in paths]), o.out)
 
 
 @command(("bin", str, None), ("out", str, None))
@@ -118,10 +120,24 @@ def bin_to_text(spark: SparkSession, o) -> None:
     files.write_lines(lines, F.col("value"), o.out, gzip=False, order=("ord", "line_no"))
 
 
+@command(("text", str, None), ("out", str, None))
+def text_to_bin(spark: SparkSession, o) -> None:
+    """A bin, all of it for training, from bin_to_text's lines."""
+    made = truth.split_train(files.text_to_bin(files.numbered_lines(spark, o.text)).withColumn("bin", F.lit("all")), 1.0)
+    files.write_bins(made, o.out)
+
+
+def _weights(path: str) -> training.Weights:
+    """The weights of a checkpoint that train wrote."""
+    found = training.load(path)
+    if found is None:
+        raise FileNotFoundError(path)
+    return found[0]
+
+
 def _score(o) -> Callable[[DataFrame], DataFrame]:
-    """Scores of tensors whose channels still hold channel 0; weights: a pickled dictionary of arrays."""
-    with open(o.weights, "rb") as f:
-        weights = pickle.load(f)  # the caller's own file
+    """Scores of tensors whose channels still hold channel 0."""
+    weights = _weights(o.weights)
 
     def run(rows: DataFrame) -> DataFrame:
         scored = network.score(rows.withColumn("raw", F.col("x")).withColumn("x", subtract_reference(F.col("x"))), weights)
@@ -181,8 +197,7 @@ def plan_calls(spark: SparkSession, o) -> None:
 @command(("bin", str, None), ("weights", str, None))
 def evaluate(spark: SparkSession, o) -> None:
     """Confusion counts, F1 and top-2 hits of a model on a bin."""
-    with open(o.weights, "rb") as f:
-        weights = pickle.load(f)  # the caller's own file
+    weights = _weights(o.weights)
     rows = network.score(files.read_bins(spark, o.bin).select("contig", "pos", "x", "y"), weights)
     first = lambda at, n: F.array_position(F.slice("y", at, n), 1).cast("int") - 1
     labels = rows.withColumns({"gt21": first(1, 21), "zyg": first(22, 3), "len1": first(25, 33), "len2": first(58, 33)})
@@ -214,6 +229,37 @@ def plot_rows(spark: SparkSession, o) -> None:
     files.plot_rows(files.read_arrays(spark, o.arrays), "nth", most=o.most).write.mode("overwrite").csv(o.out, header=True)
 
 
+TRAINING = (("hidden", int, 128), ("slices", int, 30), ("dense", int, 192), ("head", int, 96), ("optimizer", str, "adam"), ("loss", str, "focal"), ("weights", str, None), ("seed", int, 0))
+
+
+def _begin(o) -> training.Weights:
+    return network.random_weights(o.seed, o.hidden, o.slices, o.dense, o.head) if o.weights is None else _weights(o.weights)
+
+
+@command(("bin", str, None), ("out", str, None), ("epochs", int, 30), ("rate", float, 1e-3), ("l2", float, 0.005), ("resume", int, None), ("blocks", int, 20), *TRAINING)
+def train(spark: SparkSession, o) -> None:
+    """Trains on a bin at rates that decay with the validation loss; a checkpoint (out-NNNNNN.npz) for each epoch."""
+    start = training.Progress(rate=o.rate, l2=o.l2)
+    _, done = training.train(spark.read.parquet(o.bin), _begin(o), o.out, o.epochs, start, training.Optimizer(o.optimizer), o.blocks, o.loss, seed=o.seed, resume=o.resume)
+    for epoch, losses in enumerate(zip(done.training, done.validation, strict=True), 1):
+        print(epoch, *losses)
+
+
+@command(("bin", str, None), ("out", str, None), ("epochs", int, 30), ("low", float, 1e-4), ("high", float, 3e-2), ("half", int, 1), ("mode", str, "tri"), ("l2", float, 0.005), ("resume", int, None), ("blocks", int, 20), *TRAINING)
+def train_cyclical(spark: SparkSession, o) -> None:
+    """The same at a rate that goes up and down."""
+    start = training.Progress(l2=o.l2)
+    training.train(spark.read.parquet(o.bin), _begin(o), o.out, o.epochs, start, training.Optimizer(o.optimizer), o.blocks, o.loss, (o.half, o.low, o.high, o.mode), seed=o.seed, resume=o.resume)
+
+
+@command(("bin", str, None), ("out", str, None), ("low", float, 1e-6), ("high", float, 1e-1), ("points", int, 10), ("steps", int, 20), *TRAINING)
+def find_rates(spark: SparkSession, o) -> None:
+    """Losses and accuracies of short trainings at rates from low to high, as CSV rows."""
+    rates = [o.low * (o.high / o.low) ** (k / max(o.points - 1, 1)) for k in range(o.points)]
+    sweep = training.rate_sweep(spark.read.parquet(o.bin).where("split = 'train'"), _begin(o), rates, o.steps, loss=o.loss, optimizer=o.optimizer, seed=o.seed)
+    sweep.write.mode("overwrite").csv(o.out, header=True)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strandflow", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)

@@ -11,10 +11,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bases import CHANNELS, FLANK, ROWS, WIDTH
+from ..operators import ordered
 from ..operators.reads import touching
 from . import bgzf, tabix
 from .shared import file_system
@@ -258,6 +260,20 @@ def plot_rows(tensors: DataFrame, *keys: str, most: int = -1) -> DataFrame:
     return long.select(*keys, name(CHANNEL_NAMES, F.col("at") % CHANNELS).alias("channel"), name(ROW_NAMES, F.floor(F.col("at") / CHANNELS) % ROWS).alias("row"), F.floor(F.col("at") / (ROWS * CHANNELS)).cast("int").alias("idx"), "value")
 
 
+def list_folders(path: str) -> list[str]:
+    """The folders in a folder, by name."""
+    fs, where = file_system(path)
+    found = fs.get_file_info(pyarrow.fs.FileSelector(where))
+    return [f"{path.rstrip('/')}/{f.base_name}" for f in sorted(found, key=lambda f: f.base_name) if f.type == pyarrow.fs.FileType.Directory]
+
+
+def numbered_lines(spark: SparkSession, path: str, size: int = 3) -> DataFrame:
+    """ord, line_no, value of text whose records take ``size`` lines each, in the order of file names and lines."""
+    lines = _lines(spark, path).withColumn("file", F.input_file_name())
+    at = F.col("nth") - 1
+    return ordered.rank(lines, [], ["file", "ord"]).select(F.floor(at / size).alias("ord"), (at % size).cast("int").alias("line_no"), "value")
+
+
 def bin_to_text(rows: DataFrame) -> DataFrame:
     """ord, line_no, value: three lines for each record (x, y, contig:pos)."""
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")

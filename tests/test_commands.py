@@ -1,6 +1,6 @@
 """The commands end to end on a made-up contig with planted variants."""
 
-import pickle
+import gzip
 import random
 from pathlib import Path
 
@@ -9,12 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 from strandflow import commands
 from strandflow.functions import bases as B
-from strandflow.operators import network
-from strandflow.sources import files
+from strandflow.operators import network, training
+from strandflow.sources import bam, files
 
 
 @pytest.fixture(scope="module")
-def made(tmp_path_factory):
+def made(spark, tmp_path_factory):
     """A reference of two contigs in lines of 60, reads of 80 bases, a SNP at 500, an insertion after 700 and a deletion after 900."""
     rng = random.Random(4)
     root = tmp_path_factory.mktemp("genome")
@@ -45,8 +45,8 @@ def made(tmp_path_factory):
     (root / "reads.sam").write_text("\n".join(reads) + "\n")
     (root / "truth.vcf").write_text(f"##x\nchr1\t500\t.\t{seq[499]}\t{snp}\t50\tPASS\t.\tGT\t1/1\nchr1\t700\t.\t{seq[699]}\t{seq[699]}GATTACA\t50\tPASS\t.\tGT\t1/1\nchr1\t900\t.\t{seq[899:904]}\t{seq[899]}\t50\tPASS\t.\tGT\t0|1\n")
     (root / "a.bed").write_text("chr1 300 1000\n")
-    with open(root / "weights", "wb") as f:
-        pickle.dump(network.random_weights(hidden=4, slices=3, dense=8, head=4), f)
+    training.save(str(root / "weights"), network.random_weights(hidden=4, slices=3, dense=8, head=4), training.Optimizer(), training.Progress())
+    bam.write_bam(files.read_sam(spark, str(root / "reads.sam")), [("chr1", 1303), ("chr2", 1303)], str(root / "reads.bam"))
     return root, seq, snp
 
 
@@ -97,11 +97,24 @@ def test_commands_from_reads_to_calls(spark, made, tmp_path):
     assert files.read_bins(spark, str(tmp_path / "both")).count() == 2 * len(rows)
     run("bin_to_text", bin=tmp_path / "bin", out=tmp_path / "three")
     assert len(text(spark, tmp_path / "three")) == 3 * len(rows)
+    run("text_to_bin", text=tmp_path / "three", out=tmp_path / "bins" / "again")
+    again = {r.pos: (r.x, r.y) for r in files.read_bins(spark, str(tmp_path / "bins" / "again")).collect()}
+    assert again == {p: (r.x, r.y) for p, r in rows.items()}
+    run("combine_bins", bins=tmp_path / "bins", out=tmp_path / "one", seed=3)
+    assert files.read_bins(spark, str(tmp_path / "one")).count() == len(rows)
+    size = {"hidden": 4, "slices": 3, "dense": 8, "head": 4}
+    run("train", bin=tmp_path / "bin", out=tmp_path / "model", epochs=1, **size)
+    run("train_cyclical", bin=tmp_path / "bin", out=tmp_path / "cycle", epochs=1, weights=tmp_path / "model-000001.npz")
+    run("find_rates", bin=tmp_path / "bin", out=tmp_path / "rates", points=2, steps=2, **size)
+    assert spark.read.csv(str(tmp_path / "rates"), header=True).count() == 4 and (tmp_path / "cycle-000001.npz").exists()
     run("evaluate", bin=tmp_path / "bin", weights=at["weights"])
     run("call_reads", reads=at["reads.sam"], ref=at["ref.fa"], weights=at["weights"], out=tmp_path / "vcf", show_reference=True)
     called = text(spark, tmp_path / "vcf")
     assert called[0] == "##fileformat=VCFv4.1" and any(x.startswith("##contig=<ID=chr1,length=1303>") for x in called)
     body = [x.split("\t") for x in called if not x.startswith("#")]
+    run("call_reads", reads=root / "reads.bam", ref=at["ref.fa"], weights=at["weights"], out=tmp_path / "one.vcf.gz", show_reference=True)
+    with gzip.open(tmp_path / "one.vcf.gz", "rt") as f:
+        assert f.read().splitlines() == called
     assert body and all(x[0] == "chr1" and 0 <= float(x[9].split(":")[3]) <= 1 for x in body)
     run("call_variants", reads=at["reads.sam"], ref=at["ref.fa"], tensors=tmp_path / "t_can", weights=at["weights"], out=tmp_path / "p1", ensemble=True)
     run("ensemble", probabilities=f"{tmp_path}/p1,{tmp_path}/p1", least=2, out=tmp_path / "mean")
