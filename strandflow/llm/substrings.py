@@ -245,7 +245,8 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, h
     n = partitions(keyed.sparkSession)
     anchors = keyed.select("text", "doc_key").mapInArrow(_anchors(window, gram), "anchor long, doc_key long, n long")
     joined = anchors.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1")
-    hits = anchors.join(joined, "anchor").groupBy("doc_key").agg(F.collect_list(F.struct("anchor", (F.col("times") > hot).alias("hot"))).alias("hits"))
+    # sets: repeated rows give the same anchors, and each of them gets the array
+    hits = anchors.join(joined, "anchor").groupBy("doc_key").agg(F.collect_set(F.struct("anchor", (F.col("times") > hot).alias("hot"))).alias("hits"))
     near = keyed.repartition(n, "doc_key").join(hits.hint("shuffle_hash"), "doc_key").select("doc_id", "text", "doc_key", "hits")
     rows = near.mapInArrow(_extend(window, gram), EXTEND)
     near = rows.repartition(n, "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_settle(False), EXTEND)
@@ -263,7 +264,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     """doc_id, n_words, n_removed, kept_sha256 and, if wanted, kept: the words no repeated window covers, joined by one space."""
     keyed = keyed_documents(docs)
     n = partitions(docs.sparkSession)
-    marks = repeated_windows(keyed, window, gram, hot).groupBy("doc_key").agg(F.collect_list(F.struct("first", "marks")).alias("found"))
+    marks = repeated_windows(keyed, window, gram, hot).groupBy("doc_key").agg(F.collect_set(F.struct("first", "marks")).alias("found"))
     full = keyed.repartition(n, "doc_key").join(marks.hint("shuffle_hash"), "doc_key", "left").select("doc_id", "text", "doc_key", "found")
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * with_text
     schema = pa.schema(fields)
