@@ -13,9 +13,11 @@ hash, so that every run takes the same ones. One half gives the lexicons, and
 the other is cut into pieces that are joined across languages, so that the
 transitions see code-switching.
 
-Texts are cut into segments of ``SEGMENT`` words whose transfer matrices are
-multiplied in parallel, which keeps the cost of long texts linear and their
-memory bounded by the text.
+Texts are cut into segments of ``SEGMENT`` words, or as many as there are
+languages, whose transfer matrices are multiplied in parallel. That keeps the
+cost of long texts linear in their words, and the memory of a slice at a number
+for each word and language; with more than FEW_LANGS languages slices are
+smaller, but a text is always whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; without any labelled text all are; texts are whole; equal texts have equal
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from .shared import base_columns, bounded_sample
 from .textkit import BYTE_TABLE, RangeHash, Words, mix, segments, slices
 
-PER_LANG, LANG_BYTES, MOST_LANGS = 300, 4 << 20, 200
+PER_LANG, LANG_BYTES, MOST_LANGS, FEW_LANGS = 300, 4 << 20, 200, 8
 BUCKETS, SEGMENT = 1 << 18, 32
 STEPS, BATCH, LENGTH, RATE, DECAY = 200, 160, 48, 0.1, 1e-6
 _SALTS = np.random.RandomState(9).randint(0, 1 << 62, 16).astype(np.uint64)
@@ -176,9 +178,10 @@ class CrfTagger:
         marginal = alpha * beta
         marginal /= marginal.sum(axis=2, keepdims=True)
         right = e[:, 1:].swapaxes(0, 1) * beta[1:]
-        pair = alpha[:-1, :, :, None] * a * right[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
-        return marginal.swapaxes(0, 1), pair.sum(axis=(0, 1))
+        # a pair's weight is before * a * after; summed over all places without a matrix for each
+        before, after = alpha[:-1].reshape(-1, k), right.reshape(-1, k)
+        total = ((before @ a) * after).sum(axis=1, keepdims=True)
+        return marginal.swapaxes(0, 1), a * (before.T @ (after / total))
 
     # tagging
 
@@ -200,8 +203,13 @@ class CrfTagger:
 
 
 def forward_backward(e: np.ndarray, at: np.ndarray, a: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
-    """Label marginals of each word; e: potentials by word and label, at: offsets of the sequences, a: transition potentials."""
+    """Label marginals of each word; e: potentials by word and label, at: offsets of the sequences, a: transition potentials.
+
+    Segments have as many words as there are labels, ``segment`` at least, so
+    transfer matrices take no more room than the potentials.
+    """
     k = e.shape[1]
+    segment = max(segment, k)
     counts = np.diff(at)
     parts = -(-counts // segment)
     n = int(parts.sum())
@@ -277,7 +285,8 @@ def predict(docs: DataFrame, tagger: CrfTagger | None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            # a slice's words by labels stay as many as with FEW_LANGS languages
+            for part in slices(batch, "text", (2 << 20) * FEW_LANGS // max(FEW_LANGS, len(own.labels) if own else 0)):
                 n = part.num_rows
                 label, score, switches, counts = ["und"] * n, np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
                 if own is not None:

@@ -245,6 +245,14 @@ def test_substrings(docs, corpus, empty, hot, salts, monkeypatch):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_many_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(7, text)] * 400 + [(8, text + " more"), (9, "alone " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in substrings.remove_repeats(docs).collect())
+    assert got == Counter(kept_words(rows))
+
+
 # 4
 
 
@@ -409,6 +417,34 @@ def test_forward_backward_equals_the_sum_over_paths():
             assert np.allclose(got[lo:hi], total / total.sum(axis=1, keepdims=True))
 
 
+def test_many_languages():
+    k, rng = 150, np.random.RandomState(4)
+    e, a = rng.rand(700, k) + 0.01, np.exp(rng.randn(k, k))
+    at = np.array([0, 1, 1, 420, 700])
+    got = langid.forward_backward(e, at, a)
+    for lo, hi in zip(at[:-1], at[1:], strict=True):
+        forward, backward = e[lo:hi].copy(), np.ones((hi - lo, k))
+        for t in range(1, hi - lo):
+            forward[t] *= forward[t - 1] @ a
+            forward[t] /= forward[t].sum()
+        for t in range(hi - lo - 2, -1, -1):
+            backward[t] = a @ (e[lo + t + 1] * backward[t + 1])
+            backward[t] /= backward[t].sum()
+        want = forward * backward
+        assert np.allclose(got[lo:hi], want / want.sum(axis=1, keepdims=True))
+    tagger = langid.CrfTagger([f"l{i}" for i in range(5)])
+    tagger.moves = rng.randn(5, 5)
+    score = rng.randn(2, 4, 5)
+    _, pairs = tagger._expected(score)
+    paths = np.array(np.meshgrid(*[range(5)] * 4)).reshape(4, -1)
+    want = np.zeros((5, 5))
+    for row in score:
+        weight = np.exp(sum(row[t, paths[t]] for t in range(4)) + sum(tagger.moves[paths[t], paths[t + 1]] for t in range(3)))
+        for t in range(3):
+            np.add.at(want, (paths[t], paths[t + 1]), weight / weight.sum())
+    assert np.allclose(pairs, want)
+
+
 def test_language(spark, empty):
     import random
 
