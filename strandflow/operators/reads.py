@@ -7,11 +7,12 @@ CIGAR is expanded, and the reference joins on positions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 from ..functions.bases import sums_before, to_acgt
 
@@ -147,15 +148,55 @@ def indel_mode(events: DataFrame, kind: str, low: int = 1, high: int = 50, ignor
     return named.groupBy("contig", "pos0", "n").agg(text.alias("bases")).select("contig", "pos0", "bases", "n")
 
 
-def map_pileup(events: DataFrame, column: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = 250) -> DataFrame:
-    """``column`` of each position's events in read order (contig, pos0, symbol, k, reverse, start, ord), as rows of ``schema``.
+#: Order of a position's rows: read by read, its indels (inserted bases as they stand in the read) before its base.
+READ_ORDER = ["start", "ord", "kind", "k", "symbol"]
+
+
+def pileup_rows(events: DataFrame, most: int = 250) -> DataFrame:
+    """contig, pos0, kind, symbol, k, reverse, start, ord: what each read shows at a position.
 
-    At most ``most`` reads that cover a position, in the order of their starts; an inserted or
-    deleted base belongs to the position before it.
+    Symbols are bases, ``+`` and an inserted base, ``-`` for a deleted one; the last two belong to
+    the position before them. At most ``most`` reads that cover a position, in the order of their starts.
     """
     at = F.when(F.col("kind") == "M", F.col("r")).when(F.col("kind") == "D", F.col("r") - F.col("k") - 1).otherwise(F.col("r") - 1)
     symbol = F.when(F.col("kind") == "M", F.col("base")).when(F.col("kind") == "I", F.concat(F.lit("+"), "base")).otherwise("-")
-    rows = events.select("contig", at.alias("at"), symbol.alias("symbol"), "k", "reverse", F.col("pos0").alias("start"), "ord")
-    nth = F.dense_rank().over(Window.partitionBy("contig", "at").orderBy("start", "ord"))
-    kept = rows.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth").withColumnRenamed("at", "pos0")
-    return kept.groupBy("contig", "pos0").applyInPandas(lambda rows: column(rows.sort_values(["start", "ord", "symbol", "k"], kind="stable")), schema)
+    rows = events.select("contig", at.alias("pos0"), "kind", symbol.alias("symbol"), "k", "reverse", F.col("pos0").alias("start"), "ord")
+    nth = F.dense_rank().over(Window.partitionBy("contig", "pos0").orderBy("start", "ord"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+
+
+def map_pileup(events: DataFrame, column: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = 250) -> DataFrame:
+    """``column`` of each position's pileup_rows() in read order, as rows of ``schema``."""
+    rows = pileup_rows(events, most)
+    return rows.groupBy("contig", "pos0").applyInPandas(lambda own: column(own.sort_values(READ_ORDER, kind="stable")), schema)
+
+
+def pileup_function(column: Callable[[list[Row]], Iterable[tuple]], schema: str) -> UserDefinedTableFunction:
+    """A table function of pileup_rows() that calls ``column`` with each position's rows and gives the tuples that it returns.
+
+    Positions come as partitions of the function's table, so a task holds the
+    rows of one, and the exchange that counted its reads serves the function,
+    too. Register it with spark.udtf.register to call it in SQL::
+
+        SELECT * FROM name(TABLE(rows) PARTITION BY (contig, pos0) ORDER BY (start, ord, kind, k, symbol))
+
+    or hand it to apply_pileup().
+    """
+
+    class Position:
+        def __init__(self) -> None:
+            self.rows: list[Row] = []
+
+        def eval(self, row: Row) -> None:
+            self.rows.append(row)
+
+        def terminate(self) -> Iterator[tuple]:
+            if self.rows:
+                yield from column(self.rows)
+
+    return F.udtf(Position, returnType=schema)
+
+
+def apply_pileup(events: DataFrame, function: UserDefinedTableFunction, most: int = 250) -> DataFrame:
+    """A pileup_function() over the pileup of events."""
+    return function(pileup_rows(events, most).asTable().partitionBy("contig", "pos0").orderBy(*READ_ORDER))

@@ -122,6 +122,21 @@ def centre_depth(counts: DataFrame) -> DataFrame:
     return counts.where(known).groupBy("contig", (F.col("r") + 1).alias("pos")).agg(F.sum("n").alias("depth"))
 
 
+def window_depth(sites: DataFrame, counts: DataFrame) -> DataFrame:
+    """contig, pos, idx, depth: aligned bases at all 33 indices of each site's window, 0 where there are none; default mode.
+
+    A position is one row before it meets the windows.
+    """
+    at = centre_depth(counts).select("contig", (F.col("pos") - 1).alias("r"), "depth")
+    met = window_spots(sites).join(at, ["contig", "r"], "left")
+    return met.select("contig", "pos", F.col("i").alias("idx"), F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def depth_of_cells(cells: DataFrame) -> DataFrame:
+    """The same of either mode's cells, indices without aligned bases left out: each such base counts once in channel 0."""
+    return cells.where("ch = 0").groupBy("contig", "pos", "idx").agg(F.sum("n").alias("depth"))
+
+
 def dense(cells: DataFrame, subtract: bool = False) -> DataFrame:
     """contig, pos, x: flat arrays of 33 x 8 x 4 counts, with channel 0 taken from the others if ``subtract``; densify at the edge only."""
     flat = ((F.col("idx") * ROWS + F.col("row")) * CHANNELS + F.col("ch")).cast("int")

@@ -120,6 +120,23 @@ def candidates(spark, d):
     return sites_of(spark, d)
 
 
+def _column(rows) -> list[tuple]:
+    """A position's depth, symbols of the reverse strand and symbols in read order."""
+    first = rows[0]
+    return [(first["contig"], first["pos0"], len({(r["start"], r["ord"]) for r in rows}), sum(r["reverse"] for r in rows), "".join(r["symbol"] for r in rows))]
+
+
+@query(f"""WITH {kept_sql()}, {EVENTS_SQL},
+  shown AS (SELECT contig, CASE kind WHEN 'M' THEN r WHEN 'D' THEN r - k - 1 ELSE r - 1 END AS p, kind, CASE kind WHEN 'M' THEN base WHEN 'I' THEN '+' || base ELSE '-' END AS symbol, k, reverse, pos0 AS start, ord FROM ev),
+  nth AS (SELECT *, dense_rank() OVER (PARTITION BY contig, p ORDER BY start, ord) AS nth FROM shown)
+  SELECT contig, CAST(p AS BIGINT) AS pos0, count(DISTINCT (start, ord)) AS reads, count(*) FILTER (reverse) AS reversed, string_agg(symbol, '' ORDER BY start, ord, kind, k, symbol) AS text FROM nth WHERE nth <= 250 GROUP BY contig, p""")
+def pileup_columns(spark, d):
+    """Every position's symbols by a pileup function that SQL calls."""
+    spark.udtf.register("pileup_column", reads.pileup_function(_column, "contig string, pos0 long, reads long, reversed long, text string"))
+    rows = reads.pileup_rows(reads.expand(kept_reads(spark, d)))
+    return spark.sql(f"SELECT * FROM pileup_column(TABLE({{rows}}) PARTITION BY (contig, pos0) ORDER BY ({', '.join(reads.READ_ORDER)}))", rows=rows)
+
+
 CLEAN_BED = "(SELECT contig, start, CASE WHEN start = end_ THEN end_ + 1 ELSE end_ END AS e FROM {bed})"
 
 
@@ -333,6 +350,15 @@ def window_tensor(spark, d):
     return _longs(tensors.window_cells(_centres(spark, d), counts), "idx", "row", "ch")
 
 
+@query(f"""WITH {kept_sql(soft=False)}, {EVENTS_SQL}, {CENTRES},
+  aligned AS (SELECT ev.contig, ev.r, count(*) AS n FROM ev JOIN {{reference}} x ON x.contig = ev.contig AND x.pos0 = ev.r WHERE kind = 'M' AND {ROW_SQL.format('x.base')} IS NOT NULL AND {ROW_SQL.format('ev.base')} IS NOT NULL GROUP BY ALL)
+  SELECT c.contig, c.pos, CAST(i AS BIGINT) AS idx, CAST(coalesce(n, 0) AS BIGINT) AS depth FROM centres c CROSS JOIN (SELECT unnest(range(0, 33)) AS i) w LEFT JOIN aligned a ON a.contig = c.contig AND a.r = c.pos + i - 17""")
+def window_depth(spark, d):
+    """Aligned bases at each index of the window tensors."""
+    counts = tensors.position_counts(_events(spark, d), relation(spark, d, "reference"))
+    return _longs(tensors.window_depth(_centres(spark, d), counts), "idx", "depth")
+
+
 @query(f"WITH {kept_sql(soft=False)}, {EVENTS_SQL}, {CENTRES}, " + HITS_SQL.replace("{edge}", "AND EXISTS (SELECT 1 FROM ev t WHERE t.contig = e.contig AND t.pos0 = e.pos0 AND t.ord = e.ord AND t.kind <> 'I' AND t.r = c.pos - 17)"))
 def tensor_left_edge_off(spark, d):
     return _longs(tensors.window_cells_left_edge(_centres(spark, d), _events(spark, d), relation(spark, d, "reference")), "idx", "row", "ch")

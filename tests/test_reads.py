@@ -142,7 +142,14 @@ def test_window_cells_equal_a_walk(spark, left_edge):
     cells = tensors.window_cells(sites, tensors.position_counts(events, ref)) if left_edge else tensors.window_cells_left_edge(sites, events, ref)
     got = Counter({(r.pos, r.idx, r.row, r.ch): r.n for r in cells.collect()})
     assert got == want
+    depth = Counter()
+    for (c, i, _, ch), n in want.items():
+        depth[c, i] += n * (ch == 0)
+    depth = +depth
+    assert {(r.pos, r.idx): r.depth for r in tensors.depth_of_cells(cells).collect()} == depth
     if left_edge:
+        direct = tensors.window_depth(sites, tensors.position_counts(events, ref)).collect()
+        assert {(r.pos, r.idx): r.depth for r in direct} == {(c, i): depth[c, i] for c in centres for i in range(33)}
         x = {r.pos: r.x for r in tensors.dense(cells).collect()}
         assert all(x[c][(i * 8 + w) * 4 + ch] == n for (c, i, w, ch), n in want.items()) and len(x[30]) == 1056
 
@@ -161,6 +168,37 @@ def test_pileup_callback(spark):
     assert {r.pos0: r.text for r in reads.map_pileup(events, column, "pos0 long, text string", most=2).collect()}[8] == "-A-A"
 
 
+def test_pileup_function_equals_the_callback(spark):
+    import pandas as pd
+
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["c1", "c2"]), rng.randrange(20, 60), 60, rng.choice([0, 16]), c := rng.choice(CIGARS), "".join(rng.choice("ACGTN") for _ in range(consumed(c)))) for i in range(150)]
+    events = reads.expand(reads.with_ops(make(spark, rows)))
+    schema = "contig string, pos0 long, text string"
+
+    def frame(own):
+        return pd.DataFrame({"contig": [own["contig"].iloc[0]], "pos0": [own["pos0"].iloc[0]], "text": ["".join(own["symbol"])]})
+
+    function = reads.pileup_function(lambda own: [(own[0]["contig"], own[0]["pos0"], "".join(r["symbol"] for r in own))], schema)
+    spark.udtf.register("shown", function)
+    for most in (250, 5):
+        want = sorted(map(tuple, reads.map_pileup(events, frame, schema, most).collect()))
+        assert sorted(map(tuple, reads.apply_pileup(events, function, most).collect())) == want
+        reads.pileup_rows(events, most).createOrReplaceTempView("rows_of_reads")
+        got = spark.sql("SELECT * FROM shown(TABLE(rows_of_reads) PARTITION BY (contig, pos0) ORDER BY (start, ord, kind, k, symbol))")
+        assert sorted(map(tuple, got.collect())) == want
+        # the exchange that counts the reads serves the function
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("hashpartitioning") == 1
+    assert reads.apply_pileup(events.where("false"), function).count() == 0
+
+
+def test_pileup_keeps_inserted_bases_in_order(spark):
+    events = reads.expand(reads.with_ops(make(spark, [(1, "c", 3, 60, 0, "2M3I2D1M", "ACTGAG")])))
+    function = reads.pileup_function(lambda own: [(own[0]["pos0"], "".join(r["symbol"] for r in own))], "pos0 long, text string")
+    assert dict(map(tuple, reads.apply_pileup(events, function).collect())) == {3: "A", 4: "--+T+G+AC", 7: "G"}
+
+
 def test_region_text_and_spans(spark):
     from strandflow.sources import files
 
