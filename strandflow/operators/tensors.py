@@ -116,18 +116,23 @@ def window_cells_left_edge(sites: DataFrame, events: DataFrame, reference: DataF
     return _summed(cell_rows(hits, F.lit(1).cast("long")))
 
 
-def centre_depth(counts: DataFrame) -> DataFrame:
-    """contig, pos, depth: aligned bases at each 1-based position."""
-    known = (F.col("kind") == "M") & F.col("ref_row").isNotNull() & F.col("query_row").isNotNull()
-    return counts.where(known).groupBy("contig", (F.col("r") + 1).alias("pos")).agg(F.sum("n").alias("depth"))
+def aligned_depth(events: DataFrame, reference: DataFrame) -> DataFrame:
+    """contig, pos, depth: aligned bases at each 1-based position whose base is known, counted before they meet the reference.
+
+    From the events rather than from position_counts(): there a test of a
+    part of the packed number would move below the grouping and be made for every event.
+    """
+    counted = events.where((F.col("kind") == "M") & base_row(F.col("base")).isNotNull()).groupBy("contig", "r").agg(F.count("*").alias("depth"))
+    known = reference.where(base_row(F.col("base")).isNotNull()).select("contig", F.col("pos0").alias("r"))
+    return counted.join(known, ["contig", "r"], "left_semi").select("contig", (F.col("r") + 1).alias("pos"), "depth")
 
 
-def window_depth(sites: DataFrame, counts: DataFrame) -> DataFrame:
+def window_depth(sites: DataFrame, events: DataFrame, reference: DataFrame) -> DataFrame:
     """contig, pos, idx, depth: aligned bases at all 33 indices of each site's window, 0 where there are none; default mode.
 
     A position is one row before it meets the windows.
     """
-    at = centre_depth(counts).select("contig", (F.col("pos") - 1).alias("r"), "depth")
+    at = aligned_depth(events, reference).select("contig", (F.col("pos") - 1).alias("r"), "depth")
     met = window_spots(sites).join(at, ["contig", "r"], "left")
     return met.select("contig", "pos", F.col("i").alias("idx"), F.coalesce("depth", F.lit(0)).alias("depth"))
 

@@ -28,7 +28,7 @@ def tensor_rows(sites: DataFrame, events: DataFrame, reference: DataFrame, min_c
     x = tensors.dense(tensors.window_cells(sites, counts))
     rows = x.join(site_sequences(sites, reference), ["contig", "pos"])
     if min_coverage > 0:
-        rows = rows.join(tensors.centre_depth(counts).where(F.col("depth") >= min_coverage).select("contig", "pos"), ["contig", "pos"], "left_semi")
+        rows = rows.join(tensors.aligned_depth(events, reference).where(F.col("depth") >= min_coverage).select("contig", "pos"), ["contig", "pos"], "left_semi")
     return rows
 
 

@@ -355,8 +355,7 @@ def window_tensor(spark, d):
   SELECT c.contig, c.pos, CAST(i AS BIGINT) AS idx, CAST(coalesce(n, 0) AS BIGINT) AS depth FROM centres c CROSS JOIN (SELECT unnest(range(0, 33)) AS i) w LEFT JOIN aligned a ON a.contig = c.contig AND a.r = c.pos + i - 17""")
 def window_depth(spark, d):
     """Aligned bases at each index of the window tensors."""
-    counts = tensors.position_counts(_events(spark, d), relation(spark, d, "reference"))
-    return _longs(tensors.window_depth(_centres(spark, d), counts), "idx", "depth")
+    return _longs(tensors.window_depth(_centres(spark, d), _events(spark, d), relation(spark, d, "reference")), "idx", "depth")
 
 
 @query(f"WITH {kept_sql(soft=False)}, {EVENTS_SQL}, {CENTRES}, " + HITS_SQL.replace("{edge}", "AND EXISTS (SELECT 1 FROM ev t WHERE t.contig = e.contig AND t.pos0 = e.pos0 AND t.ord = e.ord AND t.kind <> 'I' AND t.r = c.pos - 17)"))

@@ -148,7 +148,7 @@ def test_window_cells_equal_a_walk(spark, left_edge):
     depth = +depth
     assert {(r.pos, r.idx): r.depth for r in tensors.depth_of_cells(cells).collect()} == depth
     if left_edge:
-        direct = tensors.window_depth(sites, tensors.position_counts(events, ref)).collect()
+        direct = tensors.window_depth(sites, events, ref).collect()
         assert {(r.pos, r.idx): r.depth for r in direct} == {(c, i): depth[c, i] for c in centres for i in range(33)}
         x = {r.pos: r.x for r in tensors.dense(cells).collect()}
         assert all(x[c][(i * 8 + w) * 4 + ch] == n for (c, i, w, ch), n in want.items()) and len(x[30]) == 1056
