@@ -2,7 +2,7 @@
 
 ``python -m strandflow.commands NAME --option value ...``; ``python -m
 strandflow.commands --help`` lists them. Outputs are folders of text parts in
-order. Gradient training is not part of the library.
+order.
 """
 
 from __future__ import annotations
@@ -229,6 +229,13 @@ def plot_rows(spark: SparkSession, o) -> None:
     files.plot_rows(files.read_arrays(spark, o.arrays), "nth", most=o.most).write.mode("overwrite").csv(o.out, header=True)
 
 
+@command(("arrays", str, None), ("out", str, None), ("most", int, -1), ("scale", int, 8))
+def plot_tensors(spark: SparkSession, o) -> None:
+    """The heat maps of tensors in text arrays, as a PNG file for each."""
+    images = files.plot_images(files.read_arrays(spark, o.arrays), "nth", most=o.most, scale=o.scale)
+    files.write_images(images, o.out).write.format("noop").mode("overwrite").save()
+
+
 TRAINING = (("hidden", int, 128), ("slices", int, 30), ("dense", int, 192), ("head", int, 96), ("optimizer", str, "adam"), ("loss", str, "focal"), ("weights", str, None), ("seed", int, 0))
 
 

@@ -7,6 +7,8 @@ contig and position first; their parts are in that order.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -260,6 +262,65 @@ def plot_rows(tensors: DataFrame, *keys: str, most: int = -1) -> DataFrame:
     return long.select(*keys, name(CHANNEL_NAMES, F.col("at") % CHANNELS).alias("channel"), name(ROW_NAMES, F.floor(F.col("at") / CHANNELS) % ROWS).alias("row"), F.floor(F.col("at") / (ROWS * CHANNELS)).cast("int").alias("idx"), "value")
 
 
+def heat_map(x: np.ndarray, scale: int = 8) -> bytes:
+    """A PNG image of a tensor's four heat maps, one below the other in the order of CHANNEL_NAMES.
+
+    A cell is a square of ``scale`` pixels, white at 0, redder above and bluer
+    below it up to the map's largest absolute value; ``scale`` white lines part the maps.
+    """
+    cells = np.nan_to_num(np.asarray(x, float)).reshape(WIDTH, ROWS, CHANNELS).transpose(2, 1, 0)
+    share = cells / np.maximum(np.abs(cells).max(axis=(1, 2), keepdims=True), 1e-9)
+    red, green, blue = (np.rint(255 * (1 - part)) for part in (np.maximum(-share, 0), np.abs(share), np.maximum(share, 0)))
+    maps = np.stack([red, green, blue], axis=-1).astype(np.uint8).repeat(scale, axis=1).repeat(scale, axis=2)
+    maps = np.pad(maps, ((0, 0), (0, scale), (0, 0), (0, 0)), constant_values=255)
+    pixels = maps.reshape(-1, WIDTH * scale, 3)[:-scale]
+    # each line of pixels begins with its filter type, 0
+    lines = np.pad(pixels.reshape(len(pixels), -1), ((0, 0), (1, 0))).tobytes()
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", WIDTH * scale, len(pixels), 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def plot_images(tensors: DataFrame, *keys: str, most: int = -1, scale: int = 8) -> DataFrame:
+    """name (the keys, joined by hyphens) and png: heat_map() of each tensor, of ``most`` in key order (all if negative); tensors of another size than 33 x 8 x 4 go."""
+    rows = tensors.where(F.size("x") == SIZE)
+    rows = rows if most < 0 else rows.orderBy(*keys).limit(most)
+    named = rows.select(F.concat_ws("-", *(F.col(k).cast("string") for k in keys)).alias("name"), F.col("x").cast("array<double>").alias("x"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("name")
+            for k, x in enumerate(batch.column("x")):  # an image at a time, so that a task holds one
+                yield pa.RecordBatch.from_arrays([names.slice(k, 1), pa.array([heat_map(x.values.to_numpy(zero_copy_only=False), scale)], pa.binary())], names=["name", "png"])
+
+    return named.mapInArrow(run, "name string, png binary")
+
+
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """Writes plot_images()'s rows as ``folder/name.png``, where names tell tensors apart; gives name and size of each file.
+
+    A task that runs again writes the same files. Other signs than letters,
+    digits, dots, hyphens and underscores become underscores. Nothing is written before the result is used.
+    """
+    named = images.select(F.regexp_replace("name", r"[^A-Za-z0-9._-]", "_").alias("name"), "png")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, where = file_system(folder)
+        fs.create_dir(where, recursive=True)
+        for batch in batches:
+            sizes = []
+            for name, png in zip(batch.column("name").to_pylist(), batch.column("png"), strict=True):
+                with fs.open_output_stream(f"{where}/{name}.png") as f:
+                    f.write(png.as_buffer())
+                sizes.append(len(png.as_buffer()))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sizes, pa.int64())], names=["name", "size"])
+
+    return named.mapInArrow(run, "name string, size long")
+
+
 def list_folders(path: str) -> list[str]:
     """The folders in a folder, by name."""
     fs, where = file_system(path)

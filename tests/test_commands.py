@@ -136,9 +136,52 @@ def test_plan_and_plot(spark, made, tmp_path, capsys):
     commands.main(["plot_rows", "--arrays", str(tmp_path / "arrays"), "--out", str(tmp_path / "plot"), "--most", "1"], spark)
     rows = spark.read.csv(str(tmp_path / "plot"), header=True, inferSchema=True)
     assert rows.count() == 1056 and rows.where("channel = 'snp' AND row = 'C-' AND idx = 3").first().value == 3 * 32 + 5 * 4 + 3
+    commands.main(["plot_tensors", "--arrays", str(tmp_path / "arrays"), "--out", str(tmp_path / "images")], spark)
+    assert sorted(f.name for f in (tmp_path / "images").iterdir()) == ["0.png", "1.png"]
+    assert (tmp_path / "images" / "1.png").read_bytes() == files.heat_map(x[1056:])
     assert files.with_prefix(rows.select(F.lit("chr1").alias("contig")).limit(1), "a").first().contig == "achr1"
 
 
+def pixels_of(png):
+    """The lines of RGB pixels of an unfiltered PNG, its chunks' sums checked."""
+    import struct
+    import zlib
+
+    assert png[:8] == b"\x89PNG\r\n\x1a\n"
+    at, data, size = 8, b"", None
+    while at < len(png):
+        n, kind = struct.unpack(">I4s", png[at : at + 8])
+        body = png[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == struct.unpack(">I", png[at + 8 + n : at + 12 + n])[0]
+        size = struct.unpack(">II", body[:8]) if kind == b"IHDR" else size
+        data += body if kind == b"IDAT" else b""
+        at += 12 + n
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(size[1], 1 + size[0] * 3)
+    assert not raw[:, 0].any()
+    return raw[:, 1:].reshape(size[1], size[0], 3)
+
+
+def test_heat_maps_show_each_cell():
+    x = np.zeros((33, 8, 4))
+    x[5, 2, 0], x[6, 2, 0], x[32, 7, 3] = 4, 2, -3
+    shown = pixels_of(files.heat_map(x.ravel(), 2))
+    assert shown.shape == (4 * 16 + 3 * 2, 66, 3)
+    colours = {(int(r), int(c)): tuple(map(int, shown[r, c])) for r, c in zip(*np.nonzero((shown != 255).any(axis=2)), strict=True)}
+    squares = {(2 * 2, 5 * 2): (255, 0, 0), (2 * 2, 6 * 2): (255, 128, 128), (3 * 18 + 7 * 2, 32 * 2): (0, 0, 255)}
+    assert colours == {(r + a, c + b): v for (r, c), v in squares.items() for a in (0, 1) for b in (0, 1)}
+    assert (pixels_of(files.heat_map(np.zeros(1056), 3)) == 255).all() and (pixels_of(files.heat_map(np.full(1056, np.nan), 1)) == 255).all()
+
+
+def test_images_of_tensors(spark, tmp_path):
+    rows = spark.createDataFrame([("chr1/a", 7, [1] * 1056), ("chr1", 9, [2] * 1056), ("chr1", 8, [1] * 3), ("chr1", 6, None)], "contig string, pos long, x array<int>")
+    images = files.plot_images(rows, "contig", "pos")
+    assert {r.name for r in images.collect()} == {"chr1/a-7", "chr1-9"}
+    done = {r.name: r.size for r in files.write_images(images, str(tmp_path / "a" / "b")).collect()}
+    assert {f.name: f.stat().st_size for f in (tmp_path / "a" / "b").iterdir()} == {f"{n}.png": size for n, size in done.items()} and set(done) == {"chr1_a-7", "chr1-9"}
+    assert [r.name for r in files.plot_images(rows, "contig", "pos", most=1).collect()] == ["chr1-9"]
+    assert files.plot_images(rows.where("false"), "contig", "pos").count() == 0
+
+
 def test_one_shared_folder_is_needed():
     from types import SimpleNamespace
 
