@@ -36,6 +36,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -290,8 +291,8 @@ _SUMS = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_a", "n
 
 def sum_documents(docs: pa.Table, known: pa.Table) -> pa.Table:
     """A chunk's documents with the counts of its pairs (code, n, best)."""
-    whole = docs.filter(pa.compute.is_valid(docs["pairs"]))
-    rows = docs.filter(pa.compute.is_null(docs["pairs"])).combine_chunks()
+    whole = docs.filter(pc.is_valid(docs["pairs"]))
+    rows = docs.filter(pc.is_null(docs["pairs"])).combine_chunks()
     starts = np.frombuffer(whole["starts"][0].as_py(), np.int64)
     links = np.frombuffer(whole["links"][0].as_py(), np.int32)
     n, best = np.zeros(known.num_rows, np.int64), np.zeros(known.num_rows, np.int64)

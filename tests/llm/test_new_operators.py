@@ -1,13 +1,18 @@
 """Tokenizer alignment, fill-in-middle and exact dedup against plain loops over hard cases."""
 
+import ast
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from made_text import prose
@@ -118,6 +123,30 @@ def test_alignment_of_nothing(empty):
     assert alignment.alignment_digests(empty, A, B).count() == 0 and alignment.align_documents(empty, A, B).count() == 0
 
 
+ALONE = """
+import sys
+import pyarrow as pa
+from strandflow.llm import alignment
+rows, known = (pa.ipc.open_file(path).read_all() for path in sys.argv[1:])
+print(alignment.sum_documents(rows, known).select(["doc_id", "n_links", "n_best"]).to_pylist())
+"""
+
+
+def test_sums_need_no_module_that_others_import(tmp_path):
+    """The process that sums may have imported nothing else of pyarrow."""
+    chunk = alignment.Chunk()
+    for doc_id, text in [(1, "a b a"), (2, None)]:
+        chunk.add(doc_id, text)
+    rows = pa.Table.from_batches(chunk.rows(alignment.TokenPair.load(A, B), 0, alignment._CHUNK))
+    n = len(rows["pairs"][2])
+    for name, table in (("rows", rows), ("known", pa.table({"code": np.arange(n), "n": np.arange(n) + 1, "best": np.ones(n, bool)}))):
+        with pa.OSFile(f"{tmp_path}/{name}", "wb") as sink, pa.ipc.new_file(sink, table.schema) as writer:
+            writer.write_table(table)
+    done = subprocess.run([sys.executable, "-c", ALONE, f"{tmp_path}/rows", f"{tmp_path}/known"], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert ast.literal_eval(done.stdout) == [{"doc_id": 1, "n_links": 3, "n_best": 3}, {"doc_id": 2, "n_links": 0, "n_best": 0}]
+
+
 # 12
 
 
