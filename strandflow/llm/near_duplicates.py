@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, materialize, partitions, stream_groups, without
+from .shared import MOST_KEYS, free_name, materialize, packed, partitions, stream_groups, without
 from .textkit import Words, gram_hashes, gram_places, mix, segments, slices
 
 SHINGLE, SIMILARITY, COORDINATES = 5, 0.8, 64
@@ -153,36 +153,38 @@ def _token_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def grow_trees(nodes: DataFrame, roots: range, brute: int, planned: int) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
-    """Leaves (path, members, total, print), their rows (path, node), the nodes still in large buckets after ``planned`` steps, and the depth reached."""
+    """Leaves (path, members, total, print), the rows (path, node) of all levels, those of leaves among them, the nodes still in large buckets after ``planned`` steps, and the depth reached."""
     leaves = rows = deep = None
     level = nodes.select("node", "size", "sig").mapInArrow(_descend(roots), "node long, size long, path long")
     depth = 1
     while True:
         level = materialize(level, "level")
-        sizes = level.groupBy("path").agg(F.count("*").alias("members"), F.sum("size").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")).where("members > 1")
-        sizes = materialize(sizes, "buckets")
+        sizes = level.groupBy("path").agg(F.count("*").alias("members"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("print")).where("members > 1")
+        sizes = materialize(packed(sizes, level.count()), "buckets")
         large = sizes.where(F.col("members") > brute).select("path", "members")
+        n_large, n_inside = large.agg(F.count("*"), F.sum("members")).first()
+        large = F.broadcast(large) if n_large <= MOST_KEYS // 8 else large
         ended, split = sizes, None
         inside = level.join(large.select("path"), "path").join(nodes.select("node", "sig"), "node")
-        if large.isEmpty():
+        if not n_large:
             pass
         elif depth < planned:
             ended, split = sizes.where(F.col("members") <= brute), inside
         else:
-            met = inside.select("path", "sig").mapInArrow(_token_counts, "path long, token long, n long").groupBy("path", "token").agg(F.sum("n").alias("n"))
+            met = packed(inside.select("path", "sig"), n_inside).mapInArrow(_token_counts, "path long, token long, n long").groupBy("path", "token").agg(F.sum("n").alias("n"))
             square = met.groupBy("path").agg(F.sum(F.col("n") * F.col("n")).alias("agree"))
-            sparse = large.join(square, "path").where(F.col("agree") < DENSE * PROBED * F.col("members") * F.col("members")).select("path")
-            sparse = materialize(sparse, "sparse")
+            sparse = square.join(large, "path").where(F.col("agree") < DENSE * PROBED * F.col("members") * F.col("members")).select("path")
+            sparse = materialize(packed(sparse, n_large), "sparse")
             ended = sizes.join(sparse, "path", "left_anti")
             split = None if sparse.isEmpty() else inside.join(sparse, "path")
-        own = level.join(ended.select("path"), "path").select("path", "node")
+        own = level.select("path", "node")
         leaves = ended if leaves is None else leaves.unionByName(ended)
         rows = own if rows is None else rows.unionByName(own)
         if split is None:
             return leaves, rows, deep, depth
         if depth == planned:
             deep = materialize(split.select("node").distinct(), "deep")
-        level = split.select("node", "size", "path", "sig").mapInArrow(_descend(None), "node long, size long, path long")
+        level = packed(split.select("node", "size", "path", "sig"), n_inside).mapInArrow(_descend(None), "node long, size long, path long")
         depth += 1
 
 
@@ -316,14 +318,15 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of each connected component of edges (a, b); labels spread to neighbours and jump."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, "edges")
-    label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    n = 2 * edges.count()
+    both = materialize(packed(both, n), "edges")
+    label = materialize(packed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), n), "labels")
     while True:
         spread = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         new = label.join(spread, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = new.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
-        new = materialize(new, "labels")
+        new = materialize(packed(new, n), "labels")
         if new.where("label <> old").isEmpty():
             return new.select("node", "label")
         label = new.select("node", "label")
@@ -340,7 +343,7 @@ def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: floa
     known = materialize(keyed.mapInArrow(_signatures, "doc_id long, doc_key long, node long, size long, sig binary"), "signatures")
     filled = known.where("sig IS NOT NULL")
     nodes = filled.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("doc_key").alias("doc_key"), F.min("size").alias("size"), F.min("sig").alias("sig"))
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(packed(nodes, known.count()), "nodes")
 
     # the trees, run after run until the recall is reached at the depth that was needed
     runs = runs_needed(recall, planned)
@@ -351,7 +354,8 @@ def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: floa
         leaves, rows = leaves.unionByName(other_leaves), rows.unionByName(other_rows)
         runs, depth = more, max(depth, other_depth)
     single = leaves.groupBy("members", "print").agg(F.min("path").alias("path"), F.min("total").alias("total"))
-    leaf_rows = materialize(rows.join(single, "path").select("path", "node", "members", "total"), "leaves")
+    # a path is one bucket of one level, so all levels' rows can meet the chosen leaves at once
+    leaf_rows = materialize(packed(rows.join(single, "path"), rows.count()).select("path", "node", "members", "total"), "leaves")
 
     # what the tokens leave
     units = _block_units(leaf_rows, n).join(nodes.select("node", "sig"), "node")

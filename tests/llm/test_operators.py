@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from strandflow.llm import chat, ctw, decontamination, langid, lines, media, near_duplicates, quality, substrings
+from strandflow.llm import chat, ctw, decontamination, langid, lines, media, near_duplicates, quality, shared, substrings
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -105,6 +105,33 @@ def test_deep_and_dense_buckets(spark, monkeypatch):
     assert got == dict(enumerate(near))
 
 
+def test_small_tables_are_few_files(spark, corpus, monkeypatch):
+    """The number of tasks that write a table follows its rows, whatever the number of shuffle partitions."""
+    files = Counter()
+
+    def counted(df, label, compression=None):
+        out = shared.materialize(df, label, compression)
+        files[label] = max(files[label], len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_duplicates, "materialize", counted)
+    rows = [(r[0], r[1]) for r in corpus] + [(1000 + i, f"{corpus[i % 40][1]} more{i // 40}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = lambda: sorted(map(str, near_duplicates.link_documents(docs, brute=4).drop("doc_key").collect()))
+    few = links()
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        files.clear()
+        assert links() == few
+        cores = spark.sparkContext.defaultParallelism
+        assert all(files[x] <= cores for x in ("nodes", "buckets", "level", "leaves", "edges", "labels")), files
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 # 2
 
 
