@@ -55,7 +55,7 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
 
 
 def segment_rows(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """h, counts and key (hash of length, segment number and characters) for each line and place.
+    """h, counts, key (hash of length, segment number and characters) and own (whether the line itself has this segment there) for each line and place.
 
     ``wide`` has four bytes for each character, so a segment is cut without
     a walk over the characters before it.
@@ -66,7 +66,7 @@ def segment_rows(lines: DataFrame, places: list[tuple[int, int, int]], edits: in
     first = F.floor(size * F.col("at.i") / (edits + 1)).cast("int")
     last = F.floor(size * (F.col("at.i") + 1) / (edits + 1)).cast("int")
     cut = F.substring("wide", (first + F.col("at.shift")) * 4 + 1, (last - first) * 4)
-    return rows.select(F.xxhash64(size, F.col("at.i"), cut).alias("key"), "h", "counts")
+    return rows.select(F.xxhash64(size, F.col("at.i"), cut).alias("key"), "h", "counts", ((F.col("at.less") == 0) & (F.col("at.shift") == 0)).alias("own"))
 
 
 def letter_counts(line: Column) -> Column:
@@ -122,10 +122,13 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     if exact_chars < min_chars:
         searched = searched.where(F.length("line") >= min_chars)
     every = searched.select("h", letter_counts(F.col("line")).alias("counts"), F.length("line").alias("n"), F.encode("line", "UTF-32").alias("wide"))
-    own = [(0, i, 0) for i in range(edits + 1)]
-    index = segment_rows(every, own, edits).select("key", F.col("h").alias("a"), F.col("counts").alias("ca"))
-    probe = segment_rows(every, probes(edits), edits).select("key", F.col("h").alias("b"), F.col("counts").alias("cb"))
-    met = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits))
+    # each line is prepared once, and both sides of the join are one exchange: a line's own segments are among its probes.
+    # which side is the index is told inside the join, by both sides, since a filter of one side would make that another exchange
+    rows = segment_rows(every, probes(edits), edits)
+    index, probe = (rows.select("key", *(F.col(c).alias(c + x) for c in ("h", "counts", "own"))) for x in "ab")
+    differ = F.when(F.col("ownb"), F.col("owna") & (F.col("ha") < F.col("hb"))).otherwise(F.col("owna") & (F.col("ha") != F.col("hb")))
+    met = index.join(probe, (index["key"] == probe["key"]) & differ & (counts_apart(F.col("countsa"), F.col("countsb")) <= 2 * edits))
+    met = met.select(F.col("ha").alias("a"), F.col("hb").alias("b"))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     involved = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(firsts, "h")

@@ -598,6 +598,21 @@ def test_short_repeats(spark):
     assert {r.doc_id: r.text for r in lines.dedup_lines(table).collect()} == want
 
 
+def test_lines_are_prepared_once(spark):
+    """Both sides of the join on segments read one exchange."""
+    base = "a line of text that is long enough to count"
+    table = spark.createDataFrame([(i, f"{base} {i}\n{base[i:]} other") for i in range(12)], "doc_id long, text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        done = lines.line_digests(table)
+        done.collect()
+        plan = done._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sum("Exchange hashpartitioning(key#" in x and "ReusedExchange" not in x for x in plan) == 1
+
+
 # 10
 
 
