@@ -57,6 +57,8 @@ TOKEN_SLACK = 4.3
 _rng = np.random.RandomState(41)
 _FACTORS = _rng.randint(0, 1 << 62, COORDINATES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _rng.randint(0, 1 << 62, COORDINATES).astype(np.uint64)
+#: A coordinate's number on a path, and what its draw has to stay below.
+_STEPS, _FEW = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)), np.uint64(int((1 << 64) / (SIMILARITY * COORDINATES)))
 
 
 def runs_needed(recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -119,72 +121,118 @@ def _tokens_of(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
-def _descend(roots: range | None):
-    """(node, size, sig) rows, or those with a path, to the next level: a row for each drawn coordinate; ``roots``: numbers of the runs that begin here."""
+def _step(row: np.ndarray, path: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``sig`` and their paths (or one path for all) at the next level: a place for each drawn coordinate."""
+    drawn = mix(path[:, None] ^ _STEPS) < _FEW
+    at, k = np.nonzero(np.broadcast_to(drawn, (len(row), COORDINATES)))
+    row, path = row[at], np.broadcast_to(path, len(row))[at]
+    return row, mix(path ^ (_STEPS[k] + sig[row, k]))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few = np.uint64(int((1 << 64) / (SIMILARITY * COORDINATES)))
-        steps = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 8192):
-                part = batch.slice(lo, 8192)
-                node, size, sig = part.column("node").to_numpy(), part.column("size").to_numpy(), _tokens_of(part)
-                paths = [mix(np.array([r + 1], np.uint64)) for r in roots] if roots else [part.column("path").to_numpy().view(np.uint64)]
-                for path in paths:
-                    drawn = mix(path[:, None] ^ steps) < few
-                    if len(path) == 1 and len(node) != 1:
-                        drawn, path = np.broadcast_to(drawn, (len(node), COORDINATES)), np.broadcast_to(path, len(node))
-                    row, k = np.nonzero(drawn)
-                    deeper = mix(path[row] ^ (steps[k] + sig[row, k]))
-                    yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(size[row]), pa.array(deeper.view(np.int64))], names=["node", "size", "path"])
-
-    return run
 
+def _places(batches: Iterable[pa.RecordBatch], roots: range, through: list[np.ndarray] | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """node, size and tokens of sets, with the numbers and paths of those in a bucket.
 
-def _token_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """path, token, n: how often each of the first PROBED tokens is met in a part of a bucket."""
+    Each run of ``roots`` is walked again, on level d into the buckets
+    ``through[d - 1]`` only (ascending); none: rows have their path.
+    """
     for batch in batches:
         for lo in range(0, batch.num_rows, 8192):
             part = batch.slice(lo, 8192)
-            path = np.repeat(part.column("path").to_numpy(), PROBED)
-            token = (_tokens_of(part)[:, :PROBED].astype(np.int64) * PROBED + np.arange(PROBED)).ravel()
-            both, n = np.unique(np.stack([path, token]), axis=1, return_counts=True)
+            node, size, sig = part.column("node").to_numpy(), part.column("size").to_numpy(), _tokens_of(part)
+            every = np.arange(len(node))
+            if through is None:
+                yield node, size, sig, every, part.column("path").to_numpy().view(np.uint64)
+                continue
+            for r in roots:
+                row, path = every, mix(np.array([r + 1], np.uint64))
+                for buckets in through:
+                    row, path = _step(row, path, sig)
+                    inside = buckets[np.minimum(np.searchsorted(buckets, path), len(buckets) - 1)] == path
+                    row, path = row[inside], path[inside]
+                    if not len(row):
+                        break
+                else:
+                    yield node, size, sig, row, path
+
+
+def _descend(*where):
+    """Sets in buckets, as of _places(), to the next level: a row for each drawn coordinate."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, size, sig, row, path in _places(batches, *where):
+            row, path = _step(row, path, sig)
+            yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(size[row]), pa.array(path.view(np.int64))], names=["node", "size", "path"])
+
+    return run
+
+
+def _token_counts(*where):
+    """path, token, n: how often each of the first PROBED tokens is met in a part of a bucket, as of _places()."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, sig, row, path in _places(batches, *where):
+            token = (sig[row, :PROBED].astype(np.int64) * PROBED + np.arange(PROBED)).ravel()
+            both, n = np.unique(np.stack([np.repeat(path.view(np.int64), PROBED), token]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(n)], names=["path", "token", "n"])
 
+    return run
+
+
+def _members(*where):
+    """node of each set in a bucket, as of _places()."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, _, _, row, _ in _places(batches, *where):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[row]))], names=["node"])
+
+    return run
+
 
 def grow_trees(nodes: DataFrame, roots: range, brute: int, planned: int) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
-    """Leaves (path, members, total, print), the rows (path, node) of all levels, those of leaves among them, the nodes still in large buckets after ``planned`` steps, and the depth reached."""
+    """Leaves (path, members, total, print), the rows (path, node) of all levels, those of leaves among them, the nodes still in large buckets after ``planned`` steps, and the depth reached.
+
+    A large bucket's members are not looked up by its path: their tokens tell
+    the way, so a walk from the roots through the buckets that are split finds
+    them wherever the nodes lie. More buckets than MOST_KEYS / 8 on a level are
+    joined instead, with the same rows.
+    """
+    nodes = nodes.select("node", "size", "sig")
+
+    def reach(paths: DataFrame, n: int) -> tuple[DataFrame, list[np.ndarray] | None]:
+        if through is None or n > MOST_KEYS // 8:
+            return level.join(paths.select("path"), "path").join(nodes.select("node", "sig"), "node"), None
+        return nodes, [*through, np.sort(paths.select("path").toArrow().column("path").to_numpy().view(np.uint64))]
+
     leaves = rows = deep = None
-    level = nodes.select("node", "size", "sig").mapInArrow(_descend(roots), "node long, size long, path long")
-    depth = 1
+    through, depth = [], 1
+    level = nodes.mapInArrow(_descend(roots, through), "node long, size long, path long")
     while True:
         level = materialize(level, "level")
         sizes = level.groupBy("path").agg(F.count("*").alias("members"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("print")).where("members > 1")
         sizes = materialize(packed(sizes, level.count()), "buckets")
         large = sizes.where(F.col("members") > brute).select("path", "members")
-        n_large, n_inside = large.agg(F.count("*"), F.sum("members")).first()
-        large = F.broadcast(large) if n_large <= MOST_KEYS // 8 else large
-        ended, split = sizes, None
-        inside = level.join(large.select("path"), "path").join(nodes.select("node", "sig"), "node")
-        if not n_large:
-            pass
-        elif depth < planned:
-            ended, split = sizes.where(F.col("members") <= brute), inside
-        else:
-            met = packed(inside.select("path", "sig"), n_inside).mapInArrow(_token_counts, "path long, token long, n long").groupBy("path", "token").agg(F.sum("n").alias("n"))
+        n_split, n_inside = large.agg(F.count("*"), F.sum("members")).first()
+        ended, split = sizes, large
+        if n_split and depth < planned:
+            ended = sizes.where(F.col("members") <= brute)
+        elif n_split:
+            inside, via = reach(large, n_split)
+            met = inside.mapInArrow(_token_counts(roots, via), "path long, token long, n long").groupBy("path", "token").agg(F.sum("n").alias("n"))
             square = met.groupBy("path").agg(F.sum(F.col("n") * F.col("n")).alias("agree"))
+            large = F.broadcast(large) if n_split <= MOST_KEYS // 8 else large
             sparse = square.join(large, "path").where(F.col("agree") < DENSE * PROBED * F.col("members") * F.col("members")).select("path")
-            sparse = materialize(packed(sparse, n_large), "sparse")
-            ended = sizes.join(sparse, "path", "left_anti")
-            split = None if sparse.isEmpty() else inside.join(sparse, "path")
+            split = materialize(packed(sparse, n_split), "sparse")
+            ended = sizes.join(split, "path", "left_anti")
+            n_split = split.count()
         own = level.select("path", "node")
         leaves = ended if leaves is None else leaves.unionByName(ended)
         rows = own if rows is None else rows.unionByName(own)
-        if split is None:
+        if not n_split:
             return leaves, rows, deep, depth
+        inside, through = reach(split, n_split)
         if depth == planned:
-            deep = materialize(split.select("node").distinct(), "deep")
-        level = packed(split.select("node", "size", "path", "sig"), n_inside).mapInArrow(_descend(None), "node long, size long, path long")
+            deep = materialize(packed(inside.mapInArrow(_members(roots, through), "node long").distinct(), n_inside), "deep")
+        level = inside.mapInArrow(_descend(roots, through), "node long, size long, path long")
         depth += 1
 
 
@@ -349,7 +397,7 @@ def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: floa
     runs = runs_needed(recall, planned)
     leaves, rows, deep, depth = grow_trees(nodes, range(runs), brute, planned)
     while deep is not None and runs < (more := runs_needed(recall, depth)):
-        again = nodes.join(deep, "node", "left_semi")
+        again = materialize(packed(nodes.join(deep, "node", "left_semi"), deep.count()), "again")
         other_leaves, other_rows, _, other_depth = grow_trees(again, range(runs, more), brute, depth)
         leaves, rows = leaves.unionByName(other_leaves), rows.unionByName(other_rows)
         runs, depth = more, max(depth, other_depth)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from strandflow.llm import chat, ctw, decontamination, langid, lines, media, near_duplicates, quality, shared, substrings
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -132,6 +133,72 @@ def test_small_tables_are_few_files(spark, corpus, monkeypatch):
             spark.conf.set(k, v)
 
 
+def rows_joined(spark, column, since):
+    """Rows that joins on ``column`` have made in the executions from number ``since`` on, and the next number."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    total, after, found = 0, since, store.executionsList()
+    for i in range(found.size()):
+        number = found.apply(i).executionId()
+        if number < since:
+            continue
+        after = max(after, number + 1)
+        values, graph = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for k in range(graph.size()):
+            node = graph.apply(k)
+            if not re.match(rf"\w+Join \[{column}#", node.desc()):
+                continue
+            for m in range(node.metrics().size()):
+                metric = node.metrics().apply(m)
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total, after
+
+
+def near_copies(n):
+    """Texts of one group: all of them share more than half of their tokens, so their buckets are dense."""
+    rng = np.random.RandomState(6)
+    base, texts = [f"w{x}" for x in rng.randint(0, 5000, 120)], []
+    for _ in range(n):
+        own = list(base)
+        for at in rng.randint(0, 120, 3):
+            own[at] = f"v{rng.randint(10**6)}"
+        texts.append(" ".join(own))
+    return list(enumerate(texts))
+
+
+def test_large_groups_are_not_joined_by_path(spark, monkeypatch):
+    """Joins on paths make the rows of the leaves and one for a bucket, not those of large buckets on every level."""
+    tables = {}
+
+    def kept(df, label, compression=None):
+        tables.setdefault(label, []).append(out := shared.materialize(df, label, compression))
+        return out
+
+    monkeypatch.setattr(near_duplicates, "materialize", kept)
+    docs = spark.createDataFrame(near_copies(150), "doc_id long, text string")
+    _, since = rows_joined(spark, "path", 0)
+    assert near_duplicates.link_documents(docs, brute=20).count() == 150
+    made, _ = rows_joined(spark, "path", since)
+    leaves, buckets = sum(t.count() for t in tables["leaves"]), sum(t.count() for t in tables["buckets"])
+    assert 150 < leaves <= made <= leaves + buckets
+
+
+def test_many_large_buckets_are_joined(spark, monkeypatch):
+    """Beyond the buckets that a walk may take along, a join finds the same leaves; from any level on."""
+    rows = near_copies(80)
+    rows += [(1000 + i, " ".join([t.split()[0], *(f"u{i} u{j}" for j in range(40)), *t.split()[:60]])) for i, t in rows]
+    nodes = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_key", F.col("doc_id"))
+    nodes = nodes.mapInArrow(near_duplicates._signatures, "doc_id long, doc_key long, node long, size long, sig binary").cache()
+    found = []
+    for most in (2_000_000, 8 * 20, 0):
+        monkeypatch.setattr(near_duplicates, "MOST_KEYS", most)
+        leaves, rows, deep, depth = near_duplicates.grow_trees(nodes, range(4), 10, 2)
+        rows = rows.join(leaves, "path").groupBy("path").agg(F.count("*").alias("n"), F.min("node"), F.max("node"))
+        found.append((depth, sorted(map(str, leaves.collect())), sorted(map(str, rows.collect())), deep and sorted(r.node for r in deep.collect())))
+    assert found[0] == found[1] == found[2] and found[0][0] > 2 and found[0][3]
+
+
 # 2
 
 
