@@ -22,8 +22,9 @@ pairs is made: a task sends link counts by set and a spanning forest of its
 links, from which connected components follow. A leaf of m sets is cut into
 blocks for the memory of a task and, up to sqrt(2 * partitions) of them, for
 parallel work; a set's row travels once for each block. So a dense bucket's
-rows grow faster than its size only beyond ``BLOCK_SETS`` times that root; its
-comparisons, which the number of links needs, grow with its square.
+rows grow with its square up to ``TILE`` sets times that root, then in
+proportion up to ``BLOCK_SETS`` times it; its comparisons, which the number of
+links needs, grow with its square.
 
 Defined results: class_id is the least doc_id of a component, n_links the
 number of other documents of similarity SIMILARITY or more, copies included;
@@ -201,7 +202,7 @@ def grow_trees(nodes: DataFrame, roots: range, brute: int, planned: int) -> tupl
     def reach(paths: DataFrame, n: int) -> tuple[DataFrame, list[np.ndarray] | None]:
         if through is None or n > MOST_KEYS // 8:
             return level.join(paths.select("path"), "path").join(nodes.select("node", "sig"), "node"), None
-        return nodes, [*through, np.sort(paths.select("path").toArrow().column("path").to_numpy().view(np.uint64))]
+        return nodes, [*through, np.sort(np.array([r.path for r in paths.select("path").collect()], np.int64).view(np.uint64))]
 
     leaves = rows = deep = None
     through, depth = [], 1
