@@ -280,6 +280,24 @@ def test_perplexity_equals_the_definition(spark):
         assert r.log_ppl == pytest.approx(-log(text), abs=2e-3), (doc_id, text)
 
 
+def test_quality_brings_no_table_to_the_driver(spark, docs, monkeypatch):
+    """The words' values come as one row, and the documents are joined with their scores once, not once for each limit."""
+    met = []
+    frame = type(docs)
+    for name in ("collect", "toPandas", "toArrow"):
+
+        def counted(self, *a, f=getattr(frame, name), **b):
+            out = f(self, *a, **b)
+            met.append(len(out))
+            return out
+
+        monkeypatch.setattr(frame, name, counted)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    judged = quality.judge(docs.select("doc_id", "text", "lang"), labels)
+    assert met and max(met) <= 4
+    assert judged._jdf.queryExecution().analyzed().toString().count("xxhash64(doc_id") == 1
+
+
 def test_kneser_ney_sums_to_one(spark):
     sample = spark.createDataFrame([("a b a c",), ("a b b",), ("c a b",)], "text string")
     model = quality.TrustedModel(sample)
