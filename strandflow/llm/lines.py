@@ -135,17 +135,21 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     known = texts_of(involved)
     close = pairs.join(known.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(known.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
     close = close.where(F.levenshtein("la", "lb", edits) >= 0).select("a", "b")
-    both = close.select(F.col("a").alias("h"), F.col("b").alias("near")).unionByName(close.select(F.col("b").alias("h"), F.col("a").alias("near")))
+    # one row is dealt out twice: a union of two uses would verify each pair twice and plan all that is above for each
+    either = F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("near")), F.struct(F.col("b").alias("h"), F.col("a").alias("near"))))
+    both = close.select(either.alias("row")).select("row.h", "row.near")
     beside = both.join(firsts.withColumnRenamed("h", "near"), "near").groupBy("h").agg(F.min("first").alias("beside"))
     earliest = firsts.join(beside, "h", "left").where("n > 1 OR beside IS NOT NULL")
-    earliest = earliest.select("h", F.least("first", F.coalesce("beside", "first")).alias("earliest"))
+    earliest = earliest.select("h", "n", F.least("first", F.coalesce("beside", "first")).alias("earliest"))
 
     # at most 4 * n_parts lines have more than that part of all places; each is dealt over n_parts tasks
-    total = firsts.agg(F.sum("n").alias("all"), F.max("first").alias("last"))
-    common = firsts.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("all") / (4 * n_parts)).select("h", F.lit(True).alias("common"))
-    salted = lambda rows, salt: rows.join(F.broadcast(common), "h", "left").withColumn("salt", F.when(F.col("common"), salt).otherwise(F.array(F.lit(0)))).withColumn("salt", F.explode("salt"))
-    many = salted(earliest, F.sequence(F.lit(0), F.lit(n_parts - 1)))
-    places = salted(spots, F.array(F.pmod(F.xxhash64("spot"), F.lit(n_parts)).cast("int")))
+    total = F.broadcast(firsts.agg(F.sum("n").alias("all"), F.max("first").alias("last")))
+    often = F.col("n") > F.col("all") / (4 * n_parts)
+    common = F.broadcast(firsts.crossJoin(total).where(often).select("h", F.lit(True).alias("common")))
+    one, parts = F.array(F.lit(0)), F.sequence(F.lit(0), F.lit(n_parts - 1))
+    many = earliest.crossJoin(total).select("h", "earliest", F.explode(F.when(often, parts).otherwise(one)).alias("salt"))
+    dealt_out = F.array(F.pmod(F.xxhash64("spot"), F.lit(n_parts)).cast("int"))
+    places = spots.join(common, "h", "left").select("h", "spot", F.explode(F.when(F.col("common"), dealt_out).otherwise(one)).alias("salt"))
     gone = places.join(many, ["h", "salt"]).where(F.col("spot") > F.col("earliest"))
     gone = gone.groupBy(F.col(f"spot.{KEY}").alias(KEY)).agg(F.collect_set("spot.line_no").alias(GONE))
     full = dealt.join(gone.hint("shuffle_hash"), KEY, "left")

@@ -698,6 +698,15 @@ def test_lines_are_prepared_once(spark):
     assert sum("Exchange hashpartitioning(key#" in x and "ReusedExchange" not in x for x in plan) == 1
 
 
+def test_lines_are_verified_once(spark):
+    """Each pair is verified in one place of the plan, whose two uses would double the plan that the driver holds; both ways of a pair count."""
+    base = "a line of text that is long enough to count"
+    table = spark.createDataFrame([(2, f"{base}xx"), (1, f"{base}x\nkept as it is alone here and long"), (3, f"y{base}x")], "doc_id long, text string")
+    done = lines.line_digests(table)
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in done.collect()} == {1: (2, 0), 2: (1, 1), 3: (1, 1)}
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("levenshtein(") == 1
+
+
 # 10
 
 
