@@ -781,3 +781,28 @@ def test_ctw_counts_are_wide():
 
     (answer,) = ctw._answers(Held)([told, asked])
     assert np.frombuffer(zlib.decompress(answer.column("values")[0].as_py()), np.int64).tolist() == [15_000_000_000, 3]
+
+
+def test_quality_learns_from_half_of_all_trusted_texts(spark, monkeypatch):
+    """However many there are; rows of equal doc_id and text count once."""
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.training_ids(labels).count() == 2000
+    monkeypatch.setattr(quality, "FEW_IDS", 100)
+    ids = {r.doc_id for r in quality.training_ids(labels).collect()}
+    assert 1850 < len(ids) < 2150
+    docs = labels.select("doc_id", F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("text"))
+    texts = [r.text for r in quality.training_texts(docs.unionByName(docs.where("doc_id < 50")), labels).collect()]
+    assert sorted(texts) == sorted(f"w{i}" for i in ids)
+
+
+def test_quality_words_beyond_the_head(spark, monkeypatch):
+    """Words whose values are not on the driver give the same sums by document and by block."""
+    rng = np.random.RandomState(5)
+    texts = [" ".join(f"v{min(rng.zipf(1.4), 60)}" for _ in range(rng.randint(3, 90))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, *texts[:5]])] + [(0, texts[0], "en"), (90, "v1 unseen v2", "en"), (91, None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    whole = sorted(map(tuple, quality.perplexities(docs, labels).collect()))
+    monkeypatch.setattr(quality, "HEAD_WORDS", 6)
+    parted = sorted(map(tuple, quality.perplexities(docs, labels).collect()))
+    assert len({r[3] for r in whole}) > 10 and [r[:2] for r in parted] == [r[:2] for r in whole]
+    assert np.allclose([r[2:] for r in parted], [r[2:] for r in whole], atol=1.1e-3)
