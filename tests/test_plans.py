@@ -32,3 +32,10 @@ def test_exploded_rows_are_not_broadcast(spark, name):
 def test_probabilities_are_not_broadcast(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "md5(" in plan and not broadcasts_of(plan, "md5(")
+
+
+def test_left_edge_joins_the_reference_last(spark):
+    """All events meet the edges and the reads that take part, only hits the reference; before, every event did."""
+    plan = queries.QUERIES["tensor_left_edge_off"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    joins = [line for line in plan.split("\n") if "Join Inner" in line]
+    assert len(joins) == 3 and "r#" in joins[0] and "ord#" in joins[1] and "edge#" in joins[2]
